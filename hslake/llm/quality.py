@@ -46,12 +46,12 @@ def text_features(text: str = "text") -> Column:
           if(size(array_distinct(h)) = size(h), 0L,
             transform(array(sort_array(transform(h, (x, i) -> named_struct('h', x, 'p', i)))), s -> {covered})[0]))[0])"""
     lines = f"""
-        transform(array(filter(split({body}, '\\n'), x -> length(translate(x, ' \\t\\n\\u000b\\f\\r', '')) > 0)),
+        transform(array(filter(split({body}, '\\n'), x -> length(translate(x, ' \\t\\n\\u000b\\u000c\\r', '')) > 0)),
           x -> cast(size(x) - size(array_distinct(x)) as bigint))[0]"""
     return F.expr(f"""
         transform(array(filter(split({body}, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')), w -> named_struct(
           'n_words', cast(size(w) as bigint),
-          'word_chars', cast(length(translate({body}, ' \\t\\n\\u000b\\f\\r', '')) as bigint),
+          'word_chars', cast(length(translate({body}, ' \\t\\n\\u000b\\u000c\\r', '')) as bigint),
           'n_symbols', cast(length({body}) - length(translate({body}, '{SYMBOLS}', '')) as bigint),
           'n_dup_lines', {lines},
           'n_repeat_words', {repeats}))[0]""")
