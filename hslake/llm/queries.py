@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality"]
+MODULES = ["quality", "jaccard", "suffix_dedup", "packing", "decontam"]
 
 
 def queries() -> dict:
     found = {}
     for name in MODULES:
         found |= import_module(f"hslake.llm.{name}").QUERIES
+    import corpus_pipeline
+
+    found["pipeline"] = corpus_pipeline.run
     return found
 
 
