@@ -12,6 +12,7 @@ Null or empty text: the end id alone. Repeated rows: packed as often as they occ
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,10 @@ def token_ids(chunk, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     new = [p for p in parts if p not in cache]
     if new:
         for p, e in zip(new, _state["encoder"].encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            cache[p] = np.array(e.ids, np.uint32)
+            cache[p] = array("I", e.ids).tobytes()
     ids = [cache[p] for p in parts]
-    size = np.array([len(x) for x in ids])
-    flat, begin = np.concatenate(ids), np.cumsum(size) - size
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
     many = size[which]
     out = flat[np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     return out, np.concatenate(([0], np.cumsum(np.bincount(rows, weights=many, minlength=len(chunk)).astype(np.int64))))
