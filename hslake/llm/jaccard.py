@@ -27,6 +27,8 @@ from ._text import as_long, chunks, mixed, shingle_sets
 
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 FLUSH = 1_500_000
+#: Even a small corpus is dealt over so many hash buckets, so that a class's partial counts don't multiply as it grows.
+LEAST_BUCKETS = 64
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -181,7 +183,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     need = F.expr(f"(n * {num} + {den - 1}) div {den}")
     classes = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"))
-    shared = shared_counts(texts, shingle, max(8, -(-total * 6 // (12 << 20))))
+    shared = shared_counts(texts, shingle, max(LEAST_BUCKETS, -(-total * 6 // (12 << 20))))
     alive = cut(classes.where("rep is not null").join(shared, "c1").where(F.col("shared") >= need).select("rep", "n", "c1", "c2"), "alive")
 
     def fetch(batches):

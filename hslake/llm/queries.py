@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "jaccard", "suffix_dedup", "packing", "decontam"]
+MODULES = ["decontam", "jaccard", "toxicity", "url_filter", "suffix_dedup", "langid", "packing", "lm_score", "quality", "chat"]
 
 
 def queries() -> dict:
