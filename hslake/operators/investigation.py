@@ -64,7 +64,7 @@ _filter("filter_starts_with", "starts_with(lower(destination_address), '192.0.2.
 _filter("filter_not_equals", "coalesce(cipher_name, '') <> '' and lower(cipher_name) <> 'tls_aes_256_gcm_sha384'", ("Cipher", "not_equals", "tls_aes_256_gcm_sha384"))
 _filter("filter_observed", "source_pid is not null or destination_pid is not null", ("ProcessId", "observed", ""))
 _filter("filter_not_observed", "coalesce(source_process, '') = '' and coalesce(source_path, '') = ''", ("ClientProcess", "not_observed", ""))
-_filter("filter_fields_connections", f"lower(computer_name) = 'host-france' and contains(lower({SERVER}), 'svc-1') and coalesce({js('transport')}, 'TCP') = 'TCP' and {js('group_class')} = 'Hybrid post-quantum'", ("Computer", "equals", "host-france"), ("ServerName", "contains", "SVC-1"), ("Transport", "equals", "tcp"), ("KeyClass", "equals", "hybrid post-quantum"))
+_filter("filter_fields_connections", f"lower(computer_name) = 'host-nation_1' and contains(lower({SERVER}), 'svc-1') and coalesce({js('transport')}, 'TCP') = 'TCP' and {js('group_class')} = 'Hybrid post-quantum'", ("Computer", "equals", "host-nation_1"), ("ServerName", "contains", "SVC-1"), ("Transport", "equals", "tcp"), ("KeyClass", "equals", "hybrid post-quantum"))
 _filter("filter_time_range", "first_us between 800000000000000 and 850000000000000", from_us=800000000000000, to_us=850000000000000)
 _filter("filter_rolling_window", f"first_us >= {NOW_US - 2880000 * 60_000_000}", since_minutes=2880000)
 _filter("filter_protocol", "tls_name = 'TLS 1.3'", protocol="TLS 1.3")
