@@ -29,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, join_measured
+from ._spark import cut
 from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, span_hash
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 CONTEXTS = 24_000
-#: Tables of positions grow with the corpus; only small ones are broadcast to the texts.
-BROADCAST = 2 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[D
     wanted = cut(posts.join(often, "fp").groupBy("k", "rep").agg(F.collect_list(F.struct("fp", "at", (F.col("df") > hot).alias("hot"))).alias("p")).select("k", "rep", F.col("p.fp").alias("fps"), F.col("p.at").alias("ats"), F.col("p.hot").alias("hots")), "wanted")
     n, n_hot = wanted.agg(F.sum(F.size("ats")), F.sum(F.size(F.filter("hots", lambda x: x)))).first()
     n_buckets = max(8, -(-(n or 0) // CONTEXTS))
-    texts = join_measured(docs, wanted, "k", bound=BROADCAST).where(F.col("id").eqNullSafe(F.col("rep"))).select("k", "fps", "ats", "hots", "text")
+    texts = docs.join(wanted, "k").where(F.col("id").eqNullSafe(F.col("rep"))).select("k", "fps", "ats", "hots", "text")
 
     def ship(batches):
         for chunk in chunks(batches):
@@ -252,7 +250,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     types = dict(base.dtypes)
     schema = ", ".join(["id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", *[f"`{c}` {types[c]}" for c in rest]])
-    return join_measured(base, found, "k", "left", BROADCAST).drop("k").mapInArrow(clean, schema).withColumnsRenamed(rest)
+    return base.join(found, "k", "left").drop("k").mapInArrow(clean, schema).withColumnsRenamed(rest)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
