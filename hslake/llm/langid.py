@@ -47,7 +47,8 @@ class Model:
         every = np.array([(1 << 56) | b for b in range(256)], np.uint64)
         self.keys = np.unique(np.concatenate((every, counts["gram"].to_numpy().astype(np.int64).view(np.uint64))))
         n = np.zeros((len(self.keys), len(languages)))
-        np.add.at(n, (np.searchsorted(self.keys, counts["gram"].to_numpy().astype(np.int64).view(np.uint64)), counts["lang"].map({l: i for i, l in enumerate(languages)}).to_numpy()), counts["n"].to_numpy())
+        number = {name: i for i, name in enumerate(languages)}
+        np.add.at(n, (np.searchsorted(self.keys, counts["gram"].to_numpy().astype(np.int64).view(np.uint64)), np.array([number[name] for name in counts["lang"]], int)), counts["n"].to_numpy())
         length = (self.keys >> np.uint64(56)).astype(int)
         low = self.keys & np.uint64((1 << 56) - 1)
         self._index()

@@ -1,10 +1,11 @@
 """Toxicity severity by cumulative-link (proportional odds) ordinal regression on sparse word features.
 
 Labels say toxic or not. Severity grades of the training rows: 0 if not toxic, else 1 to ``grades`` - 1 by the share of their words that
-the labels tie to toxicity, cut at quantiles. Features are hashed words whose presence is associated with the label (``min_z`` standard
+the labels tie to toxicity, cut at quantiles. Features are hashed words and word beginnings whose presence is associated with the label (``min_z`` standard
 errors, ``min_docs`` documents). One weight vector is shared by all ordered thresholds: P(grade <= k) = logistic(threshold_k - w x),
 fitted by likelihood with a ridge penalty on a bounded, hash-chosen sample of labelled rows (``train_rows``, half of them toxic if there
-are so many). Every document is scored over its whole text: expected severity, likeliest grade and P(grade >= 1).
+are so many). Every document is scored over its whole text: expected severity,
+likeliest grade, P(grade >= 1), and whether that reaches the cutoff of best F1 on the training rows.
 
 Null or wordless text: severity by the thresholds alone; if only one class is labelled, no model can be fitted and every score is 0.
 Documents with several labels are toxic if one says so. Null ids stay; repeated rows are each scored.
@@ -18,18 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import Chunk, chunks, span_hash, prefix_hash, words, FOLDED
+from ._text import FOLDED, Chunk, chunks, mixed, prefix_hash, span_hash, words
 
 BITS = 20
+#: Beginnings of longer words, in bytes, are features too, since stems carry meaning in inflected forms.
+PREFIXES = (4, 5, 6, 7, 8)
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed words of each row: (row, feature), and each row's word count."""
+    """Distinct hashed words and word beginnings of each row: (row, feature), and each row's word count."""
     starts, ends, rows = words(chunk.data, chunk.offsets, _BREAKS)
     if not len(starts):
         return rows, rows, np.zeros(len(chunk), np.int64)
-    key = (rows.astype(np.uint64) << np.uint64(BITS)) | (span_hash(prefix_hash(chunk.data, FOLDED), starts, ends) >> np.uint64(64 - BITS))
+    sums = prefix_hash(chunk.data, FOLDED)
+    found = [(rows, span_hash(sums, starts, ends))]
+    for n in PREFIXES:
+        long = ends - starts > n
+        found.append((rows[long], mixed(span_hash(sums, starts[long], starts[long] + n) + np.uint64(n))))
+    key = np.concatenate([(r.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)) for r, h in found])
     key = np.sort(key)
     key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64), np.bincount(rows, minlength=len(chunk))
@@ -40,8 +48,8 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 class CumulativeLink:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, cutoff: float = 0.5):
+        self.weights, self.thresholds, self.cutoff = weights, thresholds, cutoff
 
     def probabilities(self, s: np.ndarray) -> np.ndarray:
         """P(grade = k) of scores ``s``."""
@@ -113,10 +121,22 @@ def train(docs: DataFrame, labels: DataFrame, grades: int, train_rows: int, min_
     model = fit(rows[keep], place[flat[keep]], grade, grades, len(use))
     weights = np.zeros(1 << BITS, np.float32)
     weights[use] = model.weights
-    return CumulativeLink(weights, model.thresholds)
+    p = 1 - model.probabilities(np.bincount(rows[keep], weights=model.weights[place[flat[keep]]], minlength=len(cols)))[:, 0]
+    return CumulativeLink(weights, model.thresholds, best_cutoff(p, toxic))
 
 
-def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", grades: int = 4, train_rows: int = 8000, min_docs: int = 5, min_z: float = 5.0) -> DataFrame:
+def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
+    """Probability from which rows count as toxic: the best F1 on the training rows, halfway to the next lower score."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + toxic.sum())
+    f1[:-1][p[order][1:] == p[order][:-1]] = 0
+    k = int(f1.argmax())
+    below = p[order[k + 1]] if k + 1 < len(p) else 0.0
+    return float((p[order[k]] + below) / 2)
+
+
+def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", grades: int = 4, train_rows: int = 8000, min_docs: int = 4, min_z: float = 4.0) -> DataFrame:
     """(id, expected_severity, grade, p_toxic, toxic), one row per document."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
@@ -133,7 +153,7 @@ def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 row, col, _ = features(chunk)
                 p = model.probabilities(np.bincount(row, weights=model.weights[col], minlength=len(chunk)))
             toxic = 1 - p[:, 0]
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(p @ np.arange(grades)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)], names=["id", "expected_severity", "grade", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(p @ np.arange(grades)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= (model.cutoff if model else 1.0))], names=["id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     return texts.mapInArrow(run, "id long, expected_severity double, grade int, p_toxic double, toxic boolean")
 

@@ -56,7 +56,7 @@ def templates(typed: DataFrame) -> DataFrame:
         wild = (F.col("kids") > 1) & (((F.col("kids") >= MANY_CHILDREN) & (F.col("n") * MANY_CHILDREN < F.col("all_n"))) | ~F.coalesce(F.when(F.col("all_lab") > 0, differs), F.lit(False)))
         named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("seg"))).alias("grown"))
         grown = here.join(named, ["host", "template", "seg"]).drop("seg", "template").withColumnRenamed("grown", "template")
-        now = grown.unionByName(now.where(F.size("segs") < level))
+        now = cut(grown.unionByName(now.where(F.size("segs") < level)), "level")
     deep = F.when(F.size("segs") > MAX_LEVELS + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return now.select("host", "typed", "n", "lab", "bad", deep.alias("template"))
 
