@@ -1,11 +1,11 @@
 """Toxicity severity by cumulative-link (proportional odds) ordinal regression on sparse word features.
 
-Labels say toxic or not. Severity grades of the training rows: 0 if not toxic, else 1 to ``grades`` - 1 by the share of their words that
-the labels tie to toxicity, cut at quantiles. Features are hashed words and word beginnings whose presence is associated with the label (``min_z`` standard
+Labels say toxic or not. Severity grades of the training rows: 0 if not toxic, else 1 to ``grades`` - 1 by how many of their distinct
+features the labels tie to toxicity, cut at quantiles. Features are hashed words and word beginnings whose presence is associated with the label (``min_z`` standard
 errors, ``min_docs`` documents). One weight vector is shared by all ordered thresholds: P(grade <= k) = logistic(threshold_k - w x),
 fitted by likelihood with a ridge penalty on a bounded, hash-chosen sample of labelled rows (``train_rows``, half of them toxic if there
 are so many). Every document is scored over its whole text: expected severity,
-likeliest grade, P(grade >= 1), and whether that reaches the cutoff of best F1 on the training rows.
+likeliest grade, P(grade >= 1), and whether that is at least one half.
 
 Null or wordless text: severity by the thresholds alone; if only one class is labelled, no model can be fitted and every score is 0.
 Documents with several labels are toxic if one says so. Null ids stay; repeated rows are each scored.
@@ -48,8 +48,8 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 class CumulativeLink:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, cutoff: float = 0.5):
-        self.weights, self.thresholds, self.cutoff = weights, thresholds, cutoff
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+        self.weights, self.thresholds = weights, thresholds
 
     def probabilities(self, s: np.ndarray) -> np.ndarray:
         """P(grade = k) of scores ``s``."""
@@ -97,11 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, grades: int, train_rows: int, min_
 
     def collect(batches):
         for chunk in chunks(batches):
-            row, col, n_words = features(chunk)
+            row, col, _ = features(chunk)
             cuts = np.searchsorted(row, np.arange(len(chunk) + 1))
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(n_words), pa.array([col[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])])], names=["toxic", "n_words", "cols"])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array([col[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])])], names=["toxic", "cols"])
 
-    got = docs.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(collect, "toxic int, n_words long, cols binary").toPandas()
+    got = docs.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(collect, "toxic int, cols binary").toPandas()
     toxic = got["toxic"].to_numpy()
     if len(np.unique(toxic)) < 2:
         return None
@@ -114,26 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, grades: int, train_rows: int, min_
     place = np.full(1 << BITS, -1)
     place[use] = np.arange(len(use))
     strong = (z >= min_z) & (all_ >= min_docs) & (one >= 0.8 * all_)
-    density = np.bincount(rows, weights=strong[flat], minlength=len(cols)) / np.maximum(1, got["n_words"].to_numpy())
-    levels = np.quantile(density[toxic == 1], np.linspace(0, 1, grades)[1:-1]) if grades > 2 else np.zeros(0)
-    grade = np.where(toxic == 1, 1 + np.searchsorted(levels, density, "left"), 0)
+    severe = np.bincount(rows, weights=strong[flat], minlength=len(cols))
+    levels = np.quantile(severe[toxic == 1], np.linspace(0, 1, grades)[1:-1]) if grades > 2 else np.zeros(0)
+    grade = np.where(toxic == 1, 1 + np.searchsorted(levels, severe, "left"), 0)
     keep = place[flat] >= 0
     model = fit(rows[keep], place[flat[keep]], grade, grades, len(use))
     weights = np.zeros(1 << BITS, np.float32)
     weights[use] = model.weights
-    p = 1 - model.probabilities(np.bincount(rows[keep], weights=model.weights[place[flat[keep]]], minlength=len(cols)))[:, 0]
-    return CumulativeLink(weights, model.thresholds, best_cutoff(p, toxic))
-
-
-def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
-    """Probability from which rows count as toxic: the best F1 on the training rows, halfway to the next lower score."""
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + toxic.sum())
-    f1[:-1][p[order][1:] == p[order][:-1]] = 0
-    k = int(f1.argmax())
-    below = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float((p[order[k]] + below) / 2)
+    return CumulativeLink(weights, model.thresholds)
 
 
 def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", grades: int = 4, train_rows: int = 8000, min_docs: int = 4, min_z: float = 4.0) -> DataFrame:
@@ -153,7 +141,7 @@ def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 row, col, _ = features(chunk)
                 p = model.probabilities(np.bincount(row, weights=model.weights[col], minlength=len(chunk)))
             toxic = 1 - p[:, 0]
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(p @ np.arange(grades)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= (model.cutoff if model else 1.0))], names=["id", "expected_severity", "grade", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(p @ np.arange(grades)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)], names=["id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     return texts.mapInArrow(run, "id long, expected_severity double, grade int, p_toxic double, toxic boolean")
 
