@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,23 @@ class Chunk:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[Chunk]:
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and what they hold, from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[Chunk]:
     """Split batches into chunks of about ``most`` bytes of text; a longer text stands alone, whole."""
+    try:
+        yield from _chunks(batches, column, most)
+    finally:
+        release()
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[Chunk]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import components, cut, join_measured
-from ._text import as_long, chunks, mixed, shingle_sets
+from ._text import as_long, chunks, mixed, release, shingle_sets
 
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Even a small corpus is dealt over so many hash buckets, so that a class's partial counts don't multiply as it grows.
 LEAST_BUCKETS = 64
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -103,6 +103,7 @@ def shared_counts(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
         n_shared = np.bincount(who[shared].astype(np.int64), minlength=len(names))
         hit = n_shared > 0
+        release()
         return pd.DataFrame({"c1": names[hit].view(np.int64), "shared": n_shared[hit]})
 
     packed = docs.mapInArrow(pack, "bucket int, cls binary, many binary, toks binary")
@@ -173,6 +174,7 @@ def _search(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
             for i, j in divide_skip_links(g["n"].to_numpy(), g["lists"].tolist(), num, den):
                 a.append(rep[i])
                 b.append(rep[j])
+    release()
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 

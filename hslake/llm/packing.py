@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from ._spark import cut
 from ._text import chunks, prefix_hash, span_hash
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 RANK_ROWS = 200_000
 _state: dict = {}
 

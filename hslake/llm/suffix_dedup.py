@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, span_hash
+from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, release, span_hash
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 CONTEXTS = 24_000
@@ -150,6 +150,7 @@ def _merge_bucket(pdf: pd.DataFrame, length: int, window: int) -> pd.DataFrame:
         left[i, :l] = b[:l][::-1]
     row, first, last = _runs(repeated_offsets(pdf["fp"].to_numpy(), left, right, lead, follow, length, window))
     at = pdf["at"].to_numpy(np.int64)[row]
+    release()
     return pd.DataFrame({"k": pdf["k"].to_numpy()[row], "start": at - last, "stop": at - first + length})
 
 
