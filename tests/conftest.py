@@ -1,8 +1,12 @@
+import sys
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
 
 @pytest.fixture(scope="session")
 def spark():
