@@ -4,7 +4,7 @@ Labels say toxic or not. Severity grades of the training rows: 0 if not toxic, e
 features the labels tie to toxicity, cut at quantiles. Features are hashed words and word beginnings whose presence is associated with the label (``min_z`` standard
 errors, ``min_docs`` documents). One weight vector is shared by all ordered thresholds: P(grade <= k) = logistic(threshold_k - w x),
 fitted by likelihood with a ridge penalty on a bounded, hash-chosen sample of labelled rows (``train_rows``, half of them toxic if there
-are so many). Every document is scored over its whole text: expected severity,
+are so many; the thresholds are then shifted to the share of toxic rows among all labels). Every document is scored over its whole text: expected severity,
 likeliest grade, P(grade >= 1), and whether that is at least one half.
 
 Null or wordless text: severity by the thresholds alone; if only one class is labelled, no model can be fitted and every score is 0.
@@ -23,7 +23,7 @@ from ._text import FOLDED, Chunk, chunks, mixed, prefix_hash, span_hash, words
 
 BITS = 20
 #: Beginnings of longer words, in bytes, are features too, since stems carry meaning in inflected forms.
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 6, 7)
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -107,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, grades: int, train_rows: int, min_
         return None
     cols = [np.frombuffer(b, "<u4").astype(np.int64) for b in got["cols"]]
     rows, flat = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
+    del got, cols
     one, all_ = np.bincount(flat, weights=toxic[rows], minlength=1 << BITS), np.bincount(flat, minlength=1 << BITS)
     share = toxic.mean()
     z = (one - all_ * share) / np.sqrt(np.maximum(all_ * share * (1 - share), 1e-9))
@@ -114,17 +115,19 @@ def train(docs: DataFrame, labels: DataFrame, grades: int, train_rows: int, min_
     place = np.full(1 << BITS, -1)
     place[use] = np.arange(len(use))
     strong = (z >= min_z) & (all_ >= min_docs) & (one >= 0.8 * all_)
-    severe = np.bincount(rows, weights=strong[flat], minlength=len(cols))
+    severe = np.bincount(rows, weights=strong[flat], minlength=len(toxic))
     levels = np.quantile(severe[toxic == 1], np.linspace(0, 1, grades)[1:-1]) if grades > 2 else np.zeros(0)
     grade = np.where(toxic == 1, 1 + np.searchsorted(levels, severe, "left"), 0)
     keep = place[flat] >= 0
     model = fit(rows[keep], place[flat[keep]], grade, grades, len(use))
     weights = np.zeros(1 << BITS, np.float32)
     weights[use] = model.weights
-    return CumulativeLink(weights, model.thresholds)
+    prior, seen = n[1] / (n[0] + n[1]), toxic.mean()
+    shift = np.log((1 - prior) / prior) - np.log((1 - seen) / seen)
+    return CumulativeLink(weights, model.thresholds + shift)
 
 
-def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", grades: int = 4, train_rows: int = 8000, min_docs: int = 4, min_z: float = 4.0) -> DataFrame:
+def severity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", grades: int = 4, train_rows: int = 4000, min_docs: int = 4, min_z: float = 4.0) -> DataFrame:
     """(id, expected_severity, grade, p_toxic, toxic), one row per document."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
