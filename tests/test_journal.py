@@ -8,7 +8,7 @@ from hslake.functions import text as T
 from hslake.functions.scope import Scope
 from hslake.operators.evidence import decoded
 from hslake.operators.http import decode_bodies, jwt_tokens, payload_entropy
-from hslake.operators.policy import Policy
+from hslake.operators.policy import Policy, evaluate
 from hslake.plans import registry
 from hslake.sources.journal import load_journal
 
@@ -89,3 +89,15 @@ def test_jwt(spark):
     token = f"{enc({'alg': 'HS256'})}.{enc({'iss': 'lab', 'exp': 1700000000})}.c2ln"
     df = spark.createDataFrame([(1, f"a {token} b {token}"), (2, "none"), (3, None)], "id int, text string")
     assert [tuple(r) for r in jwt_tokens(df).collect()] == [(1, "HS256", "lab", 1700000000)]
+
+
+def test_tunnel_and_directory_policies(spark):
+    rows = [
+        (1, "WireGuard", {"encryption": "chacha20-poly1305", "key_exchange": "x25519", "symmetric_key_bits": 256}), (2, "WireGuard", {"encryption": "none"}),
+        (3, "OpenVPN", {"vpn_data_cipher": "AES-256-GCM", "openvpn_tls_version": "TLS 1.3", "openvpn_tls": {"selected_cipher": "A"}, "vpn_authentication": "Verified"}), (4, "OpenVPN", {"vpn_data_cipher": "AES-256-GCM", "openvpn_tls_version": "TLS 1.0", "vpn_authentication": "Failed"}), (5, "OpenVPN", {}),
+        (6, "LDAP", {"ldap_session_protection": "Sealed"}), (7, "LDAP", {"ldap_session_protection": "None"}), (8, "LDAP", {}),
+    ]
+    df = spark.createDataFrame([(i, p, json.dumps(d), "HOST", 1, "", "app", "svc", "", "10.0.0.1") for i, p, d in rows], "id long, tls_name string, crypto_json string, computer_name string, first_us long, error string, source_process string, destination_process string, sni string, destination_address string")
+    policies = [Policy("w", "WireGuard", ciphers=("chacha20-poly1305",), kex=("x25519",), minimum_bits=256), Policy("o", "OpenVPN", ciphers=("AES-256-GCM",), vpn_authentication=True, control_ciphers=("A",)), Policy("l", "LDAP", sasl_protection=True)]
+    got = {r.id: r.status for r in evaluate(df, policies).collect()}
+    assert got == {1: "Pass", 2: "Violation", 3: "Pass", 4: "Violation", 5: "Insufficient evidence", 6: "Pass", 7: "Violation", 8: "Insufficient evidence"}
