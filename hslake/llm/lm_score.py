@@ -1,14 +1,15 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Words (A-Z as a-z) are counted over all documents; those of at least the least count that leaves ``vocabulary`` words or fewer get
-numbers, the others share one. Every document is
+Words (A-Z as a-z) are counted over all documents, each by its 64-bit hash. The most frequent ones, at most ``vocabulary``, get short numbers,
+which only makes their bigrams smaller; a bigram with another word (a rare one) travels by the hashes of both. Every document is
 exploded into bigrams (a start sign before its first word), which go to hash partitions of the bigram space. A partition holds all
 occurrences of its bigrams: their sum is the count table's entry, which is joined to the documents they came from. A bigram seen
 ``min_count`` times or more scores ln(f(ab) / f(a)), else ln(backoff * f(b) / N). Partial sums go back by document.
 
 Bigrams travel as packed columns: a row for each task's flush and partition, holding the numbers of its documents and their bigrams. Within a
-task equal bigrams of a document are summed first, so a frequent bigram costs one entry a document. Nothing is held whole anywhere; the vocabulary
-(12 bytes a word, ``vocabulary`` words at most) is broadcast.
+task equal bigrams of a document are summed first, so a frequent bigram costs one entry a document. Nothing is held whole anywhere; the numbered
+words (12 bytes a word, ``vocabulary`` words at most) are broadcast. Where a score needs the count of a rare word, the partition asks for it by the
+word's hash, and the request is joined to the count table. Scores don't depend on ``vocabulary``.
 
 Null or wordless text: no words, null score. Repeated rows and equal texts: counted as often as they occur, scored alike. Null ids stay.
 """
@@ -26,6 +27,8 @@ from ._text import as_long, chunks, mixed, prefix_hash, span_hash, word_hashes
 
 FLUSH = 1_500_000
 BITS = 18
+#: Stands for the start sign among word hashes.
+START = np.uint64(0x5851F42D4C957F2D)
 #: Even a small corpus is dealt over so many hash partitions, so that a text's partial sums don't multiply as it grows.
 LEAST_BUCKETS = 64
 
@@ -95,68 +98,118 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     order = np.argsort(names)
     seen = np.zeros(len(names) + 2)
     seen[1:-1] = top["n"].to_numpy()[order]
-    seen[0], seen[-1] = max(total - seen.sum(), 1), n_docs
+    seen[-1] = n_docs
     shared = spark.sparkContext.broadcast((names[order], seen))
     n_buckets = max(LEAST_BUCKETS, -(-total // 2_500_000))
 
+    def numbered(vocab, h):
+        """Numbers of words, from 1; 0 for a rare one."""
+        if not len(vocab):
+            return np.zeros(len(h), np.uint64)
+        at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        return np.where(vocab[at] == h, at + 1, 0).astype(np.uint64)
+
+    def packed(keys, owner, n, bucket, code, rare):
+        """A row for each bucket; ``code`` has the bytes of a bigram in each of its rows."""
+        by = np.argsort(bucket.astype(np.uint16 if n_buckets < 65536 else np.uint32), kind="stable")
+        bucket, owner, code, n = bucket[by], owner[by], code[by], n[by]
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+        rows = []
+        for i, j in zip(at, [*at[1:], len(code)]):
+            new = np.concatenate(([True], owner[i + 1 : j] != owner[i : j - 1]))
+            first = np.flatnonzero(new)
+            rows.append((int(bucket[i]), rare, keys[owner[i:j][first]].tobytes(), np.diff(np.concatenate((first, [j - i]))).astype(np.uint32).tobytes(), np.ascontiguousarray(code[i:j]).tobytes(), n[i:j].astype(np.uint32).tobytes()))
+        return rows
+
     def explode(batches):
         vocab, _ = shared.value
         start = np.uint64(len(vocab) + 1)
-        held, size, base = [], 0, 0
+        held, wide, size, base = [], [], 0, 0
 
         def flush():
             keys = np.concatenate([k for k, _, _, _ in held])
             owner, code, n = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-            bucket = mixed(code) % np.uint64(n_buckets)
-            by = np.argsort(bucket.astype(np.uint16 if n_buckets < 65536 else np.uint32), kind="stable")
-            bucket, owner, code, n = bucket[by], owner[by], code[by], n[by]
-            low = code.view(np.uint8).reshape(-1, 8)[:, :5]
-            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            rows = []
-            for i, j in zip(at, [*at[1:], len(code)]):
-                new = np.concatenate(([True], owner[i + 1 : j] != owner[i : j - 1]))
-                first = np.flatnonzero(new)
-                rows.append((int(bucket[i]), keys[owner[i:j][first]].tobytes(), np.diff(np.concatenate((first, [j - i]))).astype(np.uint32).tobytes(), np.ascontiguousarray(low[i:j]).tobytes(), n[i:j].astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "k", "many", "code", "n"])
+            rows = packed(keys, owner, n, mixed(code) % np.uint64(n_buckets), code.view(np.uint8).reshape(-1, 8)[:, :5], False)
+            owner, code, n = (np.concatenate([x[i] for x in wide]) for i in (0, 1, 2))
+            rows += packed(keys, owner, n, mixed(mixed(code[:, 0]) + code[:, 1]) % np.uint64(n_buckets), code, True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["bucket", "rare", "k", "many", "code", "n"])
 
         for chunk in chunks(batches):
             h, row = word_hashes(chunk)
             if not len(h):
                 continue
-            at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-            word = np.where(vocab[at] == h, at + 1, 0).astype(np.uint64)
+            word = numbered(vocab, h)
+            begins = np.concatenate(([True], row[1:] != row[:-1]))
             left = np.concatenate(([start], word[:-1]))
-            left[np.concatenate(([True], row[1:] != row[:-1]))] = start
-            code = (left << np.uint64(BITS)) | word
+            left[begins] = start
+            rare = np.flatnonzero((word == 0) | (left == 0))
+            before = np.concatenate(([START], h[:-1]))
+            before[begins] = START
+            a, b, owner = before[rare], h[rare], row[rare]
+            by = np.lexsort((b, a, owner))
+            a, b, owner = a[by], b[by], owner[by]
+            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])))) if len(by) else by
+            wide.append((owner[new] + base, np.stack((a[new], b[new]), axis=1), np.diff(np.concatenate((new, [len(by)])))))
+            size += len(new)
+            usual = (word != 0) & (left != 0)
+            code, row = (left[usual] << np.uint64(BITS)) | word[usual], row[usual]
             by = np.lexsort((code, row)) if len(chunk) >= 1 << 24 else np.argsort((row.astype(np.uint64) << np.uint64(40)) | code)
             code, row = code[by], row[by]
-            new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1]))))
+            new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))) if len(by) else by
             held.append((text_keys(chunk), row[new] + base, code[new], np.diff(np.concatenate((new, [len(code)])))))
             base += len(chunk)
             size += len(new)
             if size >= FLUSH:
                 yield flush()
-                held, size, base = [], 0, 0
+                held, wide, size, base = [], [], 0, 0
         if held:
             yield flush()
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, seen = shared.value
+    def unpacked(pdf, width, kind):
         k, many = np.frombuffer(b"".join(pdf["k"]), np.uint64), np.frombuffer(b"".join(pdf["many"]), np.uint32)
-        n = np.frombuffer(b"".join(pdf["n"]), np.uint32)
-        low = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(-1, 5)
-        code = np.zeros((len(low), 8), np.uint8)
-        code[:, :5] = low
-        table, which = np.unique(code.view(np.uint64).ravel(), return_inverse=True)
-        f = np.bincount(which, weights=n)
-        a, b = (table >> np.uint64(BITS)).astype(np.int64), (table & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        value = np.log(np.where(f >= min_count, f / seen[a], backoff * seen[b] / total))
-        part = np.add.reduceat(value[which] * n, np.concatenate(([0], np.cumsum(many[:-1].astype(np.int64)))))
-        names, who = np.unique(k, return_inverse=True)
-        return pd.DataFrame({"k": names.view(np.int64), "part": np.bincount(who, weights=part)})
-
-    parts = texts.select("text").mapInArrow(explode, "bucket int, k binary, many binary, code binary, n binary").groupBy("bucket").applyInPandas(join, "k long, part double")
-    sums = parts.groupBy("k").agg(F.sum("part").alias("s"))
+        return k, many, np.frombuffer(b"".join(pdf["code"]), kind).reshape(-1, width), np.frombuffer(b"".join(pdf["n"]), np.uint32)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        vocab, seen = shared.value
+        owners, parts = [], []
+        asked = pd.DataFrame({"k": np.zeros(0, np.int64), "h": np.zeros(0, np.int64), "part": np.zeros(0)})
+        k, many, low, n = unpacked(pdf[~pdf["rare"]], 5, np.uint8)
+        if len(k):
+            code = np.zeros((len(low), 8), np.uint8)
+            code[:, :5] = low
+            table, which = np.unique(code.view(np.uint64).ravel(), return_inverse=True)
+            f = np.bincount(which, weights=n)
+            a, b = (table >> np.uint64(BITS)).astype(np.int64), (table & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            value = np.log(np.where(f >= min_count, f / seen[a], backoff * seen[b] / total))
+            owners.append(k)
+            parts.append(np.add.reduceat(value[which] * n, np.concatenate(([0], np.cumsum(many[:-1].astype(np.int64))))))
+        k, many, pair, n = unpacked(pdf[pdf["rare"]], 2, np.uint64)
+        if len(k):
+            by = np.lexsort((pair[:, 1], pair[:, 0]))
+            new = np.concatenate(([True], (pair[by][1:] != pair[by][:-1]).any(axis=1)))
+            which = np.empty(len(by), np.int64)
+            which[by] = np.cumsum(new) - 1
+            table = pair[by[new]]
+            f = np.bincount(which, weights=n)
+            often = f >= min_count
+            # ln(f(ab)) - ln(f(a)), or ln(backoff / N) + ln(f(b)): the last term of each is looked up here or asked for
+            needs, sign = np.where(often, table[:, 0], table[:, 1]), np.where(often, -1.0, 1.0)
+            number = np.where(needs == START, np.uint64(len(vocab) + 1), numbered(vocab, needs)).astype(np.int64)
+            known = number > 0
+            value = np.where(often, np.log(f), np.log(backoff / total)) + sign * np.log(np.where(known, seen[number], 1))
+            owners.append(k)
+            parts.append(np.add.reduceat(value[which] * n, np.concatenate(([0], np.cumsum(many[:-1].astype(np.int64))))))
+            ask = ~known[which]
+            asked = pd.DataFrame({"k": np.repeat(k, many)[ask].view(np.int64), "h": needs[which][ask].view(np.int64), "part": (sign[which] * n)[ask]}).groupby(["k", "h"], as_index=False).sum()
+        names, who = np.unique(np.concatenate(owners), return_inverse=True)
+        own = pd.DataFrame({"k": names.view(np.int64), "h": np.int64(0), "part": np.bincount(who, weights=np.concatenate(parts)), "ask": False})
+        return pd.concat([own, asked.assign(ask=True)[["k", "h", "part", "ask"]]])
+
+    parts = texts.select("text").mapInArrow(explode, "bucket int, rare boolean, k binary, many binary, code binary, n binary").groupBy("bucket").applyInPandas(join, "k long, h long, part double, ask boolean")
+    parts = cut(parts, "parts")
+    rare = counts.where(F.col("n") < least)
+    looked = parts.where("ask").join(rare, "h").select("k", (F.col("part") * F.ln("n")).alias("part"))
+    sums = parts.where("not ask").select("k", "part").union(looked).groupBy("k").agg(F.sum("part").alias("s"))
     copies = rows.where("n_words > 0").groupBy("k").agg(F.count("*").alias("c"))
     per_text = copies.join(sums, "k").select("k", (F.col("s") / F.col("c")).alias("log_score"))
     scored = rows.join(per_text, "k", "left")

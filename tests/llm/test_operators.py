@@ -336,3 +336,19 @@ def test_binomial_tail(spark):
     for r in df.collect():
         want = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(0.01) + (r.n - i) * math.log(0.99)) for i in range(r.k + 1))
         assert r.p == pytest.approx(want, rel=1e-6)
+
+
+def test_lm_counts_every_word(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randint(1, 60)))) for i in range(120)] + [(500, "only once here"), (501, "only once here"), (502, "unique1 unique2 unique3")]
+    docs = documents(spark, rows)
+    uni, bi = collections.Counter(), collections.Counter()
+    for _, t in rows:
+        uni.update(t.split())
+        bi.update(zip([None, *t.split()], t.split()))
+    total = sum(uni.values())
+    for vocabulary in (0, 3, 40, 100_000):
+        got = {r.id: r.log_score for r in lm_score.score_documents(docs, vocabulary=vocabulary).collect()}
+        for i, t in rows:
+            want = sum(math.log(bi[g] / (uni[g[0]] if g[0] else len(rows)) if bi[g] >= 2 else 0.4 * uni[g[1]] / total) for g in zip([None, *t.split()], t.split()))
+            assert got[i] == pytest.approx(want), (vocabulary, i)
