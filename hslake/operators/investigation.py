@@ -288,10 +288,32 @@ def page_certificates(j):
 
 @query("export_order", "select id, first_us, row_number() over (order by first_us, id) as n from (select id, first_us from connections order by first_us, id limit 500) t")
 def export_order(j):
+    """The head of the order, as the SQL has it; ``export_order_all`` is the whole."""
     first = j.connections.select("id", "first_us").orderBy("first_us", "id").limit(500)
     return first.withColumn("n", F.row_number().over(Window.orderBy("first_us", "id")))
 
 
+def numbered(df: DataFrame, time: str, rows_a_range: int = 1 << 18) -> DataFrame:
+    """Every row with its place ``n`` in ascending (time, id): a count for each range, then row numbers within the ranges.
+
+    The ranges are cut at hash-chosen rows, one of ``rows_a_range``; the cuts only decide how even they are.
+    """
+    key = F.struct(F.col(time).alias("t"), F.col("id").alias("i"))
+    cuts = df.where(F.pmod(F.xxhash64("id"), F.lit(rows_a_range)) == 0).select(key.alias("k")).collect()
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    bounds = F.array(*[F.struct(F.lit(r.k.t).cast(kind["t"].dataType).alias("t"), F.lit(r.k.i).cast(kind["i"].dataType).alias("i")) for r in cuts])
+    rows = df.withColumn("range", F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("c"))
+    sizes = sizes.select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(sizes), "range").withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(time, "id")))
+    return rows.drop("range", "base")
+
+
+@query("export_order_all", "select id, first_us, row_number() over (order by first_us, id) as n from connections")
+def export_order_all(j):
+    return numbered(j.connections.select("id", "first_us"), "first_us")
+
+
 def csv_quote(c: Column) -> Column:
     """A quoted CSV field; text that a sheet would run is led by an apostrophe."""
     text = F.coalesce(c.cast("string"), F.lit(""))

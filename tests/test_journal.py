@@ -101,3 +101,13 @@ def test_tunnel_and_directory_policies(spark):
     policies = [Policy("w", "WireGuard", ciphers=("chacha20-poly1305",), kex=("x25519",), minimum_bits=256), Policy("o", "OpenVPN", ciphers=("AES-256-GCM",), vpn_authentication=True, control_ciphers=("A",)), Policy("l", "LDAP", sasl_protection=True)]
     got = {r.id: r.status for r in evaluate(df, policies).collect()}
     assert got == {1: "Pass", 2: "Violation", 3: "Pass", 4: "Violation", 5: "Insufficient evidence", 6: "Pass", 7: "Violation", 8: "Insufficient evidence"}
+
+
+def test_export_order_numbers_every_row_over_ranges(spark):
+    from hslake.operators.investigation import numbered
+
+    rows = [(i * 7919 % 3000, i * 31 % 40) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t long")
+    for size in (64, 1 << 18):
+        got = {(r.t, r.id): r.n for r in numbered(df, "t", rows_a_range=size).collect()}
+        assert got == {(t, i): n for n, (t, i) in enumerate(sorted((t, i) for i, t in rows), 1)}
