@@ -352,3 +352,50 @@ def test_lm_counts_every_word(spark):
         for i, t in rows:
             want = sum(math.log(bi[g] / (uni[g[0]] if g[0] else len(rows)) if bi[g] >= 2 else 0.4 * uni[g[1]] / total) for g in zip([None, *t.split()], t.split()))
             assert got[i] == pytest.approx(want), (vocabulary, i)
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_decontamination_asks_items_of_every_length(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(4, 7))) for _ in range(1500)]
+    pick = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {i: pick(n) for i, n in enumerate([8, 9, 10, 12, 15, 16, 17, 18, 20, 24, 30, 40, 60] * 3)}
+    rows, want = [(10_000 + i, " ".join(pick(120))) for i in range(40)], set()
+    for i, item in items.items():
+        for share in (0.0, 0.2, 0.38):
+            told = list(item)
+            for k in rng.sample(range(len(item) - 4), min(len(item) - 4, int(share * len(item)))):
+                told[k] = f"zz{k}"
+            d = i * 3 + int(share * 6)
+            rows.append((d, " ".join(pick(rng.randint(0, 90)) + told + pick(rng.randint(0, 90)))))
+    for d, t in rows:
+        w = t.split()
+        for i, item in items.items():
+            if len(set(item) & set(w)) >= 0.6 * len(item):
+                span = next(s for m, s in ((24, 48), (64, 96)) if len(item) <= m)
+                for a in range(0, len(w), 16 if span < 96 else 32):
+                    here = w[a : a + span]
+                    if subsequence(item, here) >= 0.6 * len(item) and (subsequence(item, here) >= 0.75 * len(item) or subsequence(item[-4:], here) == 4):
+                        want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:])) for i, w in items.items()], "item_id long, text string")
+    got = {(r.id, r.item_id) for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    short = {(d, i) for d, i in want if len(items[i]) <= 16}
+    assert len(short) >= 45 and len(want) >= 100
+    print("recall", len(want & got), len(want), "short", len(short & got), len(short), "extra", len(got - want))
+    assert len(short & got) >= 0.98 * len(short) and len(want & got) >= 0.98 * len(want) and len(got - want) <= 2
+
+
+def test_decontamination_asks_very_short_items_and_scripts_without_spaces(spark):
+    chinese = "床前明月光疑是地上霜。举头望明月低头思故乡"
+    bench = spark.createDataFrame([(1, "Purple xylophone!"), (2, chinese), (3, "ไม่มี"), (4, " ... ")], "item_id long, text string")
+    rows = [(1, "a purple, xylophone plays"), (2, "purple and xylophone"), (3, "purple"), (4, "xylophone"), (5, "他说" + chinese.replace("。", "，").replace("地", "田") + "是诗"), (6, "春眠不觉晓处处闻啼鸟"), (7, "เขาไม่มีเงิน"), (8, None)]
+    got = {(r.id, r.item_id, r.kind) for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1, "verbatim"), (5, 2, "verbatim"), (7, 3, "verbatim")}
