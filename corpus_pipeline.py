@@ -12,14 +12,16 @@ from hslake.llm._spark import cut, join_measured, scratch_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled rules keep. Null ids are judged by nothing and go."""
-    judged = quality.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = cut(judged.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "rejected")
-    return join_measured(docs.where("doc_id is not null"), bad, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the base rules and the risk-controlled rules keep, each by its own text and language; null ids are judged alike."""
+    columns, row = docs.columns, [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "lang", "text")]
+    keyed = docs.withColumns({f"row_key{k}": F.xxhash64(F.lit(k), F.col("doc_id").isNull(), *row) for k in (1, 2)})
+    judged = quality.quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row_key1", "row_key2"))
+    bad = cut(judged.where("not kept").select("row_key1", "row_key2").distinct(), "rejected")
+    return join_measured(keyed, bad, ["row_key1", "row_key2"], "left_anti").select(columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: the one of least id."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: the one of least id; null ids stay."""
     return jaccard.keep_one_per_group(docs).select(docs.columns)
 
 

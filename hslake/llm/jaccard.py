@@ -217,12 +217,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents whose id is their component's; rows of null id stay. Of repeated rows of one id, one stays."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den)
-    gone = cut(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
-    kept = join_measured(docs, gone, id_col, "left_anti")
-    again = found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
-    return kept if not again else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    """One document of each component, that of least id; rows of null id stay.
+
+    Rows of one id count as one document only if their shingle classes are the same or linked.
+    """
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    options = {"text_col": text_col, "shingle": shingle, "num": num, "den": den}
+    if not again:
+        found = jaccard_components(docs, id_col=id_col, **options)
+        gone = cut(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
+        return join_measured(docs, gone, id_col, "left_anti")
+    row = "__row"
+    rows = docs.withColumn(row, F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))))
+    found = cut(jaccard_components(rows, id_col=row, **options).where("id is not null").withColumnRenamed("id", row).distinct(), "rows")
+    named = found.join(rows.select(row, F.col(id_col).alias("own")).distinct(), row)
+    alone = F.col("n_shingles") == 0
+    best = named.groupBy(alone.alias("alone"), F.when(alone, F.col("own")).otherwise(F.col("component_id")).alias("g")).agg(F.min(F.struct("own", row)).alias("b"))
+    stay = cut(best.select(f"b.{row}"), "stay")
+    kept = join_measured(rows.where(F.col(row).isNotNull()), stay, row, "left_semi").dropDuplicates([row])
+    return kept.unionByName(rows.where(F.col(row).isNull())).drop(row)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

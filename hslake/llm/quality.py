@@ -57,9 +57,9 @@ def text_features(text: str = "text") -> Column:
           'n_repeat_words', {repeats}))[0]""")
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str | None) -> DataFrame:
+def with_features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str | None, carry: tuple[str, ...] = ()) -> DataFrame:
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
-    f = docs.select(F.col(id_col).alias("id"), stratum.alias("stratum"), text_features(f"`{text_col}`").alias("f")).select("id", "stratum", "f.*")
+    f = docs.select(F.col(id_col).alias("id"), stratum.alias("stratum"), *carry, text_features(f"`{text_col}`").alias("f")).select("id", "stratum", *carry, "f.*")
     return f.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -99,19 +99,19 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, epsilon: float, delta
     return good.groupBy("stratum", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id: str = "doc_id", label_good: str = "quality", epsilon: float = 0.01, delta: float = 0.05, min_precision: float = 0.9) -> DataFrame:
-    """One row per document: ``id``, its features, ``base_failed``, the rules that reject it and ``kept``.
+def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id: str = "doc_id", label_good: str = "quality", epsilon: float = 0.01, delta: float = 0.05, min_precision: float = 0.9, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``id``, its features, ``base_failed``, the rules that reject it, ``kept`` and the columns ``carry``.
 
     Labels hold 1 for good and 0 for bad; null labels are left out. The result of the holdout is a small table (strata times rules).
     """
-    features = cut(with_features(docs, id_col, text_col, stratum_col), "features")
+    features = cut(with_features(docs, id_col, text_col, stratum_col, carry), "features")
     known = labels.select(F.col(label_id).alias("id"), F.col(label_good).cast("int").alias("good")).where("id is not null and good is not null")
     chosen = select_cutoffs(features, known, epsilon, delta, min_precision)
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
     wide = cut(wide, "cutoffs")
     judged = features.join(wide, "stratum", "left")
     judged = judged.withColumn("failed_rules", F.expr("filter(array(" + ", ".join(f"case when {_sql(r)} then '{r}' end" for r in RULES) + "), x -> x is not null)"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept", *carry)
 
 
 def _sql(rule: str) -> str:

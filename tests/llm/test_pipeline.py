@@ -47,3 +47,14 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    prose = lambda seed: " ".join(f"w{seed}x{i}" for i in range(80))
+    rows = [(None, prose(1)), (None, "too short"), (7, prose(2)), (7, "too short"), (8, prose(3)), (8, prose(4)), (8, prose(4)), (3, prose(4)), (9, prose(2) + " end"), (None, prose(3))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    good = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in good.collect()), key=key) == sorted((x for x in rows if x[1] != "too short"), key=key)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, good, SF).collect()), key=key)
+    assert got == sorted([(None, prose(1)), (7, prose(2)), (8, prose(3)), (3, prose(4)), (None, prose(3))], key=key)
