@@ -1,22 +1,25 @@
-"""Removal of long repeated byte strings: shard suffix orders merged by interleave refinement around content-chosen anchors.
+"""Removal of long repeated byte strings: Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
 Every ``length``-byte string holds, among its first ``window`` ``gram``-byte strings (gram + window - 1 = length), one of least hash: its
-anchor. Equal strings have equal anchors at equal offsets, so only suffixes at anchors are ordered, and only those whose anchor occurs
-twice: nothing else can repeat.
-
-1. Each text gives its anchors. Equal texts form a class; one stands for it. Anchors that occur once are left out.
-2. Every task is a shard: it puts its anchors' contexts (the bytes to both sides that one string through the anchor can reach) in
-   order and ships them to the bucket of their anchor.
-3. A bucket merges its shards without sorting the suffixes anew: all shards' suffixes start in one interval for each anchor, and each
-   round refines the interleave by the next eight symbols, only in intervals that still hold two suffixes. Where a round parts two
-   neighbours, their longest common prefix is known. The same rounds over the preceding symbols (what the transform of each suffix
-   holds) give common extensions to the left.
-4. A string that starts ``o`` bytes before its anchor repeats exactly if another suffix lies in its interval of common prefix length - o
-   and in its interval of left extension o. The repeated intervals of all ``o`` are read off the two merged orders.
-5. Contexts of an anchor with over ``hot`` occurrences aren't gathered: their strings are counted by 128-bit hash (partial counts first).
+anchor. Equal strings have equal anchors at equal offsets, so strings are only held together at anchors that occur twice: a filter before
+the merge, nothing else can repeat.
+
+1. Each text gives its anchors. Equal texts form a class. Anchors that occur once are left out.
+2. Every task is a shard. It reads the bytes from each anchor to the right, and those before it to the left, as two strings of phrases (``phrase``
+   bytes each, numbered in the order of their bytes). Equal contexts of a shard become one with several owners. For the bucket that its anchors
+   are dealt to, the shard sends the Burrows-Wheeler transforms of both string sets with their ends, the phrases in order, and the owners.
+3. A bucket merges its shards' transforms without sorting a suffix: the interleave vector says which shard the next suffix of the merged order
+   comes from; each round walks it and sends every suffix to the next place of the phrase before it (an LF step), until no round parts anything.
+   The round that parts two neighbours gives their common phrases, the parting phrases the bytes beyond.
+4. A string that starts ``o`` bytes before its anchor repeats exactly if another context lies in its interval of common prefix length - o
+   to the right and in its interval of common prefix o to the left. The repeated intervals of all ``o`` are read off the two merged orders.
+5. Contexts of an anchor with over ``hot`` occurrences aren't gathered in one bucket: their strings are counted by 128-bit hash, partial counts
+   first, which no number of occurrences overfills. Results are the same.
 
 Each byte covered by a string that also starts elsewhere, same text included, is removed; matches never cross texts. Null text: empty,
-nothing removed. Texts shorter than ``length``: nothing removed. Repeated rows: copies of each other. Null ids stay.
+nothing removed, and kept null where text is asked for. Texts shorter than ``length``: nothing removed. Repeated rows: copies of each other.
+Null ids stay. Very long texts: a chunk of their own, whole; their contexts are sent in slices. No documents: no rows. Other columns go
+through in a struct, so their names can't clash. Contexts and phrases of a shard are told apart by 64-bit hashes, of shards by their bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from ._spark import cut
 from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, release, span_hash
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-CONTEXTS = 24_000
+_ODD = np.uint64(0x9FB21C651E98DF25)
+CONTEXTS, SLICE, SHARD_BYTES = 24_000, 40_000, 4 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,51 +68,114 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tu
     return pos, h[pos]
 
 
-def refine(anchor: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the shards' rows: their order by (anchor, symbols) and each row's common prefix in bytes with the row before it.
-
-    ``symbols`` has eight bytes a column, first bytes highest. -1 parts different anchors. Rounds touch unresolved intervals only.
+def suffix_order(codes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of the strings (rows of phrase numbers), by bucket first; suffix j of row r is r * (m + 1) + j, j = m the bare end."""
+    n, m = codes.shape
+    padded = np.zeros((n, 2 * m), np.uint64)
+    padded[:, :m] = codes + 1
+    bits = int(codes.max(initial=0) + 1).bit_length()
+    per = 63 // bits
+    keys = []
+    for a in range(0, m, per):
+        key = np.zeros((n, m + 1), np.uint64)
+        for k in range(a, min(a + per, m)):
+            key = (key << np.uint64(bits)) | padded[:, k : k + m + 1] if k < m else key
+        keys.append(key.ravel())
+    return np.lexsort((*keys[::-1], np.repeat(bucket, m + 1)))
+
+
+def transform(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Burrows-Wheeler transform: the phrase before each suffix, in suffix order; -1 where a string begins."""
+    m = codes.shape[1]
+    row, j = order // (m + 1), order % (m + 1)
+    return np.where(j > 0, codes[row, j - 1], -1).astype(np.int32)
+
+
+def strings_of(last: np.ndarray, shard: np.ndarray, begin: np.ndarray, many: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Undo the shards' transforms by LF steps from the bare ends: the strings, and the row at which each stands whole."""
+    to = np.empty(len(last), np.int64)
+    to[np.lexsort((last, shard))] = np.arange(len(last))
+    at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    out = np.empty((len(at), m), np.int64)
+    for j in range(m - 1, -1, -1):
+        out[:, j] = last[at]
+        at = to[at]
+    return out, at
+
+
+def merge_transforms(last: np.ndarray, shard: np.ndarray, many: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes, and for each merged suffix how many phrases it has in common with the one before it.
+
+    ``last`` holds the transforms one after the other (shard 0 first), ``many`` each shard's strings, all of ``m`` phrases.
     """
-    n = len(anchor)
-    order = np.argsort(anchor, kind="stable")
-    lcp = np.full(n, symbols.shape[1] * 8, np.int32)
-    new = np.concatenate(([True], anchor[order[1:]] != anchor[order[:-1]]))
-    lcp[new] = -1
-    live = np.arange(n)
-    for t in range(symbols.shape[1]):
-        lone = new & np.concatenate((new[1:], [True]))
-        live, interval = live[~lone], np.cumsum(new)[~lone]
-        if not len(live):
+    size, ends = len(last), int(many.sum())
+    z, block, common = shard, np.zeros(size, np.int64), np.full(size, -1, np.int64)
+    fixed = np.repeat(np.arange(len(many)), many)
+    for h in range(m + 1):
+        row = np.empty(size, np.int64)
+        row[np.argsort(z, kind="stable")] = np.arange(size)
+        symbol = last[row]
+        source = np.argsort(symbol, kind="stable")[ends:]
+        s, b = symbol[source], block[source]
+        part = np.zeros(size, bool)
+        part[[0, min(ends, size - 1)]] = True
+        part[ends + 1 :] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        z, block = np.concatenate((fixed, z[source])), np.cumsum(part)
+        fresh = part & (common < 0)
+        common[fresh] = h
+        if not fresh.any():
             break
-        rows = order[live]
-        sym = symbols[rows, t]
-        by = np.lexsort((sym, interval))
-        order[live], sym, new = rows[by], sym[by], new[~lone]
-        differ = np.concatenate(([0], sym[1:] ^ sym[:-1])).astype(np.uint64)
-        split = ~new & (differ != 0)
-        lcp[live[split]] = 8 * t + _leading_bytes(differ[split])
-        new = new | split
-    return order, lcp
+    common[common < 0] = m
+    return z, common
+
 
+def merged_contexts(last: list[np.ndarray], words: list[np.ndarray], many: np.ndarray, phrase: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of all shards in merged order, and the bytes each has in common with the one before it (-1 for the first).
 
-def _leading_bytes(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x), np.int32)
-    for k in range(1, 8):
-        out += x < (np.uint64(1) << np.uint64(64 - 8 * k))
-    return out
+    ``words``: each shard's distinct phrases in byte order, ``phrase`` bytes a row, which its transform in ``last`` numbers.
+    """
+    every = np.concatenate(words)
+    key = np.zeros(len(every), np.uint64)
+    for k in range(phrase // 8):
+        key = mixed(key ^ every.view(np.uint64)[:, k]) + _ODD
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    lead = np.argsort(every[first].view(f"S{phrase}").ravel(), kind="stable")
+    number = np.empty(len(lead), np.int64)
+    number[lead] = np.arange(len(lead))
+    number, table = number[which], every[first[lead]]
+    base = np.cumsum([0, *map(len, words)])
+    sizes = np.array([len(x) for x in last])
+    shard = np.repeat(np.arange(len(last)), sizes)
+    flat = np.concatenate(last).astype(np.int64)
+    flat = np.where(flat >= 0, number[np.maximum(flat, 0) + base[shard]], -1)
+    strings, whole = strings_of(flat, shard, np.cumsum(sizes) - sizes, many, m)
+    z, common = merge_transforms(flat, shard, many, m)
+    row = np.empty(len(z), np.int64)
+    row[np.argsort(z, kind="stable")] = np.arange(len(z))
+    name = np.full(len(z), -1, np.int64)
+    name[whole] = np.arange(len(whole))
+    name = name[row]
+    at = np.flatnonzero(name >= 0)
+    order = name[at]
+    lcp = np.full(len(at), -1, np.int64)
+    if len(at) > 1:
+        h = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1)
+        x, y = (strings[order[k : len(order) - 1 + k], np.minimum(h, m - 1)] for k in (0, 1))
+        differ = table[x] != table[y]
+        lcp[1:] = np.where(h < m, h * phrase + differ.argmax(axis=1), m * phrase)
+    return order, lcp
 
 
-def repeated_offsets(anchor: np.ndarray, left: np.ndarray, right: np.ndarray, lead: np.ndarray, follow: np.ndarray, length: int, window: int) -> np.ndarray:
+def repeated_offsets(right: tuple, left: tuple, lead: np.ndarray, follow: np.ndarray, length: int, window: int) -> np.ndarray:
     """Matrix of context by offset: whether the string that starts so many bytes before the anchor repeats.
 
-    ``left`` (nearest byte first) and ``right`` are zero-padded byte rows; ``lead`` and ``follow`` say how many of them are text.
+    ``right`` and ``left`` are (order, common bytes) of the contexts to both sides; ``lead`` and ``follow`` say how many bytes are text.
     """
-    n = len(anchor)
+    n = len(lead)
     hit = np.zeros((n, window), bool)
-    order, lcp = refine(anchor, right.view(">u8").astype(np.uint64))
-    left_order, lcs = refine(anchor, left.view(">u8").astype(np.uint64))
-    near = np.zeros(n, np.int32)
-    for by, common in ((order, lcp), (left_order, lcs)):
+    (order, lcp), (left_order, lcs) = right, left
+    near = np.zeros(n, np.int64)
+    for by, common in (right, left):
         near[by] += np.maximum(common, np.concatenate((common[1:], [-1])))
     may = (near >= length) & (lead + follow >= length)
     if not may.any():
@@ -136,26 +203,97 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
+_SHARD = "bucket int, n int, weight binary, lead binary, follow binary, own binary, names binary, ats binary, r_bwt binary, r_words binary, l_bwt binary, l_words binary"
+_FIELDS = [part.split()[0] for part in _SHARD.split(", ")]
+
+
+def _sides(length: int, window: int) -> tuple[int, int, int]:
+    """Bytes of a phrase, phrases to the right of an anchor, phrases to the left."""
+    phrase = max(8, length // 7 // 8 * 8)
+    return phrase, -(-length // phrase), max(1, -(-(window - 1) // phrase))
+
+
+def shard_rows(chunk, names: list[bytes], full: np.ndarray, row: np.ndarray, at: np.ndarray, n_buckets: int, length: int, gram: int) -> list[tuple]:
+    """A shard's rows for the buckets: contexts of the anchors at byte ``at`` of chunk row ``row``; ``full`` texts need no answer and count twice."""
+    window = length - gram + 1
+    phrase, m_right, m_left = _sides(length, window)
+    data, sums = chunk.data, prefix_hash(chunk.data)
+    pos = at + chunk.offsets[row]
+    lead, follow = np.minimum(window - 1, at), np.minimum(length, chunk.offsets[row + 1] - pos)
+    key = mixed(mixed(span_hash(sums, pos - lead, pos + follow) + lead.astype(np.uint64) * _ODD) + follow.astype(np.uint64))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    weight = np.bincount(which, weights=1 + full[row])
+    bucket = (mixed(span_hash(sums, pos[first], pos[first] + gram)) % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    bucket, pick, weight = bucket[by], first[by], weight[by]
+    p, lead, follow = pos[pick], lead[pick], follow[pick]
+    owners = np.flatnonzero(~full[row])
+    owners = owners[np.argsort(place[which[owners]], kind="stable")]
+    own = np.bincount(place[which[owners]], minlength=len(by))
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    cuts = np.concatenate((begin, [len(bucket)]))
+    sides = []
+    for m, ahead in ((m_right, True), (m_left, False)):
+        steps = phrase * np.arange(m + 1)
+        edge = np.minimum(p[:, None] + steps, (p + follow)[:, None]) if ahead else np.maximum(p[:, None] - steps, (p - lead)[:, None])
+        low, high = (edge[:, :-1], edge[:, 1:]) if ahead else (edge[:, 1:], edge[:, :-1])
+        low, high = low.ravel(), high.ravel()
+        _, one, number = np.unique(mixed(span_hash(sums, low, high) + (high - low).astype(np.uint64) * _ODD), return_index=True, return_inverse=True)
+        reach = np.arange(phrase)
+        cell = low[one][:, None] + reach if ahead else high[one][:, None] - 1 - reach
+        inside = reach < (high - low)[one][:, None]
+        words = np.where(inside, data[np.clip(cell, 0, len(data) - 1)], 0).astype(np.uint8)
+        rank = np.argsort(words.view(f"S{phrase}").ravel(), kind="stable")
+        place_of = np.empty(len(rank), np.int64)
+        place_of[rank] = np.arange(len(rank))
+        codes = place_of[number].reshape(-1, m)
+        last = transform(codes, suffix_order(codes, bucket))
+        used, local = np.unique(bucket[:, None] * len(rank) + codes, return_inverse=True)
+        start = np.searchsorted(used, np.unique(bucket) * len(rank))
+        which_bucket = np.repeat(np.arange(len(begin)), np.diff(cuts))
+        mine = np.repeat(which_bucket, m + 1)
+        known = np.searchsorted(used, bucket[begin][mine] * len(rank) + np.maximum(last, 0)) - start[mine]
+        sides.append((np.where(last >= 0, known, -1).astype(np.int32), m, words[rank][used % len(rank)], np.concatenate((start, [len(used)]))))
+    ends = np.concatenate(([0], np.cumsum(own)))
+    rows = []
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        mine = owners[ends[i] : ends[j]]
+        packed = [x[i:j].astype(t).tobytes() for x, t in ((weight, np.uint32), (lead, np.int32), (follow, np.int32), (own, np.int32))]
+        for last, m, words, start in sides:
+            packed += [last[i * (m + 1) : j * (m + 1)].tobytes(), words[start[k] : start[k + 1]].tobytes()]
+        rows.append((int(bucket[i]), int(j - i), *packed[:4], b"".join(names[r] for r in row[mine]), at[mine].astype(np.int32).tobytes(), *packed[4:]))
+    return rows
+
+
 def _merge_bucket(pdf: pd.DataFrame, length: int, window: int) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["k", "at"])
-    n, reach = len(pdf), -(-(window - 1) // 8) * 8
-    right = np.zeros((n, -(-length // 8) * 8), np.uint8)
-    left = np.zeros((n, max(8, reach)), np.uint8)
-    lead = pdf["lead"].to_numpy(np.int64)
-    follow = np.zeros(n, np.int64)
-    for i, (raw, l) in enumerate(zip(pdf["ctx"], lead)):
-        b = np.frombuffer(raw, np.uint8)
-        follow[i] = len(b) - l
-        right[i, : len(b) - l] = b[l:]
-        left[i, :l] = b[:l][::-1]
-    row, first, last = _runs(repeated_offsets(pdf["fp"].to_numpy(), left, right, lead, follow, length, window))
-    at = pdf["at"].to_numpy(np.int64)[row]
+    phrase, m_right, m_left = _sides(length, window)
+    many = pdf["n"].to_numpy(np.int64)
+    weight, lead, follow, own = (np.frombuffer(b"".join(pdf[c]), t).astype(np.int64) for c, t in (("weight", np.uint32), ("lead", np.int32), ("follow", np.int32), ("own", np.int32)))
+    sides = []
+    for side, m in (("r", m_right), ("l", m_left)):
+        last, words = ([np.frombuffer(x, t) for x in pdf[f"{side}_{c}"]] for c, t in (("bwt", np.int32), ("words", np.uint8)))
+        sides.append(merged_contexts(last, [w.reshape(-1, phrase) for w in words], many, phrase, m))
+    hit = repeated_offsets(*sides, lead, follow, length, window)
+    o = np.arange(window)
+    twice = weight > 1
+    hit[twice] = (o <= lead[twice, None]) & (length - o <= follow[twice, None])
+    hit[own == 0] = False
+    context, first, last = _runs(hit)
+    names, at = np.frombuffer(b"".join(pdf["names"]), "V16"), np.frombuffer(b"".join(pdf["ats"]), np.int32).astype(np.int64)
+    times = own[context]
+    run = np.repeat(np.arange(len(context)), times)
+    owner = np.repeat((np.cumsum(own) - own)[context] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     release()
-    return pd.DataFrame({"k": pdf["k"].to_numpy()[row], "start": at - last, "stop": at - first + length})
+    return pd.DataFrame({"k": [x.tobytes() for x in names[owner]], "start": at[owner] - last[run], "stop": at[owner] - first[run] + length})
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(k, copies, n_bytes) of every class of equal texts, and (k, spans) of those with repeated strings: [start, stop) pairs, not merged."""
+    """(k, copies, n_bytes) of every class of equal texts, and (k, spans) of those with repeated strings: [start, stop) pairs, not merged.
+
+    All joins move both sides, at every size: none of the tables is bounded.
+    """
     window = length - gram + 1
 
     def scan(batches):
@@ -164,64 +302,63 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[D
             cuts = np.searchsorted(pos, chunk.offsets)
             row = np.repeat(np.arange(len(chunk)), np.diff(cuts))
             offs = pa.array(cuts.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), chunk.batch.column(1), pa.array(np.diff(chunk.offsets)), pa.ListArray.from_arrays(offs, as_long(h)), pa.ListArray.from_arrays(offs, pa.array((pos - chunk.offsets[row]).astype(np.int32)))], names=["id", "k", "n_bytes", "fps", "ats"])
-
-    seen = docs.select("id", "k", "text").mapInArrow(scan, "id long, k binary, n_bytes long, fps array<long>, ats array<int>")
-    classes = cut(seen.groupBy("k").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes"), F.first("fps").alias("fps"), F.first("ats").alias("ats")), "anchors")
-    posts = classes.select("k", "rep", F.explode(F.arrays_zip("fps", "ats")).alias("p")).select("k", "rep", F.col("p.fps").alias("fp"), F.col("p.ats").alias("at"))
-    often = posts.groupBy("fp").agg(F.count("*").alias("df")).where("df > 1")
-    wanted = cut(posts.join(often, "fp").groupBy("k", "rep").agg(F.collect_list(F.struct("fp", "at", (F.col("df") > hot).alias("hot"))).alias("p")).select("k", "rep", F.col("p.fp").alias("fps"), F.col("p.at").alias("ats"), F.col("p.hot").alias("hots")), "wanted")
-    n, n_hot = wanted.agg(F.sum(F.size("ats")), F.sum(F.size(F.filter("hots", lambda x: x)))).first()
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(np.diff(chunk.offsets)), pa.ListArray.from_arrays(offs, as_long(h)), pa.ListArray.from_arrays(offs, pa.array((pos - chunk.offsets[row]).astype(np.int32)))], names=["k", "n_bytes", "fps", "ats"])
+
+    seen = docs.select("k", "text").mapInArrow(scan, "k binary, n_bytes long, fps array<long>, ats array<int>")
+    classes = cut(seen.groupBy("k").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("fps").alias("fps"), F.first("ats").alias("ats")), "anchors")
+    often = cut(classes.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    posts = classes.select("k", (F.col("copies") > 1).alias("full"), F.explode(F.arrays_zip("fps", "ats")).alias("p")).select("k", "full", F.col("p.fps").alias("fp"), F.col("p.ats").alias("at"))
+    found = posts.join(often.hint("shuffle_merge"), "fp").select("k", "full", "at", (F.col("df") > hot).alias("hot"))
+    wanted = cut(found.groupBy("k", "full").agg(F.collect_list(F.when(~F.col("hot"), F.col("at"))).alias("ats"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hots")), "wanted")
+    n, n_hot = wanted.agg(F.sum(F.size("ats")), F.sum(F.size("hots"))).first()
     n_buckets = max(8, -(-(n or 0) // CONTEXTS))
-    texts = docs.join(wanted, "k").where(F.col("id").eqNullSafe(F.col("rep"))).select("k", "fps", "ats", "hots", "text")
+    texts = docs.select("k", "text").hint("shuffle_merge").join(wanted, "k")
 
     def ship(batches):
-        for chunk in chunks(batches):
-            rows = []
-            names, fps, ats, hots = (chunk.batch.column(c).to_pylist() for c in ("k", "fps", "ats", "hots"))
-            for i in range(len(chunk)):
-                body = chunk.text(i)
-                rows += [(f, body[max(0, a - window + 1) : a + length], names[i], a, min(a, window - 1)) for f, a, is_hot in zip(fps[i], ats[i], hots[i]) if not is_hot]
-            rows.sort(key=lambda r: (r[0], r[1][r[4] :]))
-            fp, ctx, k, at, lead = zip(*rows) if rows else [()] * 5
-            bucket = (mixed(np.array(fp, np.int64).view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(fp, pa.int64()), pa.array(k, pa.binary()), pa.array(at, pa.int32()), pa.array(lead, pa.int32()), pa.array(ctx, pa.binary())], names=["bucket", "fp", "k", "at", "lead", "ctx"])
+        for chunk in chunks(batches, most=SHARD_BYTES):
+            names, ats = chunk.batch.column("k").to_pylist(), chunk.batch.column("ats")
+            full = chunk.batch.column("full").to_numpy(zero_copy_only=False)
+            size = ats.value_lengths().to_numpy()
+            row, at = np.repeat(np.arange(len(chunk)), size), ats.flatten().to_numpy().astype(np.int64)
+            again = np.array([i > 0 and names[i] == names[i - 1] for i in range(len(names))])
+            row, at = row[~again[row]], at[~again[row]]
+            for a in range(0, len(at), SLICE):
+                rows = shard_rows(chunk, names, full, row[a : a + SLICE], at[a : a + SLICE], n_buckets, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 10))], names=_FIELDS)
 
     def hash_hot(batches):
         for chunk in chunks(batches):
-            names, ats, hots = (chunk.batch.column(c).to_pylist() for c in ("k", "ats", "hots"))
+            names, hots = (chunk.batch.column(c).to_pylist() for c in ("k", "hots"))
             for i in range(len(chunk)):
                 body = np.frombuffer(chunk.text(i), np.uint8)
-                near = np.zeros(len(body) + 1, bool)
-                for a, is_hot in zip(ats[i], hots[i]):
-                    if is_hot:
-                        near[max(0, a - window + 1) : a + 1] = True
-                start = np.flatnonzero(near[: max(0, len(body) - length + 1)])
+                near = np.zeros(len(body) + 1, np.int32)
+                low = np.maximum(0, np.array(hots[i]) - window + 1)
+                np.add.at(near, low, 1)
+                np.add.at(near, np.array(hots[i]) + 1, -1)
+                start = np.flatnonzero(np.cumsum(near)[: max(0, len(body) - length + 1)] > 0)
                 if len(start):
                     one, two = (span_hash(prefix_hash(body, table), start, start + length) for table in (SYMBOLS, SYMBOLS[::-1].copy()))
                     yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(start), pa.binary()), pa.array(start), as_long(one), as_long(two)], names=["k", "start", "h1", "h2"])
 
-    shipped = texts.mapInArrow(ship, "bucket int, fp long, k binary, at int, lead int, ctx binary")
-    spans = shipped.groupBy("bucket").applyInPandas(lambda pdf: _merge_bucket(pdf, length, window), "k binary, start long, stop long")
+    spans = texts.select("k", "full", "ats", "text").mapInArrow(ship, _SHARD).groupBy("bucket").applyInPandas(lambda pdf: _merge_bucket(pdf, length, window), "k binary, start long, stop long")
     if n_hot:
-        windows = cut(texts.where(F.exists("hots", lambda x: x)).mapInArrow(hash_hot, "k binary, start long, h1 long, h2 long").distinct(), "hot")
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
-        spans = spans.union(windows.join(twice, ["h1", "h2"]).select("k", "start", (F.col("start") + length).alias("stop")))
+        windows = cut(texts.where(F.size("hots") > 0).select("k", "hots", "text").mapInArrow(hash_hot, "k binary, start long, h1 long, h2 long").distinct(), "hot")
+        twice = cut(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+        spans = spans.union(windows.join(twice.hint("shuffle_merge"), ["h1", "h2"]).select("k", "start", (F.col("start") + length).alias("stop")))
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return classes.select("k", "copies", "n_bytes"), spans
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, hot: int = 50_000, carry: list[str] | None = None) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary, kept_sha256) and the columns to ``carry``, one row per document.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, hot: int = 50_000, as_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256[, carried]), one row per document; ``carried`` is a struct of the columns ``carry``.
 
-    ``kept`` is the text's bytes without the removed runs. A cut may fall within a character; readers decode with errors ignored.
+    ``kept`` is the text's bytes without the removed runs. With ``as_text`` it is text: a character that a cut has broken is dropped, and null stays null.
     """
-    carry = carry or []
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("k"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
-    classes, spans = repeated_spans(base.select("id", "k", "text"), length, gram, hot)
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("k"), F.col(text_col).cast("string").alias("text"), *rest)
+    classes, spans = repeated_spans(base, length, gram, hot)
     full = classes.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("k", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
-    found = cut(full.union(spans.join(full.select("k"), "k", "left_anti")).select("k", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
-    rest = {f"_{i}": c for i, c in enumerate(carry)}
+    found = cut(full.union(spans).select("k", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
 
     def clean(batches):
         for chunk in chunks(batches):
@@ -229,29 +366,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out = []
             for i in range(len(chunk)):
                 body = chunk.text(i)
-                gone, runs, kept, at = 0, 0, [], 0
-                end = -1
+                gone, runs, kept, end = 0, 0, [], 0
                 for a, b in sorted(zip(starts[i] or (), stops[i] or ())):
-                    if a > end:
-                        if end >= 0:
-                            runs += 1
-                        kept.append(body[max(end, 0) : a])
-                        at = a
-                        end = b
+                    if a > end or not runs:
+                        runs += 1
+                        kept.append(body[end:a])
                         gone += b - a
+                        end = b
                     elif b > end:
                         gone += b - end
                         end = b
-                runs += end >= 0
-                kept = b"".join(kept) + body[max(end, 0) :]
-                out.append((len(body), gone, runs, kept, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out))
+                kept.append(body[end:])
+                whole = b"".join(kept)
+                text = (b"".join(k.decode("utf-8", "ignore").encode() for k in kept) if chunk.valid[i] else None) if as_text else whole
+                out.append((len(body), gone, runs, text, hashlib.sha256(whole).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([chunk.batch.column("id"), *[pa.array(x, t) for x, t in zip(cols, kinds)], *[chunk.batch.column(c) for c in rest]], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *rest])
+            cols = [pa.array(x, t) for x, t in zip(zip(*out), kinds)]
+            cols[3] = cols[3].cast(pa.string()) if as_text else cols[3]
+            more = [chunk.batch.column("carried")] if carry else []
+            yield pa.RecordBatch.from_arrays([chunk.batch.column("id"), *cols, *more], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *["carried"] * len(more)])
 
-    types = dict(base.dtypes)
-    schema = ", ".join(["id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", *[f"`{c}` {types[c]}" for c in rest]])
-    return base.join(found, "k", "left").drop("k").mapInArrow(clean, schema).withColumnsRenamed(rest)
+    schema = f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string" + (f", carried {dict(base.dtypes)['carried']}" if carry else "")
+    return base.join(found.hint("shuffle_merge"), "k", "left").drop("k").mapInArrow(clean, schema)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
