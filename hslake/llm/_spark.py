@@ -15,10 +15,12 @@ _folders: dict[str, str] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder for this application below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A folder for this application below ``spark.checkpoint.dir``; a local one only where that is unset and all runs in one process (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = shared or "file://" + tempfile.mkdtemp(prefix="hslake-")
         _folders[app] = f"{base.rstrip('/')}/hslake-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
@@ -39,6 +41,14 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken; upper and lower case count as the same."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
     """Rows of ``df`` and the bytes they take at most: 16 a fixed field, strings, binaries and arrays by length."""
     size = F.lit(16 * len(df.columns))

@@ -1,17 +1,24 @@
 """N-gram Jaccard join: exact set-similarity components by T-occurrence search with DivideSkip.
 
-1. Every text becomes its set of word shingles (64-bit hashes). Equal sets form a class; only one class representative goes on.
+1. Every text becomes its set of word shingles (64-bit hashes). Equal sets form a class; one text of each class goes on.
 2. Shingle frequencies over all classes are counted in hash buckets. A class of n shingles needs a partner that shares at least
    T = ceil(t * n) of them, so classes with fewer than T shingles of frequency two or more are out of the search: proven, not sampled.
+   A task answers for the shingles that two of its own classes share and sends one witness of each, so a shingle that a third of all
+   texts hold costs an entry a task, not one a text.
 3. The others fetch their shingles again. Their inverted lists, shortest first, give a candidate graph: two classes that share none of
    the n - T + 1 shortest lists of either can't reach T. Its components are searched independently.
-4. In a component (or, if it is large, in every pair of its blocks) each class is a query: its L longest lists are set aside, the
-   short ones are merged, ids that occur T - L times are kept, and the long lists are probed for them by binary search until an id
-   reaches the required overlap or can't. Classes that are already connected aren't compared; links of a group stay linear.
-5. Components of the verified links give every document its class id.
-
-Null or wordless text: empty set, linked with nothing, its own component. A null id: its row stays, and it takes the component of its
-equal texts if one has an id, else null. Repeated rows: equal sets, same component. Very long texts are read whole.
+4. In a component, classes are dealt to blocks of near sizes (size bands of ratio t: links only join neighbouring bands). In a task each
+   class is a query: its L longest lists are set aside, the short ones are merged (sorted and counted at once, where a heap would take one id
+   at a time), ids that occur T - L times are kept, and the long lists are probed for them by binary search until an id reaches the required
+   overlap or can't. Classes that are already connected aren't compared; links of a group stay linear.
+5. A component of one block is done after that. In a larger one every block is searched together with the first block of its band; then the classes
+   outside the component's largest linked group are sent to all blocks of their own and the neighbouring bands: a group of near copies of any size
+   costs its classes two or three times, and only classes that link with few others more often.
+6. Components of the verified links give every document its class id: the least doc_id of the component.
+
+Null or wordless text: empty set, linked with nothing, its own component. A null id: its row stays and links like any other (two texts may
+be joined through it); it names no component, so one of null ids alone is null. Repeated rows: equal sets, same component. One id with several
+texts: each row takes the component of its own text. Very long texts: read whole. No documents: no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, cut, join_measured
+from ._spark import components, cut, join_measured, unused
 from ._text import as_long, chunks, mixed, release, shingle_sets
 
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 FLUSH = 1_000_000
+#: Stands in a bucket for two or more classes whose task has counted them.
+WITNESS = np.uint64(0)
 #: Even a small corpus is dealt over so many hash buckets, so that a class's partial counts don't multiply as it grows.
 LEAST_BUCKETS = 64
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -38,37 +47,46 @@ def _class_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, c1, c2) of (id, text): c1 and c2 are equal for equal sets."""
+    """(id, k, n_shingles, c1, c2) of (id, k, text): c1 and c2 are equal for equal sets."""
 
     def run(batches):
         for chunk in chunks(batches):
             sets = [(len(s), *_class_hash(s)) for s in shingle_sets(chunk, n)]
             k, c1, c2 = (np.array(x, np.uint64) for x in zip(*sets))
-            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(k.astype(np.int64)), as_long(c1), as_long(c2)], names=["id", "n_shingles", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), chunk.batch.column(1), pa.array(k.astype(np.int64)), as_long(c1), as_long(c2)], names=["id", "k", "n_shingles", "c1", "c2"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long")
+    return docs.mapInArrow(run, "id long, k long, n_shingles long, c1 long, c2 long")
 
 
 def shared_counts(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
-    """(c1, shared): how many shingles of a class occur in another class too."""
+    """(c1, shared): how many shingles of a class occur in another class too, at least; copies that several tasks count add up."""
 
     def pack(batches):
         held, size = [], 0
 
         def flush():
-            cls = np.array([c for c, _ in held], np.uint64)
+            cls, number = np.unique(np.array([c for c, _ in held], np.uint64), return_inverse=True)
             toks = np.concatenate([s for _, s in held])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(s) for _, s in held])
+            owner = np.repeat(number.astype(np.uint32), [len(s) for _, s in held])
+            by = np.lexsort((owner, toks))
+            toks, owner = toks[by], owner[by]
+            new = np.concatenate(([True], (toks[1:] != toks[:-1]) | (owner[1:] != owner[:-1])))
+            toks, owner = toks[new], owner[new]
+            first = np.concatenate(([True], toks[1:] != toks[:-1]))
+            alone = first & np.concatenate((first[1:], [True]))
+            own = np.bincount(owner[~alone], minlength=len(cls))
+            cls = np.append(cls, WITNESS)
+            toks, owner = toks[first], np.where(alone, owner, len(cls) - 1)[first]
             bucket = ((toks >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-            order = np.argsort(bucket.astype(np.uint16 if n_buckets < 65536 else np.uint32), kind="stable")
-            bucket, toks, owner = bucket[order], toks[order], owner[order]
             low = toks.view(np.uint8).reshape(-1, 8)[:, :5]
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            rows = []
-            for i, j in zip(at, [*at[1:], len(toks)]):
+            rows, known = [], np.flatnonzero(own)
+            parts = np.linspace(0, len(known), len(at) + 1).astype(int)
+            for i, j, p, q in zip(at, [*at[1:], len(toks)], parts, parts[1:]):
+                by = np.argsort(owner[i:j], kind="stable")
                 who, many = np.unique(owner[i:j], return_counts=True)
-                rows.append((int(bucket[i]), cls[who].tobytes(), many.astype(np.uint32).tobytes(), np.ascontiguousarray(low[i:j]).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "cls", "many", "toks"])
+                rows.append((int(bucket[i]), cls[who].tobytes(), many.astype(np.uint32).tobytes(), np.ascontiguousarray(low[i:j][by]).tobytes(), cls[known[p:q]].tobytes(), own[known[p:q]].astype(np.uint32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "cls", "many", "toks", "sure", "sure_n"])
 
         for chunk in chunks(batches):
             for s in shingle_sets(chunk, n):
@@ -102,18 +120,20 @@ def shared_counts(docs: DataFrame, n: int, n_buckets: int) -> DataFrame:
         same = toks[1:] == toks[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
         n_shared = np.bincount(who[shared].astype(np.int64), minlength=len(names))
-        hit = n_shared > 0
+        hit = (n_shared > 0) & (names != WITNESS)
+        sure, sure_n = np.frombuffer(b"".join(pdf["sure"]), np.uint64), np.frombuffer(b"".join(pdf["sure_n"]), np.uint32)
         release()
-        return pd.DataFrame({"c1": names[hit].view(np.int64), "shared": n_shared[hit]})
+        return pd.DataFrame({"c1": np.concatenate((names[hit], sure)).view(np.int64), "shared": np.concatenate((n_shared[hit], sure_n)).astype(np.int64)})
 
-    packed = docs.mapInArrow(pack, "bucket int, cls binary, many binary, toks binary")
+    packed = docs.mapInArrow(pack, "bucket int, cls binary, many binary, toks binary, sure binary, sure_n binary")
     return packed.groupBy("bucket").applyInPandas(count, "c1 long, shared long").groupBy("c1").agg(F.sum("shared").alias("shared"))
 
 
-def divide_skip_links(sizes: np.ndarray, lists: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def divide_skip_links(sizes: np.ndarray, lists: list[np.ndarray], num: int, den: int, linked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect what Jaccard >= num / den connects among sets of the given sizes.
 
-    ``lists``: each set's shingles that may be shared. A spanning set of links is returned, each of them verified exactly.
+    ``lists``: each set's shingles that may be shared; ``linked``: labels of sets that are connected already. A spanning set of the other links
+    is returned, each of them verified exactly.
     """
     order = np.argsort(sizes, kind="stable")
     rank = np.empty(len(order), np.int64)
@@ -125,7 +145,7 @@ def divide_skip_links(sizes: np.ndarray, lists: list[np.ndarray], num: int, den:
     _, token, length = np.unique(flat, return_inverse=True, return_counts=True)
     begin = np.concatenate(([0], np.cumsum(length)))
     ends = np.cumsum([len(lists[i]) for i in order])
-    comp = np.arange(len(order))
+    comp = np.arange(len(order)) if linked is None else np.unique(linked[order], return_inverse=True)[1]
     links = []
     for q in range(1, len(order)):
         n = int(sizes[order[q]])
@@ -168,51 +188,81 @@ def divide_skip_links(sizes: np.ndarray, lists: list[np.ndarray], num: int, den:
 
 def _search(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     a, b = [], []
-    for _, g in pdf.groupby(["root", "bi", "bj"], sort=False):
+    for _, g in pdf.groupby(["root", "block"], sort=False):
         if len(g) > 1:
-            rep = g["rep"].to_numpy()
-            for i, j in divide_skip_links(g["n"].to_numpy(), g["lists"].tolist(), num, den):
-                a.append(rep[i])
-                b.append(rep[j])
+            cls = g["cls"].to_numpy()
+            for i, j in divide_skip_links(g["n"].to_numpy(), g["lists"].tolist(), num, den, g["linked"].to_numpy()):
+                a.append(cls[i])
+                b.append(cls[j])
     release()
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def component_links(groups: DataFrame, num: int, den: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """(a, b) links of the classes (cls, n, lists, root), searched within each root's blocks."""
+    band = F.floor(F.log("n") / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
+    banded = groups.withColumn("band", band)
+    sizes = cut(banded.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum(F.size("lists")).alias("s")), "bands")
+    n_tasks = max(8, -(-(sizes.agg(F.sum("s")).first()[0] or 0) // 500_000))
+    large = sizes.groupBy("root").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).where((F.col("c") > block_docs) | (F.col("s") > block_shingles)).select("root")
+    large = cut(large, "large")
+
+    def searched(rows: DataFrame) -> DataFrame:
+        task = F.pmod(F.xxhash64("root", "block"), F.lit(n_tasks))
+        rows = rows.select(task.alias("task"), "root", "block", "cls", "n", "lists", "linked")
+        return cut(rows.groupBy("task").applyInPandas(lambda pdf: _search(pdf, num, den), "a long, b long"), "links")
+
+    small = groups.join(large, "root", "left_anti").select("root", F.lit("").alias("block"), "cls", "n", "lists", F.col("cls").alias("linked"))
+    if not large.head(1):
+        return searched(small)
+    cuts = sizes.join(large, "root", "left_semi").select("root", "band", F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("s") / block_shingles)).cast("int").alias("k"))
+    placed = cut(banded.join(cuts, ["root", "band"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")), "placed")
+    name = lambda band, own: F.concat_ws(":", band, own)
+    with_first = placed.withColumn("own", F.explode(F.when(F.col("own") > 0, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
+    links = searched(small.unionByName(with_first.select("root", name("band", "own").alias("block"), "cls", "n", "lists", F.col("cls").alias("linked"))))
+    joined = placed.join(components(links).withColumnsRenamed({"node": "cls", "root": "linked"}), "cls", "left").withColumn("linked", F.coalesce("linked", "cls"))
+    joined = cut(joined, "joined")
+    largest = joined.groupBy("root", "linked").count().groupBy("root").agg(F.max_by("linked", F.struct("count", "linked")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    largest = cut(largest.select("root", "largest"), "largest")
+    open_rows = joined.join(largest, "root")
+    home = open_rows.select("root", name("band", "own").alias("block"), "cls", "n", "lists", "linked")
+    others = open_rows.where("linked <> largest").select("root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"), F.col("band").alias("was"), F.col("own").alias("mine"), "cls", "n", "lists", "linked")
+    others = others.join(cuts.withColumnRenamed("band", "at"), ["root", "at"]).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("at <> was or to <> mine")
+    again = searched(home.unionByName(others.select("root", name("at", "to").alias("block"), "cls", "n", "lists", "linked")))
+    return links.union(again)
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: (id, n_shingles, component_id), linked where den * intersection >= num * union."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("text"))
     sets = cut(shingle_classes(texts, shingle), "classes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     need = F.expr(f"(n * {num} + {den - 1}) div {den}")
-    classes = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = sets.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"), F.min("k").alias("k"), F.first("n_shingles").alias("n"))
     shared = shared_counts(texts, shingle, max(LEAST_BUCKETS, -(-total * 6 // (12 << 20))))
-    alive = cut(classes.where("rep is not null").join(shared, "c1").where(F.col("shared") >= need).select("rep", "n", "c1", "c2"), "alive")
+    alive = classes.join(shared, "c1").where(F.col("shared") >= need).select("k", "n", "c1", "c2", "least")
+    alive = cut(alive.withColumn("cls", F.monotonically_increasing_id()), "alive")
 
     def fetch(batches):
         for chunk in chunks(batches):
-            rows = [(r, k, s) for r, k, c1, c2, s in zip(*(chunk.batch.column(c).to_pylist() for c in ("rep", "n", "c1", "c2")), shingle_sets(chunk, shingle)) if tuple(np.array(_class_hash(s), np.uint64).view(np.int64)) == (c1, c2)]
+            rows = [(r, k, s) for r, k, c1, c2, s in zip(*(chunk.batch.column(c).to_pylist() for c in ("cls", "n", "c1", "c2")), shingle_sets(chunk, shingle)) if tuple(np.array(_class_hash(s), np.uint64).view(np.int64)) == (c1, c2)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, _, s in rows], pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
-
-    found = join_measured(texts.withColumnRenamed("id", "rep"), alive, "rep").select("rep", "n", "c1", "c2", "text")
-    found = cut(found.mapInArrow(fetch, "rep long, n long, tokens array<long>").dropDuplicates(["rep"]), "tokens")
-    tokens = found.select("rep", "n", F.explode("tokens").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(often, "t").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("l"))
-    ranked = cut(ranked.where(F.size("l") >= need).select("rep", "n", F.col("l.t").alias("lists"), F.expr(f"slice(l.t, 1, int(size(l) - ((n * {num} + {den - 1}) div {den}) + 1))").alias("short")), "lists")
-    posts = ranked.select("rep", F.explode("short").alias("t"))
-    stars = posts.join(posts.groupBy("t").agg(F.min("rep").alias("m")), "t").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    groups = ranked.select("rep", "n", "lists").join(components(stars).withColumnRenamed("node", "rep"), "rep")
-    groups = cut(groups, "groups")
-    sizes = groups.groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {block_docs}), ceil(sum(size(lists)) / {block_shingles}))").cast("int").alias("k"))
-    n_tasks = max(8, -(-(groups.agg(F.sum(F.size("lists"))).first()[0] or 0) // 500_000))
-    small = groups.join(sizes.where("k = 1"), "root", "left_semi").select(F.pmod(F.xxhash64("root"), F.lit(n_tasks)).alias("task"), "root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "n", "lists")
-    large = groups.join(sizes.where("k > 1"), "root").withColumn("mine", F.expr("int(pmod(xxhash64(rep), k))"))
-    large = large.withColumn("other", F.explode(F.expr("filter(sequence(0, k - 1), x -> x <> mine)"))).select("root", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "rep", "n", "lists")
-    large = large.select((F.lit(n_tasks) + F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(1 << 40))).alias("task"), "root", "bi", "bj", "rep", "n", "lists")
-    links = cut(small.union(large).groupBy("task").applyInPandas(lambda pdf: _search(pdf, num, den), "a long, b long"), "links")
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    whole = cut(classes.join(roots, "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("component")), "components")
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, _, s in rows], pa.list_(pa.int64()))], names=["cls", "n", "tokens"])
+
+    found = join_measured(texts.select("k", "text"), alive.select("k", "cls", "n", "c1", "c2"), "k").select("cls", "n", "c1", "c2", "text")
+    found = cut(found.mapInArrow(fetch, "cls long, n long, tokens array<long>").dropDuplicates(["cls"]), "tokens")
+    tokens = found.select("cls", "n", F.explode("tokens").alias("t"))
+    often = cut(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = tokens.join(often, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("l"))
+    ranked = cut(ranked.where(F.size("l") >= need).select("cls", "n", F.col("l.t").alias("lists"), F.expr(f"slice(l.t, 1, int(size(l) - ((n * {num} + {den - 1}) div {den}) + 1))").alias("short")), "lists")
+    posts = ranked.select("cls", F.explode("short").alias("t"))
+    least = cut(posts.groupBy("t").agg(F.min("cls").alias("m"), F.count("*").alias("c")).where("c > 1").select("t", "m"), "least")
+    stars = posts.join(least, "t").where("cls <> m").select(F.col("cls").alias("a"), F.col("m").alias("b"))
+    groups = cut(ranked.select("cls", "n", "lists").join(components(stars).withColumnRenamed("node", "cls"), "cls"), "groups")
+    links = component_links(groups, num, den, block_docs, block_shingles)
+    roots = cut(components(links).withColumnRenamed("node", "cls").join(alive.select("cls", "c1", "c2", "least"), "cls"), "roots")
+    named = roots.select("c1", "c2", "root").join(roots.groupBy("root").agg(F.min("least").alias("first")), "root").select("c1", "c2", "first", F.lit(True).alias("joined"))
+    whole = cut(classes.select("c1", "c2", "least").join(named, ["c1", "c2"], "left").select("c1", "c2", F.when(F.col("joined"), F.col("first")).otherwise(F.col("least")).alias("component")), "components")
     return sets.join(whole, ["c1", "c2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -227,15 +277,15 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         found = jaccard_components(docs, id_col=id_col, **options)
         gone = cut(found.where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
         return join_measured(docs, gone, id_col, "left_anti")
-    row = "__row"
-    rows = docs.withColumn(row, F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))))
-    found = cut(jaccard_components(rows, id_col=row, **options).where("id is not null").withColumnRenamed("id", row).distinct(), "rows")
-    named = found.join(rows.select(row, F.col(id_col).alias("own")).distinct(), row)
+    row = unused("row", docs.columns)
+    rows = docs.withColumn(row, F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull()))
+    found = cut(jaccard_components(rows, id_col=row, **options).select(F.col("id").alias("r"), "n_shingles", "component_id").distinct(), "rows")
+    named = found.join(rows.where(F.col(id_col).isNotNull()).select(F.col(row).alias("r"), F.col(id_col).alias("own")).distinct(), "r")
     alone = F.col("n_shingles") == 0
-    best = named.groupBy(alone.alias("alone"), F.when(alone, F.col("own")).otherwise(F.col("component_id")).alias("g")).agg(F.min(F.struct("own", row)).alias("b"))
-    stay = cut(best.select(f"b.{row}"), "stay")
-    kept = join_measured(rows.where(F.col(row).isNotNull()), stay, row, "left_semi").dropDuplicates([row])
-    return kept.unionByName(rows.where(F.col(row).isNull())).drop(row)
+    best = named.groupBy(alone.alias("alone"), F.when(alone, F.col("own")).otherwise(F.col("component_id")).alias("g")).agg(F.min(F.struct("own", "r")).alias("b"))
+    stay = cut(best.select(F.col("b.r").alias(row)), "stay")
+    kept = join_measured(rows.where(F.col(id_col).isNotNull()), stay, row, "left_semi").dropDuplicates([row])
+    return kept.unionByName(rows.where(F.col(id_col).isNull())).drop(row)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

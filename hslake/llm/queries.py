@@ -27,9 +27,9 @@ def queries() -> dict:
     found = {}
     for name in MODULES:
         found |= import_module(f"hslake.llm.{name}").QUERIES
-    import corpus_pipeline
+    from . import pipeline
 
-    found["pipeline"] = corpus_pipeline.run
+    found["pipeline"] = pipeline.run
     return {name: _reachable(query) for name, query in found.items()}
 
 

@@ -90,6 +90,34 @@ def test_jaccard_empty(spark):
     assert len([i for i in ids if i is not None and 2000 <= i < 3000]) < 10 and 5000 in ids and ids.count(0) == 1 and None in ids
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    a = [f"w{i}" for i in range(100)]
+    x, b = [*a[:97], "x1", "x2", "x3"], [*a[:94], "y1", "y2", "y3", "x1", "x2", "x3"]
+    texts = [" ".join(w) for w in (a, x, b)]
+    one, two, three = (set(zip(w, w[1:], w[2:])) for w in (a, x, b))
+    assert len(one & two) >= 0.9 * len(one | two) and len(two & three) >= 0.9 * len(two | three) and len(one & three) < 0.9 * len(one | three)
+    rows = [(1, texts[0]), (None, texts[1]), (3, texts[2]), (7, texts[0]), (7, "another text of the same id")]
+    got = sorted((r.id or 0, r.component_id) for r in jaccard.jaccard_components(documents(spark, rows), shingle=3, num=9, den=10).collect())
+    assert got == [(0, 1), (1, 1), (3, 1), (7, 1), (7, 7)]
+
+
+def test_jaccard_hot_shingles_and_large_groups(spark):
+    rng = random.Random(8)
+    pick = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    rows = [(i, " ".join(["all", "share", "this", *pick(rng.randint(3, 30))])) for i in range(300)]
+    for g in range(3):
+        base = pick(120)
+        for i in range(150):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(50)}"
+            rows.append((1000 * (g + 1) + i, " ".join(w[: rng.randint(100, 120)])))
+    sets, groups = brute_components(rows, 5, 4, 5)
+    want = {r[0]: min(rows[j][0] for j in groups[i]) for i, r in enumerate(rows)}
+    for blocks in ({}, {"block_docs": 20}):
+        assert {r.id: r.component_id for r in jaccard.jaccard_components(documents(spark, rows), **blocks).collect()} == want
+
+
 def test_divide_skip_is_exact():
     rng = random.Random(3)
     base = [rng.sample(range(400), 60) for _ in range(4)]
@@ -124,6 +152,28 @@ def brute_repeats(rows, length):
     return out
 
 
+def test_merged_transforms_order_all_strings():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        m, size = int(rng.integers(1, 6)), 8
+        many = rng.integers(1, 7, rng.integers(1, 5))
+        base, shards, last, words = rng.integers(97, 99, m * size), [], [], []
+        for n in many:
+            own = np.tile(base, (n, 1))
+            own[np.arange(n), rng.integers(0, m * size, n)] = rng.integers(97, 99, n)
+            shards.append(own.astype(np.uint8))
+            table, codes = np.unique(shards[-1].reshape(-1, size).copy().view("S8").ravel(), return_inverse=True)
+            codes = codes.reshape(n, m)
+            last.append(suffix_dedup.transform(codes, suffix_dedup.suffix_order(codes, np.zeros(n, np.int64))))
+            words.append(np.frombuffer(table.tobytes(), np.uint8).reshape(-1, size))
+        order, lcp = suffix_dedup.merged_contexts(last, words, many, size, m)
+        flat = [bytes(r) for s in shards for r in s]
+        got = [flat[i] for i in order]
+        assert got == sorted(flat) and lcp[0] == -1
+        for a, b, c in zip(got, got[1:], lcp[1:]):
+            assert c == next((i for i in range(m * size) if a[i] != b[i]), m * size)
+
+
 @pytest.mark.parametrize("hot", [50_000, 3])
 def test_suffix_dedup(spark, hot):
     rng = random.Random(1)
@@ -170,7 +220,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     rows = [(i, x) for i, x in corpus(2)] + [(7000, "it's 'tis <|endoftext|>  don't\n\n 12½ ñ" * 40), (7001, "x " * 5000)]
     got = packing.pack(documents(spark, rows), tokenizer=packing.default_tokenizer(), with_ids=True).collect()
     whole, per_row = collections.Counter(), [t.encode(x or "", add_special_tokens=False).ids + [2] for _, x in rows]
@@ -204,6 +253,23 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), tokenizer=packing.default_tokenizer()).count() == 0
 
 
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    t, ids_of = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(4)
+    texts = ["a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "", " " * 5000 + "x", "ab" * 5000, "'s 'S don't 'll  'LL\n\n\t1²½"]
+    texts += ["".join(rng.choice("aab 's  tlrevd\n\t.,1²½éßñ中日あ🙂'  ÀÉ<|>") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)} b{chr(c)}! {chr(c)}\n" for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 256)]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275, 50256, 50256] == ids_of(texts[0]).tolist()
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert ids_of(text).tolist() == e.ids
+    assert packing.byte_level_ranks({"model": {"type": "WordLevel"}, "pre_tokenizer": None}) is None
+    spec = packing.json.loads(packing.Path(path).read_text()) | {"normalizer": {"type": "NFC"}}
+    assert packing.byte_level_ranks(spec) is None
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")

@@ -5,7 +5,7 @@ import math
 from checking import tables
 from test_operators import brute_components, brute_repeats
 
-import corpus_pipeline
+from hslake.llm import pipeline as corpus_pipeline
 from hslake.llm import decontam, packing, quality
 
 SF = "/root/testdata/sf0.001"
