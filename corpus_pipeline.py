@@ -1,66 +1,5 @@
-"""Cleaning and packing of a document corpus: five stages, each written as Parquet and read again as the next one's documents."""
+"""Cleaning and packing of a document corpus: the stages of ``hslake.llm.pipeline``, each written as Parquet and read again as the next one's documents."""
 
-from __future__ import annotations
+from hslake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from hslake.llm import decontam, jaccard, packing, quality, suffix_dedup
-from hslake.llm._spark import cut, join_measured, scratch_folder
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the risk-controlled rules keep, each by its own text and language; null ids are judged alike."""
-    columns, row = docs.columns, [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "lang", "text")]
-    keyed = docs.withColumns({f"row_key{k}": F.xxhash64(F.lit(k), F.col("doc_id").isNull(), *row) for k in (1, 2)})
-    judged = quality.quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row_key1", "row_key2"))
-    bad = cut(judged.where("not kept").select("row_key1", "row_key2").distinct(), "rejected")
-    return join_measured(keyed, bad, ["row_key1", "row_key2"], "left_anti").select(columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: the one of least id; null ids stay."""
-    return jaccard.keep_one_per_group(docs).select(docs.columns)
-
-
-def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that a 400-byte string occurring elsewhere covers; n_chars follows the text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix_dedup.remove_repeats(docs, carry=others)
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).withColumnRenamed("id", "doc_id")
-    return out.select(docs.columns)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents with the sequence and place of each."""
-    return packing.pack(docs, tokenizer=packing.default_tokenizer()).withColumnRenamed("id", "doc_id")
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("repeated_strings", repeated_string_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
-]
-
-#: The latent search can't be said in SQL; tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{scratch_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
