@@ -13,8 +13,9 @@ the merge, nothing else can repeat.
    The round that parts two neighbours gives their common phrases, the parting phrases the bytes beyond.
 4. A string that starts ``o`` bytes before its anchor repeats exactly if another context lies in its interval of common prefix length - o
    to the right and in its interval of common prefix o to the left. The repeated intervals of all ``o`` are read off the two merged orders.
-5. Contexts of an anchor with over ``hot`` occurrences aren't gathered in one bucket: their strings are counted by 128-bit hash, partial counts
-   first, which no number of occurrences overfills. Results are the same.
+5. Contexts of an anchor with over ``hot`` occurrences aren't gathered in one bucket: their strings are counted by 128-bit hash, which no number of
+   occurrences overfills. A shard answers for the strings that it holds twice and sends one witness of each; the others meet by hash. Results are
+   the same.
 
 Each byte covered by a string that also starts elsewhere, same text included, is removed; matches never cross texts. Null text: empty,
 nothing removed, and kept null where text is asked for. Texts shorter than ``length``: nothing removed. Repeated rows: copies of each other.
@@ -327,24 +328,43 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[D
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 10))], names=_FIELDS)
 
     def hash_hot(batches):
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, most=SHARD_BYTES):
             names, hots = (chunk.batch.column(c).to_pylist() for c in ("k", "hots"))
+            full = chunk.batch.column("full").to_numpy(zero_copy_only=False)
+            near = np.zeros(len(chunk.data) + 1, np.int32)
             for i in range(len(chunk)):
-                body = np.frombuffer(chunk.text(i), np.uint8)
-                near = np.zeros(len(body) + 1, np.int32)
-                low = np.maximum(0, np.array(hots[i]) - window + 1)
-                np.add.at(near, low, 1)
-                np.add.at(near, np.array(hots[i]) + 1, -1)
-                start = np.flatnonzero(np.cumsum(near)[: max(0, len(body) - length + 1)] > 0)
-                if len(start):
-                    one, two = (span_hash(prefix_hash(body, table), start, start + length) for table in (SYMBOLS, SYMBOLS[::-1].copy()))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(start), pa.binary()), pa.array(start), as_long(one), as_long(two)], names=["k", "start", "h1", "h2"])
+                if i == 0 or names[i] != names[i - 1]:
+                    at, n = np.array(hots[i], np.int64), int(chunk.offsets[i + 1] - chunk.offsets[i])
+                    fits = at - window + 1 <= n - length
+                    np.add.at(near, chunk.offsets[i] + np.maximum(0, at - window + 1)[fits], 1)
+                    np.add.at(near, chunk.offsets[i] + np.minimum(at, n - length)[fits] + 1, -1)
+            start = np.flatnonzero(np.cumsum(near) > 0)
+            if not len(start):
+                continue
+            row = np.searchsorted(chunk.offsets, start, "right") - 1
+            one, two = (span_hash(prefix_hash(chunk.data, table), start, start + length) for table in (SYMBOLS, SYMBOLS[::-1].copy()))
+            by = np.lexsort((two, one))
+            new = np.concatenate(([True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])))
+            ask, times = by[new], np.diff(np.concatenate((np.flatnonzero(new), [len(by)])))
+            sure = np.empty(len(start), bool)
+            sure[by] = np.repeat(times > 1, times)
+            own = sure & ~full[row]
+            begin = own & ~np.concatenate(([False], own[:-1] & (start[1:] == start[:-1] + 1) & (row[1:] == row[:-1])))
+            stop = own & np.concatenate((begin[1:] | ~own[1:], [True]))
+            local = start - chunk.offsets[row]
+            answer = pd.DataFrame({"k": [names[r] for r in row[begin]], "start": local[begin], "stop": local[stop] + length})
+            plain = ~sure[ask] & ~full[row[ask]]
+            asked = pd.DataFrame({"h1": one[ask].view(np.int64), "h2": two[ask].view(np.int64), "start": np.where(plain, local[ask], -1), "k": [names[r] if p else None for r, p in zip(row[ask], plain)]})
+            for frame in (answer.assign(h1=None, h2=None), asked.assign(stop=None)):
+                yield pa.RecordBatch.from_arrays([pa.array(frame[c], t) for c, t in (("k", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()))], names=["k", "start", "stop", "h1", "h2"])
 
     spans = texts.select("k", "full", "ats", "text").mapInArrow(ship, _SHARD).groupBy("bucket").applyInPandas(lambda pdf: _merge_bucket(pdf, length, window), "k binary, start long, stop long")
     if n_hot:
-        windows = cut(texts.where(F.size("hots") > 0).select("k", "hots", "text").mapInArrow(hash_hot, "k binary, start long, h1 long, h2 long").distinct(), "hot")
-        twice = cut(windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
-        spans = spans.union(windows.join(twice.hint("shuffle_merge"), ["h1", "h2"]).select("k", "start", (F.col("start") + length).alias("stop")))
+        found = cut(texts.where(F.size("hots") > 0).select("k", "full", "hots", "text").mapInArrow(hash_hot, "k binary, start long, stop long, h1 long, h2 long"), "hot")
+        asked = found.where("h1 is not null")
+        twice = cut(asked.groupBy("h1", "h2").agg(F.sum(F.when(F.col("start") < 0, 2).otherwise(1)).alias("c")).where("c > 1").select("h1", "h2"), "twice")
+        more = asked.where("start >= 0").join(twice.hint("shuffle_merge"), ["h1", "h2"]).select("k", "start", (F.col("start") + length).alias("stop"))
+        spans = spans.union(found.where("h1 is null").select("k", "start", "stop")).union(more)
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return classes.select("k", "copies", "n_bytes"), spans
 
