@@ -1,13 +1,15 @@
 """Language identification by prediction by partial matching over bytes.
 
 For each language a context tree of orders 0 to ``order`` is counted on a bounded, hash-chosen sample of labelled documents
-(``train_docs`` a language) and then frozen: symbol probabilities n / (N + D) and escapes D / (N + D) (method C, no exclusions), down to
+(``train_docs`` rows a language, every gram of their whole texts) and then frozen: symbol probabilities n / (N + D) and escapes D / (N + D) (method C, no exclusions), down to
 1/256. Every gram's exact code length in every language is worked out once. A text's bytes look up their longest known context; where no
 language has seen the gram, the escape costs are added and the next shorter context is tried. The language of least total length wins.
 ASCII capitals read as small letters.
 
 Null text or text without a letter: ``und``, score 0. No training documents: all ``und``. Null labels aren't learned from; null ids are
-neither held out nor learned from. Repeated rows count as often as they occur. Whole texts are coded, however long.
+neither held out nor learned from. Repeated rows count as often as they occur. Whole texts are coded, however long, in slices of ``PART`` bytes
+that see the bytes before them. Ties go to the first language in order. No documents: no rows. Other columns aren't read. The model grows with
+the number of languages and ``train_docs``, not with the corpus.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from ._spark import join_measured, cut
 from ._text import chunks, mixed
 
 UNKNOWN = "und"
+PART = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
@@ -107,7 +110,18 @@ class Model:
         return found
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each row in each language."""
+        """Bits of each row in each language; a row over ``PART`` bytes stands alone and is coded in parts."""
+        if len(data) <= PART or len(offsets) > 2:
+            return self._code_lengths(data, offsets, 0)
+        total = np.zeros((1, len(self.languages)))
+        for a in range(0, len(data), PART):
+            before = min(a, self.order)
+            part = data[a - before : a + PART]
+            total += self._code_lengths(part, np.array([0, len(part)]), before)
+        return total
+
+    def _code_lengths(self, data: np.ndarray, offsets: np.ndarray, seen: int) -> np.ndarray:
+        """The first ``seen`` bytes are only read as context."""
         data = _LOWER[data]
         cost = np.zeros((len(data), len(self.languages)), np.float32)
         todo = np.arange(len(data))
@@ -127,15 +141,16 @@ class Model:
             todo = todo[stay]
             if not len(todo):
                 break
+        cost[:seen] = 0
         sums = np.zeros((len(data) + 1, len(self.languages)))
         np.cumsum(cost, axis=0, dtype=np.float64, out=sums[1:])
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def train(docs: DataFrame, order: int, train_docs: int, min_count: int) -> Model:
+def train(docs: DataFrame, order: int, train_docs: int) -> Model:
     """The model from (id, text, lang) rows: a hash-chosen sample of about ``train_docs`` rows a language, grams counted on Spark."""
-    per = docs.groupBy("lang").agg(F.count("*").alias("c"))
-    sample = docs.join(F.broadcast(per), "lang").where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * train_docs / F.col("c"))
+    per = cut(docs.groupBy("lang").agg(F.count("*").alias("c")), "languages")
+    sample = join_measured(docs, per, "lang").where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * train_docs / F.col("c"))
 
     def count(batches):
         for chunk in chunks(batches):
@@ -150,18 +165,18 @@ def train(docs: DataFrame, order: int, train_docs: int, min_count: int) -> Model
                     yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     total = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = total.where((F.col("n") >= min_count) | (F.shiftright("gram", 56) <= 2)).toPandas()
-    return Model(sorted(kept["lang"].unique()), kept, order)
+    known = total.toPandas()
+    return Model(sorted(known["lang"].unique()), known, order)
 
 
 def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "ignore")))
 
 
-def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, train_docs: int = 400, min_count: int = 2) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, train_docs: int = 200) -> DataFrame:
     """(id, lang, score, bits_per_byte), one row per document; ``training`` has the labelled rows that may be learned from."""
     known = training.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    model = train(known, order, train_docs, min_count)
+    model = train(known, order, train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -3,11 +3,14 @@
 Each rule compares an integer feature ratio with a cutoff from a fixed grid, ordered from lenient to strict. The labelled
 documents that pass the base rules are the holdout. For every stratum and rule, cutoffs are tested in that fixed order: a cutoff
 stands if the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate, at ``delta`` divided by the number of
-strata times rules (Bonferroni), is at most ``epsilon``; testing stops at the first that doesn't, so nested cutoffs need no
-further correction. The strictest standing cutoff of which at least ``min_precision`` of the rejected holdout is bad is used.
-
-Null text: no words, so the base rules fail. Null stratum: a stratum of its own. Repeated labels of a document: it is good only if all
-say so. Documents without a label are judged but don't calibrate. No labels: only base rules reject.
+strata times rules (Bonferroni), is at most ``epsilon`` divided by the number of rules; testing stops at the first that doesn't, so nested
+cutoffs need no further correction. The strictest standing cutoff of which at least ``min_precision`` of the rejected holdout is bad is used.
+A document is rejected if any rule rejects it, and the rules' rates add up to ``epsilon`` at most: with probability 1 - ``delta`` no stratum
+loses more than ``epsilon`` of its good documents to all rules together.
+
+Null text: no words, so the base rules fail. Null stratum: a stratum of its own, apart from an empty one. Repeated labels of a document: it is good
+only if all say so. Documents without a label are judged but don't calibrate. No labels: only base rules reject. No documents: no rows. Repeated
+rows and ties: judged alike. Very long texts: read whole. Other columns aren't read, but for those to ``carry``, whose names must differ from the results'.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def text_features(text: str = "text") -> Column:
 
 
 def with_features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")) if stratum_col else F.lit("")
     f = docs.select(F.col(id_col).alias("id"), stratum.alias("stratum"), *carry, text_features(f"`{text_col}`").alias("f")).select("id", "stratum", *carry, "f.*")
     return f.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
@@ -81,6 +84,7 @@ def binomial_at_most(k: str, n: str, p: float) -> Column:
 
 def select_cutoffs(features: DataFrame, labels: DataFrame, epsilon: float, delta: float, min_precision: float) -> DataFrame:
     """(stratum, rule, cutoff) chosen from the holdout: one row at most for a stratum and rule."""
+    share = epsilon / len(RULES)
     holdout = features.join(labels.groupBy("id").agg(F.min("good").alias("good")), "id").where("not base_failed")
     steps = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).cast("long").alias("cutoff")) for r, spec in RULES.items() for i, c in enumerate(spec[4])]))
     hit = F.lit(False)
@@ -93,7 +97,7 @@ def select_cutoffs(features: DataFrame, labels: DataFrame, epsilon: float, delta
     )
     m = counts.agg(F.count_distinct("stratum", "rule").alias("m"))
     order = Window.partitionBy("stratum", "rule").orderBy("step")
-    tested = counts.crossJoin(F.broadcast(m)).withColumn("stands", (F.col("k") < epsilon * F.col("n")) & F.coalesce(F.when(F.col("k") < epsilon * F.col("n"), binomial_at_most("k", "n", epsilon)) <= F.log(F.lit(delta) / F.col("m")), F.lit(False)))
+    tested = counts.crossJoin(F.broadcast(m)).withColumn("stands", (F.col("k") < share * F.col("n")) & F.coalesce(F.when(F.col("k") < share * F.col("n"), binomial_at_most("k", "n", share)) <= F.log(F.lit(delta) / F.col("m")), F.lit(False)))
     chain = tested.withColumn("stands", F.min(F.col("stands").cast("int")).over(order) == 1)
     good = chain.where(F.col("stands") & (F.col("bad") > 0) & (F.col("bad") >= min_precision * (F.col("bad") + F.col("k"))))
     return good.groupBy("stratum", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
@@ -129,7 +133,7 @@ def _oracle() -> str:
     grid = ", ".join(f"('{r}', {i}, {c})" for r, spec in RULES.items() for i, c in enumerate(spec[4]))
     hit = "case rule " + " ".join(f"when '{r}' then {f} * {t} {'>' if a else '<'} cutoff * {b}" for r, (t, f, b, a, _) in RULES.items()) + " end"
     return rf"""
-with recursive d as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+with recursive d as (select doc_id, coalesce('=' || lang, '') as stratum, coalesce(text, '') as text from documents),
 w as (select doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
 g as (select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as c from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where c > 1) group by doc_id),
@@ -142,7 +146,7 @@ grid(rule, step, cutoff) as (values {grid}),
 h as (select b.*, good from b join (select doc_id, min(quality) as good from labels where quality is not null group by doc_id) using (doc_id) where not base_failed),
 c as (select stratum, rule, step, cutoff, sum(good) as n, sum(case when {hit} then good else 0 end) as k, sum(case when {hit} then 1 - good else 0 end) as bad from h, grid group by all),
 m as (select count(distinct (stratum, rule)) as m from c),
-p as (select stratum, rule, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) as p from (select *, unnest(range(0, cast(k + 1 as bigint))) as i from c where k < 0.01 * n) group by all),
+p as (select stratum, rule, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.002) + (n - i) * ln(0.998))) as p from (select *, unnest(range(0, cast(k + 1 as bigint))) as i from c where k < 0.002 * n) group by all),
 t as (select c.*, min(case when p.p <= 0.05 / m then 1 else 0 end) over (partition by stratum, rule order by step) as stands from c cross join m left join p using (stratum, rule, step)),
 chosen as (select stratum, rule, max_by(cutoff, step) as cutoff from t where stands = 1 and bad > 0 and bad >= 0.9 * (bad + k) group by all),
 failed as (select distinct doc_id from b join chosen using (stratum) where {hit})

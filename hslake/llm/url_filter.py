@@ -5,12 +5,16 @@ hexadecimal ids become wildcards, then, level by level, so do segments that are
 labelled bad share does not differ from their siblings' (two standard errors): similar branches are merged. A template is blocked if its
 bad share, smoothed towards the overall share, is at least ``block_share``.
 
-Counts per (host, typed path) are made before any level, so a hot host costs its distinct paths. Null URL or no ``://``: empty host and
-path, judged like any other. Null ids stay. No labels: nothing but rules blocks. Repeated rows: each is returned.
+Counts per (host, typed path) are made before any level, so a hot host costs its distinct paths. Every level of every path is read; paths that have
+ended leave the loop, so a few deep paths cost a few small rounds. Null URL or no ``://``: empty host and path, judged like any other. Null ids
+stay. No labels: nothing but rules blocks. No pages: no rows. Repeated rows: each is returned. Very long URLs: read whole. Ties between rules can't
+be, as one of equal length that fits is the same rule. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ from ._spark import cut, join_measured
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (pattern, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-MAX_LEVELS, MANY_CHILDREN, ERRORS = 8, 24, 2.0
+MANY_CHILDREN, ERRORS = 24, 2.0
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -44,21 +48,22 @@ def typed_path(path: Column) -> Column:
 
 
 def templates(typed: DataFrame) -> DataFrame:
-    """(host, typed, template) from (host, typed, n, lab, bad), one row per distinct typed path."""
-    levels = typed.agg(F.max(F.size(F.split("typed", "/")))).first()[0] or 0
-    now = typed.withColumn("segs", F.split("typed", "/")).withColumn("template", F.lit(""))
-    for level in range(2, min(levels, MAX_LEVELS + 1) + 1):
+    """(host, typed, n, lab, bad, template) from (host, typed, n, lab, bad), one row per distinct typed path."""
+    now, ended, level = typed.withColumn("segs", F.split("typed", "/")).withColumn("template", F.lit("")), [], 2
+    while True:
+        ended.append(now.where(F.size("segs") < level).drop("segs"))
         here = now.where(F.size("segs") >= level).withColumn("seg", F.col("segs")[level - 1])
+        if not here.head(1):
+            break
         child = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
         node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
         share = F.col("all_bad") / F.col("all_lab")
         differs = (F.col("lab") > 0) & (F.abs(F.col("bad") / F.when(F.col("lab") > 0, F.col("lab")) - share) > ERRORS * F.sqrt(share * (1 - share) / F.when(F.col("lab") > 0, F.col("lab"))))
         wild = (F.col("kids") > 1) & (((F.col("kids") >= MANY_CHILDREN) & (F.col("n") * MANY_CHILDREN < F.col("all_n"))) | ~F.coalesce(F.when(F.col("all_lab") > 0, differs), F.lit(False)))
         named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("seg"))).alias("grown"))
-        grown = here.join(named, ["host", "template", "seg"]).drop("seg", "template").withColumnRenamed("grown", "template")
-        now = cut(grown.unionByName(now.where(F.size("segs") < level)), "level")
-    deep = F.when(F.size("segs") > MAX_LEVELS + 1, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return now.select("host", "typed", "n", "lab", "bad", deep.alias("template"))
+        now = cut(here.join(named, ["host", "template", "seg"]).drop("seg", "template").withColumnRenamed("grown", "template"), "level")
+        level += 1
+    return reduce(DataFrame.unionByName, ended)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_good: str = "quality", rules: list[tuple[str, str]] = RULES, weight: float = 4.0, block_share: float = 0.5) -> DataFrame:
@@ -82,7 +87,8 @@ def op4_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labels).select(F.col("id").alias("page_id"), "host", "path", "rule", "template", F.round("bad_share", 9).alias("bad_share"), "verdict")
 
 
-def _oracle(levels: int = MAX_LEVELS) -> str:
+def _oracle(levels: int = 8) -> str:
+    """SQL for tables whose paths have at most ``levels`` levels; the given ones have three."""
     rule, verdict = "null", "null"
     for pattern, what in sorted(RULES, key=lambda r: len(r[0])):
         name, slash, tail = pattern.partition("/")
@@ -103,7 +109,7 @@ w{d} as (select host, template, seg, kids > 1 and ((kids >= {MANY_CHILDREN} and
 t{d} as (select t.host, segs, n, lab, bad, t.template || '/' || case when wild then '*' else seg end as template from t{d - 1} t join w{d} w on w.host = t.host and w.template = t.template and w.seg = t.segs[{d}] where len(segs) >= {d}
   union all select host, segs, n, lab, bad, template from t{d - 1} where len(segs) < {d})"""
     return sql + f""",
-u as (select host, segs, lab, bad, template || case when len(segs) > {levels + 1} then '/**' else '' end as template from t{levels + 1}),
+u as (select host, segs, lab, bad, template from t{levels + 1}),
 g as (select host, template, (sum(bad) + 4.0 * (select sum(bad) / sum(lab) from u)) / (sum(lab) + 4.0) as bad_share from u group by all)
 select page_id, s.host, path, {rule} as rule, u.template, round(bad_share, 9) as bad_share, coalesce({verdict}, case when bad_share >= 0.5 then 'block' else 'allow' end) as verdict
 from (select page_id, host, path, segs from s) s join (select distinct host, segs, template from u) u on u.host = s.host and u.segs = s.segs join g on g.host = u.host and g.template = u.template""".replace("{rule}", rule).replace("{verdict}", verdict)

@@ -307,6 +307,45 @@ def test_ppm_code_lengths_by_hand():
     assert model.code_lengths(np.frombuffer(probe, np.uint8), np.array([0, 5]))[0, 0] == pytest.approx(want, rel=1e-5)
 
 
+def test_languages_by_brute_force(spark):
+    rng = random.Random(2)
+    letters = {"x": "abcd ", "y": "abce ", "z": "cdé "}
+    say = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    training = [(i, say(lang, 80), lang) for i, lang in enumerate("xyz" * 5)]
+    probes = [(100 + i, say(rng.choice("xyz"), rng.randint(1, 60))) for i in range(30)] + [(200, "Q"), (201, "abcz é")]
+    counts = {lang: [collections.Counter() for _ in range(3)] for lang in "xyz"}
+    for _, text, lang in training:
+        b = text.lower().encode()
+        for m in range(3):
+            counts[lang][m].update(b[i : i + m + 1] for i in range(len(b) - m))
+
+    def bits(lang, context, symbol):
+        if context is None:
+            return 8.0
+        seen = {g[-1]: n for g, n in counts[lang][len(context)].items() if g[:-1] == context}
+        shorter = context[1:] if context else None
+        if not seen:
+            return bits(lang, shorter, symbol)
+        total, kinds = sum(seen.values()), len(seen)
+        return -math.log2(seen[symbol] / (total + kinds)) if symbol in seen else -math.log2(kinds / (total + kinds)) + bits(lang, shorter, symbol)
+
+    want = {}
+    for i, text in probes:
+        b = text.lower().encode()
+        cost = [sum(bits(lang, b[max(0, k - 2) : k], b[k]) for k in range(len(b))) for lang in "xyz"]
+        best = min(range(3), key=lambda k: cost[k])
+        want[i] = ("xyz"[best], 1 / sum(2 ** ((cost[best] - c) / max(1.0, len(b) / 50)) for c in cost))
+    rows = [(i, t, lang) for i, t, lang in training]
+    for part in (1 << 20, 7):
+        langid.PART, kept = part, langid.PART
+        try:
+            got = {r.id: (r.lang, r.score) for r in langid.identify(documents(spark, probes), documents(spark, rows), order=2).collect()}
+        finally:
+            langid.PART = kept
+        assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.severity(docs, labels.where("doc_id % 2 = 0"), train_rows=4000)
@@ -336,7 +375,7 @@ def test_url_edges(spark):
     assert len(got) == 10 and (got[1].host, got[1].path, got[2].host) == ("", "", "")
     assert (got[3].host, got[3].rule, got[3].verdict) == ("a.example.net", "example.net/en/", "allow")
     assert (got[4].rule, got[5].rule, got[6].rule, got[7].rule) == ("org/fr/", "net/", None, "net/")
-    assert (got[9].host, got[9].path) == ("b:", "//c/d") and got[8].template.endswith("/**")
+    assert (got[9].host, got[9].path) == ("b:", "//c/d") and got[8].template == "/a/b/c/d/e/f/g/h/i/j/k"
     assert url_filter.filter_urls(pages.where("false"), labels).count() == 0
     assert url_filter.filter_urls(pages, labels.where("false")).where("verdict = 'block' and rule is null").count() == 0
 
@@ -348,6 +387,14 @@ def test_url_templates_reject_bad_branches(spark):
     assert {(r.template, r.verdict) for r in got} == {("/spam/*", "block"), ("/news/*", "allow")} or {(r.template, r.verdict) for r in got} == {("/spam/{n}.html", "block"), ("/news/{n}.html", "allow")}
 
 
+def test_url_templates_part_at_any_depth(spark):
+    deep = "/".join("abcdefghijkl")
+    rows = [(i, f"http://h.com/{deep}/{'spam' if i % 2 else 'news'}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(200)], "doc_id long, quality int")
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).select("id", "verdict").collect()
+    assert len(got) == 200 and all((r.verdict == "block") == (r.id % 2 == 1) for r in got)
+
+
 def test_chat(spark):
     a, b, c = ("user", "hi"), ("assistant", "yo"), ("user", "more")
     convs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [a, c], 6: [b], 7: [a, (None, None)], 8: [("user", "x")] * 3}
