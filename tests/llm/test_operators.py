@@ -460,8 +460,8 @@ def test_lm_counts_every_word(spark):
         uni.update(t.split())
         bi.update(zip([None, *t.split()], t.split()))
     total = sum(uni.values())
-    for vocabulary in (0, 3, 40, 100_000):
-        got = {r.id: r.log_score for r in lm_score.score_documents(docs, vocabulary=vocabulary).collect()}
+    for vocabulary, hot in ((0, 0), (3, 5), (40, 1000), (100_000, 5)):
+        got = {r.id: r.log_score for r in lm_score.score_documents(docs, vocabulary=vocabulary, hot=hot).collect()}
         for i, t in rows:
             want = sum(math.log(bi[g] / (uni[g[0]] if g[0] else len(rows)) if bi[g] >= 2 else 0.4 * uni[g[1]] / total) for g in zip([None, *t.split()], t.split()))
             assert got[i] == pytest.approx(want), (vocabulary, i)
