@@ -211,6 +211,9 @@ def test_decontamination_paraphrase_and_edges(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short"), (None, " ".join(pick(20)))], "item_id long, text string")
     got = {(r.id, r.kind) for r in decontam.leaks(documents(spark, rows), bench).collect()}
     assert got == {(50, "verbatim"), (51, "verbatim"), (None, "verbatim"), (54, "verbatim")}
+    more = bench.union(spark.createDataFrame([(1, " ".join(item[:20])), (9, " ".join(pick(12)))], bench.schema))
+    twice = [(r.id, r.item_id) for r in decontam.leaks(documents(spark, rows), more, block_items=1).collect()]
+    assert len(twice) == len(set(twice)) == 4
     assert decontam.leaks(documents(spark, rows), bench.where("false")).count() == 0
     assert decontam.leaks(documents(spark, []), bench).count() == 0
     assert decontam.remove_leaks(documents(spark, rows), bench).count() == len(rows) - 3
@@ -499,7 +502,9 @@ def test_decontamination_asks_items_of_every_length(spark):
                     if subsequence(item, here) >= 0.6 * len(item) and (subsequence(item, here) >= 0.75 * len(item) or subsequence(item[-4:], here) == 4):
                         want.add((d, i))
     bench = spark.createDataFrame([(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:])) for i, w in items.items()], "item_id long, text string")
-    got = {(r.id, r.item_id) for r in decontam.leaks(documents(spark, rows), bench).collect()}
+    found = decontam.leaks(documents(spark, rows), bench).collect()
+    got = {(r.id, r.item_id) for r in found}
+    assert sum(r.kind == "paraphrase" and r.lcs_ratio < 0.75 and r.answer_ratio >= 0.75 for r in found) >= 20
     short = {(d, i) for d, i in want if len(items[i]) <= 16}
     assert len(short) >= 45 and len(want) >= 100
     print("recall", len(want & got), len(want), "short", len(short & got), len(short), "extra", len(got - want))
