@@ -38,7 +38,7 @@ from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, release, span_h
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9FB21C651E98DF25)
-CONTEXTS, SLICE, SHARD_BYTES = 24_000, 40_000, 4 << 20
+CONTEXTS, SLICE, SHARD_BYTES = 24_000, 20_000, 2 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,17 +235,16 @@ def shard_rows(chunk, names: list[bytes], full: np.ndarray, row: np.ndarray, at:
     own = np.bincount(place[which[owners]], minlength=len(by))
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     cuts = np.concatenate((begin, [len(bucket)]))
-    sides = []
+    sides, edged = [], np.pad(data, phrase)
     for m, ahead in ((m_right, True), (m_left, False)):
         steps = phrase * np.arange(m + 1)
         edge = np.minimum(p[:, None] + steps, (p + follow)[:, None]) if ahead else np.maximum(p[:, None] - steps, (p - lead)[:, None])
         low, high = (edge[:, :-1], edge[:, 1:]) if ahead else (edge[:, 1:], edge[:, :-1])
         low, high = low.ravel(), high.ravel()
         _, one, number = np.unique(mixed(span_hash(sums, low, high) + (high - low).astype(np.uint64) * _ODD), return_index=True, return_inverse=True)
-        reach = np.arange(phrase)
-        cell = low[one][:, None] + reach if ahead else high[one][:, None] - 1 - reach
-        inside = reach < (high - low)[one][:, None]
-        words = np.where(inside, data[np.clip(cell, 0, len(data) - 1)], 0).astype(np.uint8)
+        view = np.lib.stride_tricks.sliding_window_view(edged, phrase)
+        words = view[low[one] + phrase] if ahead else view[high[one]][:, ::-1].copy()
+        words[np.arange(phrase) >= (high - low)[one][:, None]] = 0
         rank = np.argsort(words.view(f"S{phrase}").ravel(), kind="stable")
         place_of = np.empty(len(rank), np.int64)
         place_of[rank] = np.arange(len(rank))
