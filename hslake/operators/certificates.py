@@ -95,10 +95,11 @@ def search_certificates(j):
     return direct.union(j.certificates.select("sha256").join(used, "sha256", "left_semi")).distinct()
 
 
-@query("cert_lookup", "select flow_id, list((role, chain_index, subject, public_key_class) order by role, chain_index) as chain from connection_certificates l join certificates c on c.sha256 = l.sha256 group by flow_id")
+@query("cert_lookup", "select flow_id, list({'role': role, 'chain_index': chain_index, 'subject': subject, 'public_key_class': public_key_class} order by role, chain_index)[1:64] as chain from connection_certificates l join certificates c on c.sha256 = l.sha256 group by flow_id")
 def cert_lookup(j):
     rows = j.connection_certificates.join(j.certificates.drop("change_revision"), "sha256")
-    return rows.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("role", "chain_index", "subject", "public_key_class"))).alias("chain"))
+    listed = F.sort_array(F.collect_list(F.struct("role", "chain_index", "subject", "public_key_class")))
+    return rows.groupBy("flow_id").agg(F.slice(listed, 1, 64).alias("chain"))
 
 
 FACTS = "(select run_id, flow_id, string_agg(concat(lower(role), '|', public_key_class, '|', certificate_signature_class), ',' order by role, chain_index) as facts from connection_certificates l join certificates c on c.sha256 = l.sha256 group by 1, 2)"

@@ -286,13 +286,6 @@ def page_certificates(j):
     return j.certificates.where(F.col("sha256") > "4").orderBy("sha256").limit(26).select("sha256", "subject")
 
 
-@query("export_order", "select id, first_us, row_number() over (order by first_us, id) as n from (select id, first_us from connections order by first_us, id limit 500) t")
-def export_order(j):
-    """The head of the order, as the SQL has it; ``export_order_all`` is the whole."""
-    first = j.connections.select("id", "first_us").orderBy("first_us", "id").limit(500)
-    return first.withColumn("n", F.row_number().over(Window.orderBy("first_us", "id")))
-
-
 def numbered(df: DataFrame, time: str, rows_a_range: int = 1 << 18) -> DataFrame:
     """Every row with its place ``n`` in ascending (time, id): a count for each range, then row numbers within the ranges.
 
@@ -309,8 +302,9 @@ def numbered(df: DataFrame, time: str, rows_a_range: int = 1 << 18) -> DataFrame
     return rows.drop("range", "base")
 
 
-@query("export_order_all", "select id, first_us, row_number() over (order by first_us, id) as n from connections")
-def export_order_all(j):
+@query("export_order", "select id, first_us, row_number() over (order by first_us, id) as n from connections")
+def export_order(j):
+    """Every connection with its place in the whole export."""
     return numbered(j.connections.select("id", "first_us"), "first_us")
 
 

@@ -34,7 +34,7 @@ def _profile(group: int | None, kind: str, status: str, reports: list[dict], **m
 
 
 HYBRID = (4588, "Hybrid post-quantum", "Standardized")
-#: The evidence of each case: ten TLS ones, then SSH, SMB, HTTP and IKEv2.
+#: The evidence of each case: ten TLS ones, then SSH, SMB, HTTP, IKEv2, LDAP, WireGuard and OpenVPN. Names and values as the data model records them (fixed values).
 EVIDENCE: dict[int, dict] = {
     0: _profile(29, "Classical", "Assigned", []),
     1: _profile(*HYBRID, [_report("Client", True, "Post-quantum", 1, 2308)]),
@@ -48,10 +48,13 @@ EVIDENCE: dict[int, dict] = {
     9: _profile(None, "", "", []),
     10: {"transport": "TCP", "ssh_selection": {"key_exchange": "sntrup761x25519-sha512", "host_key": "ssh-ed25519", "cipher_c2s": "aes256-gcm@openssh.com", "cipher_s2c": "aes256-gcm@openssh.com", "mac_c2s": "", "mac_s2c": ""}, "ssh_host_key_bits": 256},
     11: {"transport": "TCP", "ssh_selection": {"key_exchange": "diffie-hellman-group1-sha1", "host_key": "ssh-rsa", "cipher_c2s": "3des-cbc", "cipher_s2c": "3des-cbc", "mac_c2s": "hmac-md5", "mac_s2c": "hmac-md5"}, "ssh_host_key_bits": 1024},
-    12: {"transport": "TCP", "smb_selected_dialect": 785, "smb_server_signing_required": True, "smb_signed_message_observed": True, "smb_encrypted_transform_observed": True},
-    13: {"transport": "TCP", "smb_selected_dialect": 514, "smb_server_signing_required": False},
+    12: {"transport": "TCP", "smb_selected_dialect": 785, "smb_server_signing_required": True, "smb_signed_message_observed": True, "smb_encrypted_transform_observed": True, "smb_selected_cipher": [2], "smb_selected_signing_algorithm": [2]},
+    13: {"transport": "TCP", "smb_selected_dialect": 514, "smb_server_signing_required": False, "smb_selected_cipher": [1, 2], "ntlm_authenticate": {"nt_response": "NTLMv1", "lm_response": "LM"}},
     14: {"transport": "TCP", "http_host": "www.example.test", "http_hosts": ["www.example.test", "API.example.test"]},
     15: {"transport": "UDP", "encryption": "aes-gcm-16", "key_exchange": "curve25519", "symmetric_key_bits": 256},
+    16: {"transport": "TCP", "ldap_session_protection": "None", "ldap_plaintext_password": True, "krb_ticket": {"encryption": "rc4-hmac"}},
+    17: {"transport": "UDP", "encryption": "chacha20-poly1305", "key_exchange": "x25519", "symmetric_key_bits": 256},
+    18: {"transport": "UDP", "vpn_data_cipher": "AES-256-GCM", "openvpn_tls_version": "TLS 1.1", "vpn_authentication": "Failed", "openvpn_tls": {"selected_cipher": "TLS_RSA_WITH_RC4_128_SHA"}},
 }
 DAMAGED, DUPLICATED = '{"transport":"TCP","group_class":', '{"transport":"TCP","transport":"QUIC","group_class":"Classical"}'
 
@@ -60,8 +63,8 @@ def _json(doc: dict) -> str:
     return json.dumps(doc, separators=(",", ":"))
 
 
-_crypto = "case when l_orderkey%997=0 then '" + DAMAGED + "' when l_orderkey%991=0 then '" + DUPLICATED + "' else case (l_partkey+l_linenumber)%16 " + " ".join(f"when {k} then '{_json(v)}'" for k, v in EVIDENCE.items()) + " end end"
-_case = "(l_partkey+l_linenumber)%16"
+_crypto = "case when l_orderkey%997=0 then '" + DAMAGED + "' when l_orderkey%991=0 then '" + DUPLICATED + "' else case (l_partkey+l_linenumber)%19 " + " ".join(f"when {k} then '{_json(v)}'" for k, v in EVIDENCE.items()) + " end end"
+_case = "(l_partkey+l_linenumber)%19"
 _id = "(l_orderkey*8+l_linenumber)"
 
 TABLES: dict[str, str] = {
@@ -83,8 +86,8 @@ select {_id} as id, concat('run-',@STR(c_nationkey)@) as run_id, {_id} as flow_i
   case when l_suppkey%10=0 then '127.0.0.1' else concat('192.0.2.',@STR(l_suppkey%250)@) end as destination_address,
   case when l_suppkey%3=0 then 8443 else 443 end as destination_port, 4 as ip_version,
   case when {_case}<=7 then 772 when {_case}=8 then 771 end as tls_version,
-  case when {_case}<=7 then 'TLS 1.3' when {_case}=8 then 'TLS 1.2' when {_case}=9 then '' when {_case}<=11 then 'SSH 2.0' when {_case}<=13 then 'SMB' when {_case}=14 then 'HTTP' else 'IKEv2' end as tls_name,
-  case when {_case}<=8 then 'hellos_observed' when {_case}=9 then 'client_hello_only' when {_case}<=11 then 'ssh_kex_selection' when {_case}<=13 then 'smb_negotiation' when {_case}=14 then 'http_observed' else 'ike_sa_selection' end as state,
+  case when {_case}<=7 then 'TLS 1.3' when {_case}=8 then 'TLS 1.2' when {_case}=9 then '' when {_case}<=11 then 'SSH 2.0' when {_case}<=13 then 'SMB' when {_case}=14 then 'HTTP' when {_case}=15 then 'IKEv2' when {_case}=16 then 'LDAP' when {_case}=17 then 'WireGuard' else 'OpenVPN' end as tls_name,
+  case when {_case}<=8 then 'hellos_observed' when {_case}=9 then 'client_hello_only' when {_case}<=11 then 'ssh_kex_selection' when {_case}<=13 then 'smb_negotiation' when {_case}=14 then 'http_observed' when {_case}=15 then 'ike_sa_selection' when {_case}=16 then 'ldap_observed' when {_case}=17 then 'wireguard_observed' else 'openvpn_observed' end as state,
   case when {_case}<=7 then case when l_suppkey%2=0 then 'TLS_AES_256_GCM_SHA384' else 'TLS_CHACHA20_POLY1305_SHA256' end when {_case}=8 then 'TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256' else '' end as cipher_name,
   case when l_suppkey%11=0 then '' else concat('svc-',@STR(l_suppkey%50)@,'.test') end as sni,
   case when o_custkey%6=0 then null else 1000+o_custkey%500 end as source_pid,
