@@ -38,7 +38,9 @@ from ._text import SYMBOLS, as_long, chunks, mixed, prefix_hash, release, span_h
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9FB21C651E98DF25)
-CONTEXTS, SLICE, SHARD_BYTES = 24_000, 20_000, 2 << 20
+CONTEXTS, SLICE, SHARD_BYTES, HOT_STRINGS = 24_000, 20_000, 2 << 20, 1_000_000
+#: Kinds of rows in place of a number of contexts: strings that ask, spans that are known.
+ASKED, KNOWN = -1, -2
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +269,63 @@ def shard_rows(chunk, names: list[bytes], full: np.ndarray, row: np.ndarray, at:
     return rows
 
 
+def hot_rows(chunk, names: list[bytes], full: np.ndarray, again: np.ndarray, n_buckets: int, hot_buckets: int, length: int, window: int) -> list[tuple]:
+    """Rows of the strings through hot anchors: spans of those that this shard holds twice, the hashes of each of the others and of one witness."""
+    near = np.zeros(len(chunk.data) + 1, np.int32)
+    for i, hots in enumerate(chunk.batch.column("hots").to_pylist()):
+        if hots and not again[i]:
+            at, n = np.array(hots, np.int64), int(chunk.offsets[i + 1] - chunk.offsets[i])
+            low, high = np.maximum(0, at - window + 1), np.minimum(at, n - length)
+            fits = low <= high
+            np.add.at(near, chunk.offsets[i] + low[fits], 1)
+            np.add.at(near, chunk.offsets[i] + high[fits] + 1, -1)
+    start = np.flatnonzero(np.cumsum(near) > 0)
+    if not len(start):
+        return []
+    row = np.searchsorted(chunk.offsets, start, "right") - 1
+    local = start - chunk.offsets[row]
+    one, two = (span_hash(prefix_hash(chunk.data, table), start, start + length) for table in (SYMBOLS, SYMBOLS[::-1].copy()))
+    by = np.lexsort((two, one))
+    new = np.concatenate(([True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])))
+    ask, times = by[new], np.diff(np.concatenate((np.flatnonzero(new), [len(by)])))
+    sure = np.empty(len(start), bool)
+    sure[by] = np.repeat(times > 1, times)
+    own = sure & ~full[row]
+    begin = own & ~np.concatenate(([False], own[:-1] & (start[1:] == start[:-1] + 1) & (row[1:] == row[:-1])))
+    stop = own & np.concatenate((begin[1:] | ~own[1:], [True]))
+    label = lambda rows: b"".join(names[r] for r in rows)
+    made = lambda bucket, kind, one, two, start, names, stop: (bucket, kind, one, two, start, b"", names, stop, b"", b"", b"", b"")
+    rows = [made(n_buckets + int(one[0] % np.uint64(hot_buckets)), KNOWN, b"", b"", local[begin].tobytes(), label(row[begin]), (local[stop] + length).tobytes())]
+    plain = ~sure[ask] & ~full[row[ask]]
+    bucket = (mixed(one[ask]) % np.uint64(hot_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    ask, plain, bucket = ask[by], plain[by], bucket[by]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for i, j in zip(cuts, cuts[1:]):
+        a, p = ask[i:j], plain[i:j]
+        rows.append(made(n_buckets + int(bucket[i]), ASKED, one[a].tobytes(), two[a].tobytes(), np.where(p, local[a], -1).tobytes(), label(row[a]), b""))
+    return rows
+
+
+def _merge_hot(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Spans of hot strings that two shards, or one shard twice, hold."""
+    ints = lambda rows, column: np.frombuffer(b"".join(rows[column]), np.int64)
+    names = lambda rows: np.frombuffer(b"".join(rows["names"]), "V16")
+    asked, known = pdf[pdf["n"] == ASKED], pdf[pdf["n"] == KNOWN]
+    one, two, start = ints(asked, "weight"), ints(asked, "lead"), ints(asked, "follow")
+    by = np.lexsort((two, one))
+    new = np.concatenate(([True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])))[: len(by)]
+    group = np.cumsum(new) - 1
+    held = np.bincount(group, weights=np.where(start[by] < 0, 2, 1))
+    hit = by[(held[group] > 1) & (start[by] >= 0)]
+    release()
+    told = np.concatenate((names(asked)[hit], names(known)))
+    return pd.DataFrame({"k": [x.tobytes() for x in told], "start": np.concatenate((start[hit], ints(known, "follow"))), "stop": np.concatenate((start[hit] + length, ints(known, "ats")))})
+
+
 def _merge_bucket(pdf: pd.DataFrame, length: int, window: int) -> pd.DataFrame:
+    if pdf["n"].iloc[0] < 0:
+        return _merge_hot(pdf, length)
     phrase, m_right, m_left = _sides(length, window)
     many = pdf["n"].to_numpy(np.int64)
     weight, lead, follow, own = (np.frombuffer(b"".join(pdf[c]), t).astype(np.int64) for c, t in (("weight", np.uint32), ("lead", np.int32), ("follow", np.int32), ("own", np.int32)))
@@ -312,7 +370,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[D
     wanted = cut(found.groupBy("k", "full").agg(F.collect_list(F.when(~F.col("hot"), F.col("at"))).alias("ats"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("hots")), "wanted")
     n, n_hot = wanted.agg(F.sum(F.size("ats")), F.sum(F.size("hots"))).first()
     n_buckets = max(8, -(-(n or 0) // CONTEXTS))
-    texts = docs.select("k", "text").hint("shuffle_merge").join(wanted, "k")
+    hot_buckets = -(-(n_hot or 0) * window // HOT_STRINGS)
+    texts = docs.select("k", "text").hint("shuffle_merge").join(wanted, "k").select("k", "full", "ats", "hots", "text")
 
     def ship(batches):
         for chunk in chunks(batches, most=SHARD_BYTES):
@@ -322,48 +381,13 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[D
             row, at = np.repeat(np.arange(len(chunk)), size), ats.flatten().to_numpy().astype(np.int64)
             again = np.array([i > 0 and names[i] == names[i - 1] for i in range(len(names))])
             row, at = row[~again[row]], at[~again[row]]
-            for a in range(0, len(at), SLICE):
-                rows = shard_rows(chunk, names, full, row[a : a + SLICE], at[a : a + SLICE], n_buckets, length, gram)
+            packed = [shard_rows(chunk, names, full, row[a : a + SLICE], at[a : a + SLICE], n_buckets, length, gram) for a in range(0, len(at), SLICE)]
+            if hot_buckets:
+                packed.append(hot_rows(chunk, names, full, again, n_buckets, hot_buckets, length, window))
+            for rows in filter(None, packed):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 10))], names=_FIELDS)
 
-    def hash_hot(batches):
-        for chunk in chunks(batches, most=SHARD_BYTES):
-            names, hots = (chunk.batch.column(c).to_pylist() for c in ("k", "hots"))
-            full = chunk.batch.column("full").to_numpy(zero_copy_only=False)
-            near = np.zeros(len(chunk.data) + 1, np.int32)
-            for i in range(len(chunk)):
-                if i == 0 or names[i] != names[i - 1]:
-                    at, n = np.array(hots[i], np.int64), int(chunk.offsets[i + 1] - chunk.offsets[i])
-                    fits = at - window + 1 <= n - length
-                    np.add.at(near, chunk.offsets[i] + np.maximum(0, at - window + 1)[fits], 1)
-                    np.add.at(near, chunk.offsets[i] + np.minimum(at, n - length)[fits] + 1, -1)
-            start = np.flatnonzero(np.cumsum(near) > 0)
-            if not len(start):
-                continue
-            row = np.searchsorted(chunk.offsets, start, "right") - 1
-            one, two = (span_hash(prefix_hash(chunk.data, table), start, start + length) for table in (SYMBOLS, SYMBOLS[::-1].copy()))
-            by = np.lexsort((two, one))
-            new = np.concatenate(([True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])))
-            ask, times = by[new], np.diff(np.concatenate((np.flatnonzero(new), [len(by)])))
-            sure = np.empty(len(start), bool)
-            sure[by] = np.repeat(times > 1, times)
-            own = sure & ~full[row]
-            begin = own & ~np.concatenate(([False], own[:-1] & (start[1:] == start[:-1] + 1) & (row[1:] == row[:-1])))
-            stop = own & np.concatenate((begin[1:] | ~own[1:], [True]))
-            local = start - chunk.offsets[row]
-            answer = pd.DataFrame({"k": [names[r] for r in row[begin]], "start": local[begin], "stop": local[stop] + length})
-            plain = ~sure[ask] & ~full[row[ask]]
-            asked = pd.DataFrame({"h1": one[ask].view(np.int64), "h2": two[ask].view(np.int64), "start": np.where(plain, local[ask], -1), "k": [names[r] if p else None for r, p in zip(row[ask], plain)]})
-            for frame in (answer.assign(h1=None, h2=None), asked.assign(stop=None)):
-                yield pa.RecordBatch.from_arrays([pa.array(frame[c], t) for c, t in (("k", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()))], names=["k", "start", "stop", "h1", "h2"])
-
-    spans = texts.select("k", "full", "ats", "text").mapInArrow(ship, _SHARD).groupBy("bucket").applyInPandas(lambda pdf: _merge_bucket(pdf, length, window), "k binary, start long, stop long")
-    if n_hot:
-        found = cut(texts.where(F.size("hots") > 0).select("k", "full", "hots", "text").mapInArrow(hash_hot, "k binary, start long, stop long, h1 long, h2 long"), "hot")
-        asked = found.where("h1 is not null")
-        twice = cut(asked.groupBy("h1", "h2").agg(F.sum(F.when(F.col("start") < 0, 2).otherwise(1)).alias("c")).where("c > 1").select("h1", "h2"), "twice")
-        more = asked.where("start >= 0").join(twice.hint("shuffle_merge"), ["h1", "h2"]).select("k", "start", (F.col("start") + length).alias("stop"))
-        spans = spans.union(found.where("h1 is null").select("k", "start", "stop")).union(more)
+    spans = texts.mapInArrow(ship, _SHARD).groupBy("bucket").applyInPandas(lambda pdf: _merge_bucket(pdf, length, window), "k binary, start long, stop long")
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return classes.select("k", "copies", "n_bytes"), spans
 
