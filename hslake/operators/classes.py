@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hslake.functions import text as T
@@ -139,15 +139,27 @@ _members = f"list_concat([], flatten(list_transform(list_filter(json_keys({SAFE}
 _DUCK_RULES = finding_rules(lambda path: f"coalesce({js(path)}, '')", f"len(list_filter(coalesce({_members}, []), lambda t: t like 'rc4%' or t like 'des%')) > 0")
 
 
+def with_members(df: DataFrame) -> DataFrame:
+    """Adds ``v``, the text of each member of the recorded document, and ``krb``, the encryption members of its Kerberos objects."""
+    objects = "filter(map_entries(v), m -> startswith(m.key, 'krb_') and startswith(m.value, '{'))"
+    listed = f"flatten(transform({objects}, m -> transform(filter(map_entries(from_json(m.value, 'map<string,string>')), x -> x.key = 'encryption' or endswith(x.key, '_encryption')), x -> x.value)))"
+    return df.withColumn("v", F.coalesce(F.from_json(T.safe_object("crypto_json"), "map<string,string>"), F.create_map().cast("map<string,string>"))).withColumn("krb", F.expr(listed))
+
+
+@query("kerberos_encryption", f"select id, list_sort(list_distinct({_members})) as encryptions from connections where len({_members}) > 0")
+def kerberos_encryption(j):
+    """Distinct encryptions that any recorded Kerberos object names; connections without one give no row."""
+    rows = with_members(j.connections).select("id", F.sort_array(F.array_distinct(F.array_compact("krb"))).alias("encryptions"))
+    return rows.where(F.size("encryptions") > 0)
+
+
 @query("findings", "select id, [f for f in [" + ", ".join(f"case when {e} then '{n}' end" for n, e in _DUCK_RULES) + "] if f is not null] as findings from connections")
 def findings(j):
     """Weak cryptography that a connection's record shows; the document is parsed once into its members' text."""
     inner = lambda name: f"from_json(v['{name}'], 'map<string,string>')"
     field = lambda path: f"coalesce({inner(path.partition('.')[0])}['{path.partition('.')[2]}'], '')" if "." in path else f"coalesce(v['{path}'], '')"
     kerberos = "exists(krb, t -> t like 'rc4%' or t like 'des%')"
-    members = "filter(map_entries(v), m -> startswith(m.key, 'krb_') and startswith(m.value, '{'))"
-    listed = f"flatten(transform({members}, m -> transform(filter(map_entries(from_json(m.value, 'map<string,string>')), x -> x.key = 'encryption' or endswith(x.key, '_encryption')), x -> x.value)))"
-    rows = j.connections.withColumn("v", F.coalesce(F.from_json(T.safe_object("crypto_json"), "map<string,string>"), F.create_map().cast("map<string,string>"))).withColumn("krb", F.expr(listed))
+    rows = with_members(j.connections)
     told = [F.when(F.expr(e), n) for n, e in finding_rules(field, kerberos)]
     return rows.select("id", F.filter(F.array(*told), lambda f: f.isNotNull()).alias("findings"))
 

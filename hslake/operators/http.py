@@ -87,6 +87,7 @@ def content_kind(j):
     return j.exchanges.groupBy(kind.otherwise("other").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("response_body").cast("long")).alias("bytes"))
 
 
+COMPRESSED = tuple(bytes.fromhex(m) for m, kind in MAGIC.items() if kind in ("gzip", "png", "jpeg", "pdf", "zip"))
 BODY_BOUND = 8 << 20
 
 
@@ -122,19 +123,20 @@ def body_inventory(j):
 
 
 def payload_entropy(df: DataFrame, least: int = 4096) -> DataFrame:
-    """(id, entropy, possible_encryption) of (id, body binary): bits a byte of bodies of ``least`` bytes or more."""
+    """(id, entropy, possible_encryption) of (id, body binary): bits a byte of bodies of ``least`` bytes or more; compressed kinds aren't taken for encryption."""
 
     def run(batches):
         for batch in batches:
-            bits = []
+            bits, marked = [], []
             for body in batch.column("body").to_pylist():
+                marked.append((body or b"").startswith(COMPRESSED))
                 if body is None or len(body) < least:
                     bits.append(None)
                     continue
                 p = np.bincount(np.frombuffer(body, np.uint8), minlength=256) / len(body)
                 p = p[p > 0]
                 bits.append(float(-(p * np.log2(p)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.float64()), pa.array([b is not None and b >= 7.8 for b in bits])], names=["id", "entropy", "possible_encryption"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.float64()), pa.array([b is not None and b >= 7.8 and not m for b, m in zip(bits, marked)])], names=["id", "entropy", "possible_encryption"])
 
     return df.select("id", "body").mapInArrow(run, "id long, entropy double, possible_encryption boolean")
 
@@ -160,6 +162,44 @@ def jwt_tokens(df: DataFrame) -> DataFrame:
 
     def part(i: int) -> Column:
         raw = F.translate(F.split_part("t", F.lit("."), F.lit(i)), "-_", "+/")
-        return F.decode(F.unbase64(F.rpad(raw, (F.ceil(F.length(raw) / 4.0) * 4).cast("int"), "=")), "UTF-8")
+        return base64_text(F.rpad(raw, (F.ceil(F.length(raw) / 4.0) * 4).cast("int"), "="))
 
-    return rows.select("id", F.get_json_object(part(1), "$.alg").alias("alg"), F.get_json_object(part(2), "$.iss").alias("issuer"), F.get_json_object(part(2), "$.exp").cast("long").alias("expires"))
+    return rows.select("id", F.get_json_object(part(1), "$.alg").alias("alg"), F.get_json_object(part(2), "$.iss").alias("issuer"), F.get_json_object(part(2), "$.exp").try_cast("long").alias("expires"))
+
+
+def base64_text(column: Column) -> Column:
+    """The text behind Base64; null where either layer is damaged."""
+    return F.try_validate_utf8(F.try_to_binary(column, F.lit("base64")).cast("string"))
+
+
+JWT_AT = 1704067800
+_TOKENS = r"select id, unnest(list_distinct(regexp_extract_all(text, '(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)', 1))[1:10]) as t from authorizations"
+_PART = "decode(from_base64(rpad(translate({p}, '-_', '+/'), cast(ceil(length({p}) / 4.0) * 4 as int), '=')))"
+
+
+@query("jwt_inventory", f"select alg, issuer, case when exp is null then 'No expiry' when exp <= {JWT_AT} then 'Expired' else 'Valid' end as expiry, count(*) as n from (select json_extract_string(h, '$.alg') as alg, json_extract_string(p, '$.iss') as issuer, cast(json_extract_string(p, '$.exp') as bigint) as exp from (select {_PART.format(p="split_part(t, '.', 1)")} as h, {_PART.format(p="split_part(t, '.', 2)")} as p from ({_TOKENS}) x) y) z group by all")
+def jwt_inventory(j):
+    """Tokens by algorithm, issuer and whether they had expired at a given time."""
+    expiry = F.when(F.col("expires").isNull(), "No expiry").when(F.col("expires") <= JWT_AT, "Expired").otherwise("Valid")
+    return jwt_tokens(j.authorizations.select("id", "text")).groupBy("alg", "issuer", expiry.alias("expiry")).agg(F.count("*").alias("n"))
+
+
+def element(name: str) -> str:
+    return rf"<(?:\w+:)?{name}\b[^>]*>([^<]*)<"
+
+
+STATUS = r'<(?:\w+:)?StatusCode\b[^>]*\bValue="[^"]*:([^":]*)"'
+SIGNED = r"<(?:\w+:)?Signature\b"
+SAML = {"issuer": element("Issuer"), "status": STATUS, "subject": element("NameID"), "audience": element("Audience")}
+
+
+def saml_fields(df: DataFrame) -> DataFrame:
+    """(id, issuer, status, subject, audience, signed) of the response in each (id, form); damaged ones have nulls, absent ones give no row."""
+    sent = F.regexp_extract("form", "(?:^|&)SAMLResponse=([^&]*)", 1)
+    rows = df.select("id", sent.alias("sent")).where("sent <> ''").select("id", base64_text(F.try_url_decode("sent")).alias("xml"))
+    return rows.select("id", *[T.nonempty(F.regexp_extract("xml", p, 1)).alias(n) for n, p in SAML.items()], F.rlike("xml", F.lit(SIGNED)).alias("signed"))
+
+
+@query("saml_inventory", "select id, " + ", ".join(f"nullif(regexp_extract(xml, '{p}', 1), '') as {n}" for n, p in SAML.items()) + f", regexp_matches(xml, '{SIGNED}') as signed from (select id, decode(from_base64(url_decode(regexp_extract(form, 'SAMLResponse=([^&]*)', 1)))) as xml from authorizations where form is not null) x")
+def saml_inventory(j):
+    return saml_fields(j.authorizations.select("id", "form"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hslake.functions import text as T
+from hslake.functions.scope import Scope
 from hslake.operators.investigation import FLOWS, SAFE, flows, js
 from hslake.plans.registry import query
 
@@ -135,3 +136,12 @@ def form_fields(df: DataFrame) -> DataFrame:
     """(id, name, value) of the hidden inputs in each (id, html)."""
     tags = F.explode(F.regexp_extract_all("html", F.lit(r'(<input\b[^>]*type="hidden"[^>]*>)'), F.lit(1))).alias("tag")
     return df.select("id", tags).select("id", F.regexp_extract("tag", r'\bname="([^"]*)"', 1).alias("name"), F.regexp_extract("tag", r'\bvalue="([^"]*)"', 1).alias("value"))
+
+
+SAVED = Scope(protocol="TLS 1.3", conditions=(("ServerPort", "equals", "8443"), ("Process", "observed", "")), include_loopback=False)
+
+
+@query("saved_search_io", f"select id from {FLOWS} f where tls_name = 'TLS 1.3' and destination_port = 8443 and (source_process <> '' or source_path <> '' or destination_process <> '') and not (starts_with(source_address, '127.') or starts_with(destination_address, '127.') or source_address = destination_address)")
+def saved_search_io(j):
+    """The rows that a search selects after it was written as JSON and read back."""
+    return flows(j).where(Scope.from_json(SAVED.to_json()).column()).select("id")

@@ -133,6 +133,16 @@ select page_id as id, concat('run-',@STR(page_id%25)@) as run_id, page_id*8+1 as
   concat('Content-Type: text/html', chr(10), 'Server: s', @STR(page_id%4)@, chr(10), 'X-Id: ', @STR(page_id)@) as response_headers,
   html as response_body, case when page_id%9=0 then 'encrypted' when page_id%8=0 then 'partial' else 'complete' end as state
 from #pages#""",
+    "authorizations": """
+select page_id as id, case when page_id%4=3 then '' else concat('Authorization: Bearer ',jwt,chr(10),'Cookie: sid=',jwt) end as text,
+  case when page_id%5=0 then null else concat('RelayState=x&SAMLResponse=',replace(replace(replace(@B64(xml)@,'+','%2B'),'/','%2F'),'=','%3D')) end as form
+from (select page_id,
+  concat(@URL64(concat('{"alg":"',case page_id%3 when 0 then 'HS256' when 1 then 'RS256' else 'none' end,'","typ":"JWT"}'))@,'.',
+    @URL64(concat('{"iss":"idp-',@STR(page_id%5)@,'","iat":',@STR(1704067200+page_id)@,case when page_id%7=0 then '' else concat(',"exp":',@STR(1704067500+page_id)@) end,'}'))@,'.c2ln') as jwt,
+  concat('<samlp:Response><saml:Issuer>idp-',@STR(page_id%5)@,'</saml:Issuer>',case when page_id%2=0 then '<ds:Signature>x</ds:Signature>' else '' end,
+    '<samlp:Status><samlp:StatusCode Value="urn:oasis:names:tc:SAML:2.0:status:',case when page_id%6=1 then 'Requester' else 'Success' end,'"/></samlp:Status>',
+    case when page_id%6=1 then '' else concat('<saml:Assertion><saml:Subject><saml:NameID Format="u">user-',@STR(page_id%50)@,'</saml:NameID></saml:Subject><saml:Audience>sp-',@STR(page_id%3)@,'</saml:Audience></saml:Assertion>') end,'</samlp:Response>') as xml
+  from #pages#) p""",
     "reports": """
 select concat('rep-',@STR(flow_id)@,'-',@STR(copy)@) as report_id, run_id, source_address, source_port, destination_address, destination_port, tls_name as protocol,
   case when flow_id%5=1 then last_us+300000 else first_us end as started_us, case when flow_id%5=1 then last_us+400000 else last_us end as timestamp_us,
@@ -153,8 +163,8 @@ select concat('consumer-',@STR(r_regionkey)@) as name, cast(40+r_regionkey*3 as
 }
 
 BASE = "region nation customer supplier orders lineitem events pages".split()
-_SPARK = {"STR": "cast({} as string)", "US": "unix_micros(cast({} as timestamp))", "SHA": "upper(sha2({},256))", "IDIV": "({} div {})"}
-_DUCK = {"STR": "cast({} as varchar)", "US": "epoch_us({})", "SHA": "upper(sha256({}))", "IDIV": "({} // {})"}
+_SPARK = {"STR": "cast({} as string)", "US": "unix_micros(cast({} as timestamp))", "SHA": "upper(sha2({},256))", "IDIV": "({} div {})", "B64": "base64(encode({},'UTF-8'))", "URL64": "replace(translate(base64(encode({},'UTF-8')),'+/','-_'),'=','')"}
+_DUCK = {"STR": "cast({} as varchar)", "US": "epoch_us({})", "SHA": "upper(sha256({}))", "IDIV": "({} // {})", "B64": "base64(encode({}))", "URL64": "replace(translate(base64(encode({})),'+/','-_'),'=','')"}
 
 
 def _render(text: str, macros: dict[str, str]) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hslake.functions import text as T
 from hslake.functions.scope import Scope
 from hslake.operators.evidence import decoded
-from hslake.operators.http import decode_bodies, jwt_tokens, payload_entropy
+from hslake.operators.http import decode_bodies, jwt_tokens, payload_entropy, saml_fields
 from hslake.operators.policy import Policy, evaluate
 from hslake.plans import registry
 from hslake.sources.journal import load_journal
@@ -79,7 +79,9 @@ def test_bodies(spark):
     rows = [(1, "gzip", gz.compress(raw) + gz.flush()), (2, "deflate", zlib.compress(raw)), (3, "gzip", b"broken"), (4, None, None), (5, "identity", os.urandom(8192))]
     df = spark.createDataFrame(rows, "id int, encoding string, body binary").withColumn("id", F.col("id").cast("long"))
     assert {r.id: r.decoded_bytes for r in decode_bodies(df).collect()} == {1: 600, 2: 600, 3: None, 4: 0, 5: 8192}
-    assert [r.id for r in payload_entropy(df).where("possible_encryption").collect()] == [5]
+    noise = os.urandom(8192)
+    packed = spark.createDataFrame([(6, b"\x1f\x8b" + noise), (7, b"PK\x03\x04" + noise), (8, b"\x89PNG" + noise), (9, b"\x01" + noise)], "id long, body binary")
+    assert [r.id for r in payload_entropy(df.select("id", "body").union(packed)).where("possible_encryption").orderBy("id").collect()] == [5, 9]
 
 
 def test_jwt(spark):
@@ -87,8 +89,20 @@ def test_jwt(spark):
 
     enc = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
     token = f"{enc({'alg': 'HS256'})}.{enc({'iss': 'lab', 'exp': 1700000000})}.c2ln"
-    df = spark.createDataFrame([(1, f"a {token} b {token}"), (2, "none"), (3, None)], "id int, text string")
-    assert [tuple(r) for r in jwt_tokens(df).collect()] == [(1, "HS256", "lab", 1700000000)]
+    odd = f"{enc({'alg': 'RS256'})}.{enc({'exp': 'soon'})}."
+    df = spark.createDataFrame([(1, f"a {token} b {token}"), (2, "none"), (3, None), (4, "eyJhb.eyJ_w.x"), (5, odd)], "id int, text string")
+    assert sorted(map(tuple, jwt_tokens(df).collect())) == [(1, "HS256", "lab", 1700000000), (4, None, None, None), (5, "RS256", None, None)]
+
+
+def test_saml(spark):
+    import base64
+    from urllib.parse import quote
+
+    form = lambda x: "a=b&SAMLResponse=" + quote(base64.b64encode(x).decode(), safe="")
+    whole = b'<p:Response><Issuer>lab</Issuer><p:StatusCode Value="urn:x:Success"/><NameID>\xc3\xa9</NameID><Signature/></p:Response>'
+    rows = [(1, form(whole)), (2, form(b"<Issuer>cut")), (3, form(b"\xff\xfe")), (4, "SAMLResponse=%zz"), (5, "XSAMLResponse=QQ=="), (6, ""), (7, None)]
+    got = {r.id: tuple(r)[1:] for r in saml_fields(spark.createDataFrame(rows, "id int, form string")).collect()}
+    assert got == {1: ("lab", "Success", "\u00e9", None, True), 2: (None, None, None, None, False), 3: (None,) * 5, 4: (None,) * 5}
 
 
 def test_tunnel_and_directory_policies(spark):
