@@ -79,19 +79,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected graph ``edges`` (a, b): every node with the least node that it reaches.
 
     Alternates large-star and small-star rounds; each is a linear shuffle, and a hub's edges are only grouped by partial minimum.
+    Every half round is written, so that no plan holds more than one. Edges lead from the greater node a to the lesser b all through.
     Nodes without an edge don't appear. An empty graph gives no rows.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = _sign(now)
     while before[0]:
-        for _ in range(2):
-            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            now = small.where("a <> b").distinct()
-        now = cut(now, "edges")
+        now = cut(_small_star(cut(_large_star(now), "stars")), "edges")
         sign = _sign(now)
         if sign == before:
             break
@@ -99,5 +93,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """The greater neighbours of every node hang on the least node around it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), "b"), F.struct(F.col("b").alias("u"), "b"))).alias("e"))
+    least = ends.groupBy(F.col("e.u").alias("b")).agg(F.min("e.b").alias("m"))
+    return edges.join(least, "b").select("a", F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its lesser neighbours hang on the least of them."""
+    linked = edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+    return linked.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+
+
 def _sign(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
