@@ -6,7 +6,7 @@ from functools import wraps
 from importlib import import_module
 from pathlib import Path
 
-MODULES = ["decontam", "jaccard", "toxicity", "url_filter", "suffix_dedup", "langid", "packing", "lm_score", "quality", "chat"]
+MODULES = ["decontam", "jaccard", "toxicity", "url_filter", "suffix_dedup", "langid", "packing", "lm_score", "quality", "chat", "alignment", "token_counts", "filter_audit"]
 
 
 def _reachable(query):
