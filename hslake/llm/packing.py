@@ -6,16 +6,15 @@ lengths that fill a sequence are enumerated, their repeat counts fitted by non-n
 left is packed best-fit decreasing, again by length counts. Pieces then find their place by their rank among pieces of their length;
 ranks are summed from hash-dealt parts, so a length that a third of all pieces share isn't gathered.
 
-Null or empty text: the end id alone. Repeated rows: packed as often as they occur. Null ids stay. Very long texts: read whole, one at a time.
+Null or empty text: the end id alone. Repeated rows: packed as often as they occur. Null ids stay. Very long texts: read whole, one at a time, in
+slices that no token crosses; long runs of white space are one token or more like any other.
 Text that spells an added token (``<|endoftext|>``) is that token, as the tokenizer has it. No documents: no rows. Ties between lengths go to
 the longer, between patterns to the first; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,57 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import _tokens
 from ._spark import cut
 from ._text import chunks
 
 RANK_ROWS, LEAST_PARTS = 50_000, 32
-#: The byte-level split of the tokenizer file's pre-tokenizer, and the bytes that stand for themselves in its vocabulary.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_level_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
-    """Token bytes with their ids, and added tokens, of a tokenizer file; None unless it is a plain byte-level BPE."""
-    model, split = spec["model"], spec.get("pre_tokenizer") or {}
-    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and spec.get("normalizer") is None
-    plain = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-    if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
-        return None
-    hidden = [b for b in range(256) if b not in set(PRINTED)]
-    byte_of = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}, added
-
-
-def encoder(path: str):
-    """Function from text to its token ids, those of ``tokenizers`` with ``add_special_tokens=False``.
-
-    A plain byte-level BPE is run by ``tiktoken`` from the same file's vocabulary: the same ids (tests hold them against ``tokenizers``, over every
-    code point), at a seventh of the CPU time and without a cache of words. Other files are run by ``tokenizers``.
-    """
-    spec = json.loads(Path(path).read_text())
-    found = byte_level_ranks(spec)
-    if found:
-        import tiktoken
-
-        own = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=found[0], special_tokens=found[1])
-        return lambda text: own.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
-
-    other = Tokenizer.from_file(path)
-    return lambda text: np.array(other.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of (id, text)."""
 
     def run(batches):
-        ids_of = encoder(tokenizer)
+        encoder = _tokens.encoder(tokenizer)
         for chunk in chunks(batches):
             names = chunk.batch.column(0).to_pylist()
             rows = []
-            for i, name in enumerate(names):
-                own = np.append(ids_of(chunk.text(i).decode()), end_id).astype("<u4")
+            for name, (ids, _) in zip(names, encoder.ids([chunk.text(i).decode() for i in range(len(names))])):
+                own = np.append(ids, end_id).astype("<u4")
                 edges = [0, *range((len(own) - 1) % capacity + 1, len(own) + 1, capacity)]
                 rows += [(name, p, a, b - a, zlib.crc32(own[a:b].tobytes()), *([own[a:b]] * with_ids)) for p, (a, b) in enumerate(zip(edges, edges[1:]))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]

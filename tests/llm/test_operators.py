@@ -256,23 +256,6 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), tokenizer=packing.default_tokenizer()).count() == 0
 
 
-def test_encoder_gives_the_ids_of_the_tokenizer():
-    from tokenizers import Tokenizer
-
-    path = packing.default_tokenizer()
-    t, ids_of = Tokenizer.from_file(path), packing.encoder(path)
-    rng = random.Random(4)
-    texts = ["a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "", " " * 5000 + "x", "ab" * 5000, "'s 'S don't 'll  'LL\n\n\t1²½"]
-    texts += ["".join(rng.choice("aab 's  tlrevd\n\t.,1²½éßñ中日あ🙂'  ÀÉ<|>") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    texts += ["".join(f"a{chr(c)}1{chr(c)} b{chr(c)}! {chr(c)}\n" for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 256)]
-    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275, 50256, 50256] == ids_of(texts[0]).tolist()
-    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
-        assert ids_of(text).tolist() == e.ids
-    assert packing.byte_level_ranks({"model": {"type": "WordLevel"}, "pre_tokenizer": None}) is None
-    spec = packing.json.loads(packing.Path(path).read_text()) | {"normalizer": {"type": "NFC"}}
-    assert packing.byte_level_ranks(spec) is None
-
-
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op6_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
