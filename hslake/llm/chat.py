@@ -6,7 +6,7 @@ Of equal conversations the least id stays. What is left is rendered in segments
 
 Sums over blocks of turns come before the running sums within a block, so a conversation that holds a third of all rows is dealt over
 its blocks. Turns are ordered by number, then role, then text hash; equal rows count once; a null turn number comes first; null role or
-text reads as empty. Rows without a conversation id belong to none and give no output. An empty table gives no rows.
+text is the empty one, for hashes too. A text is hashed and rendered whole, however long. Extra columns, whatever their names, aren't read. Rows without a conversation id belong to none and give no output. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv) of the conversations that prefix no longer one, from (conv, turn, role, text)."""
-    rows = turns.select("conv", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(1), "text", "role").alias("b")).distinct()
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    rows = turns.select("conv", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), role.alias("role"), F.xxhash64(role, text).alias("a"), F.xxhash64(F.lit(1), text, role).alias("b")).distinct()
     rows = rows.withColumn("block", F.expr(f"turn div {BLOCK}"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("conv", "block").orderBy("turn", "role", "a", "b")
@@ -45,9 +46,11 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 def render_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = 256) -> DataFrame:
     """(conv, segment, n_turns, rendered): maximal conversations in the chat template, one row per segment of turn numbers."""
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("conv is not null")
-    kept = rows.join(maximal_conversations(rows), "conv", "left_semi")
-    keyed = kept.select("conv", F.expr(f"coalesce(turn, -1) div {segment}").cast("int").alias("segment"), F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("role", "text").alias("a"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col), F.lit(-1)).cast("long").alias("turn"), role.alias("role"), text.alias("text")).where("conv is not null")
+    longest = maximal_conversations(rows)
+    blocks = rows.select("conv", F.expr(f"turn div {segment}").cast("int").alias("segment")).distinct().join(longest, "conv", "left_semi")
+    keyed = rows.select("conv", F.expr(f"turn div {segment}").cast("int").alias("segment"), F.struct("turn", "role", F.xxhash64("role", "text").alias("a"), "text").alias("t")).join(blocks, ["conv", "segment"], "left_semi")
     grouped = keyed.groupBy("conv", "segment").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     body = F.array_join(F.transform("ts", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), "")
     return grouped.select("conv", "segment", F.size("ts").alias("n_turns"), body.alias("rendered"))
