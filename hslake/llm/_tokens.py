@@ -12,14 +12,14 @@ import json
 import os
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
 #: How many units a task remembers, and how many ids they may have together, before it begins anew.
-UNITS, POOL, SLICE, JOINED = 500_000, 1 << 22, 1 << 20, 4000
+UNITS, POOL, SLICE, JOINED = 300_000, 1 << 22, 1 << 20, 4000
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s\s|^\s|\s\Z")
 #: The pre-tokenizer of byte-level files whose tokens hold white space only in front, and the bytes that stand for themselves in their vocabulary.
@@ -185,101 +185,101 @@ def slices(text: str) -> list[str]:
 
 @dataclass
 class Encoder:
-    """Ids of texts. ``spaced``: every unit, the first one too, is asked for with a space before it, so the ids are those of space+text
-    (sentence pieces add that space themselves). ``holds(unit, ids)`` is kept for every unit, and a text holds if all its units do.
+    """Ids of texts by one or more tokenizers, whose units are those of the last. ``spaced``: every unit, the first one too, is asked for with a space before it, so the
+    ids are those of space+text (sentence pieces add that space themselves). ``checked``: a text holds if the bytes of the last tokenizer's tokens are space+text.
     """
 
-    kind: Kind
+    kinds: list[Kind]
     spaced: bool = False
-    holds: Callable[[str, list[int]], bool] | None = None
-    known: tuple[dict, dict] = field(default_factory=lambda: ({}, {}))
+    checked: bool = False
 
     def __post_init__(self) -> None:
+        self.units = self.kinds[-1].units
+        self.drops_white = self.kinds[-1].drops_white
+        self.table = self.kinds[-1].tokens() if self.checked else []
+        self.known: tuple[dict, dict] = ({}, {})
         self._clear()
 
     def _clear(self) -> None:
         self.known[0].clear()
         self.known[1].clear()
-        self.pool, self.starts, self.counts, self.fine = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        n = len(self.kinds)
+        self.pools, self.starts, self.counts = ([np.zeros(0, t) for _ in range(n)] for t in (np.uint32, np.int64, np.int64))
+        self.fine = np.zeros(0, bool)
 
-    def _learn(self, first: dict, later: dict) -> None:
-        found = [asked_alone(list(first), self.kind.ask), self.kind.ask_after(list(later))]
-        ids, sizes = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        at = len(self.starts)
+    def _learn(self, first: list, later: list) -> None:
+        at = len(self.fine)
         self.known[0].update(zip(first, range(at, at + len(first))))
-        self.known[1].update(zip(later, range(at + len(first), at + len(sizes))))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.counts = np.concatenate([self.counts, sizes])
-        ends = np.cumsum(sizes)
-        self.fine = np.concatenate([self.fine, np.array([self.holds(u, ids[b - n : b]) for u, b, n in zip([*first, *later], ends, sizes)], bool) if self.holds else np.ones(len(sizes), bool)])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def _codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all units, and how many each text has."""
-        if len(self.known[0]) + len(self.known[1]) > UNITS or len(self.pool) > POOL:
+        self.known[1].update(zip(later, range(at + len(first), at + len(first) + len(later))))
+        for k, kind in enumerate(self.kinds):
+            found = [asked_alone(first, kind.ask), kind.ask_after(later)]
+            ids, sizes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            self.starts[k] = np.concatenate([self.starts[k], len(self.pools[k]) + np.cumsum(sizes) - sizes])
+            self.counts[k] = np.concatenate([self.counts[k], sizes])
+            self.pools[k] = np.concatenate([self.pools[k], ids])
+        fine = np.ones(len(sizes), bool)
+        if self.checked:
+            shown = list(map(self.table.__getitem__, ids.tolist()))
+            if b"".join(shown) != b"".join([b" " + u.encode() for u in (*first, *later)]):
+                ends = np.cumsum(sizes).tolist()
+                fine = np.array([b"".join(shown[e - n : e]) == b" " + u.encode() for u, e, n in zip((*first, *later), ends, sizes.tolist())], bool)
+        self.fine = np.concatenate([self.fine, fine])
+
+    def _codes(self, texts: list[str], after_space: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all units, and how many each text has; ``after_space``: a space comes before the texts."""
+        if len(self.fine) > UNITS or max(map(len, self.pools)) > POOL:
             self._clear()
-        units = [self.kind.units(t) if self.kind.units else [t] for t in texts]
+        units = [self.units(t) if self.units else [t] for t in texts]
         bare, after = self.known
-        alike = self.spaced or self.kind.drops_white
-        if alike:
-            first, later = {}, {u: 0 for us in units for u in us if u not in after}
+        if self.spaced or self.drops_white or after_space:
+            later = list(dict.fromkeys(u for us in units for u in us if u not in after))
+            if later:
+                self._learn([], later)
+            codes = [i for us in units for i in map(after.__getitem__, us)]
         else:
-            first, later = {us[0]: 0 for us in units if us and us[0] not in bare}, {u: 0 for us in units for u in us[1:] if u not in after}
-        if first or later:
-            self._learn(first, later)
-        codes = [i for us in units for i in (map(after.__getitem__, us) if alike else (bare[us[0]], *map(after.__getitem__, us[1:])) if us else ())]
+            first, later = list(dict.fromkeys(us[0] for us in units if us[0] not in bare)), list(dict.fromkeys(u for us in units for u in us[1:] if u not in after))
+            if first or later:
+                self._learn(first, later)
+            codes = [i for us in units for i in (bare[us[0]], *map(after.__getitem__, us[1:]))]
         return np.array(codes, np.int64), np.array([len(us) for us in units], np.int64)
 
     def counts_of(self, texts: list[str]) -> np.ndarray:
-        """How many ids each text has."""
+        """How many ids each text has by the first tokenizer."""
         out = np.zeros(len(texts), np.int64)
         for which, codes, sizes in self._parts(texts):
             ends = np.cumsum(sizes)
-            sums = np.concatenate([[0], np.cumsum(self.counts[codes])])
+            sums = np.concatenate([[0], np.cumsum(self.counts[0][codes])])
             np.add.at(out, which, sums[ends] - sums[ends - sizes])
         return out
 
-    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """The ids of each text, and whether it holds."""
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
+    def ids(self, texts: list[str]) -> list[tuple]:
+        """The ids of each text by each tokenizer, and whether it holds."""
+        parts: list[list[list[np.ndarray]]] = [[[] for _ in self.kinds] for _ in texts]
         fine = np.ones(len(texts), bool)
         for which, codes, sizes in self._parts(texts):
-            n = self.counts[codes]
-            at = np.cumsum(n)
-            flat = self.pool[np.repeat(self.starts[codes] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
             ends = np.cumsum(sizes)
-            cuts = np.concatenate([[0], at])[ends]
             bad = np.concatenate([[0], np.cumsum(~self.fine[codes])])
-            for w, a, b, wrong in zip(which, np.concatenate([[0], cuts[:-1]]), cuts, bad[ends] > bad[ends - sizes]):
-                parts[w].append(flat[a:b])
-                fine[w] &= not wrong
-        return [(p[0] if len(p) == 1 else np.concatenate(p), bool(f)) for p, f in zip(parts, fine)]
+            fine[which] &= bad[ends] == bad[ends - sizes]
+            for k in range(len(self.kinds)):
+                n = self.counts[k][codes]
+                at = np.cumsum(n)
+                flat = self.pools[k][np.repeat(self.starts[k][codes] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
+                cuts = np.concatenate([[0], at])[ends].tolist()
+                for w, a, b in zip(which.tolist(), [0, *cuts[:-1]], cuts):
+                    parts[w][k].append(flat[a:b])
+        return [(*(p[0] if len(p) == 1 else np.concatenate(p) for p in own), bool(f)) for own, f in zip(parts, fine)]
 
     def _parts(self, texts: list[str]):
         """(text numbers, codes, units each) of groups of whole short texts, or of the slices of a long one."""
-        short = [i for i, t in enumerate(texts) if len(t) <= SLICE or not self.kind.units]
+        short = [i for i, t in enumerate(texts) if len(t) <= SLICE or not self.units]
         if short:
-            yield (np.array(short), *self._codes([texts[i] for i in short]))
-        for i in (i for i, t in enumerate(texts) if len(t) > SLICE and self.kind.units):
+            yield (np.array(short), *self._codes([texts[i] for i in short], False))
+        for i in (i for i, t in enumerate(texts) if len(t) > SLICE and self.units):
             for k, s in enumerate(slices(texts[i])):
-                codes, sizes = self._codes([s]) if k == 0 or self.spaced or self.kind.drops_white else self._later(s)
-                yield np.array([i]), codes, sizes
-
-    def _later(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A slice that a space comes before: none of its units is a text's first."""
-        codes, sizes = self._codes([text])
-        units = self.kind.units(text)
-        if units[0] not in self.known[1]:
-            self._learn({}, {units[0]: 0})
-        codes[0] = self.known[1][units[0]]
-        return codes, sizes
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool = False, special_as_text: bool = False, checked: bool = False) -> Encoder:
-    """The encoder of a Python worker, which keeps what it has learned from task to task; ``checked``: a text holds if its tokens' bytes are space+text."""
-    kind = open_kind(path, special_as_text)
-    if not checked:
-        return Encoder(kind, spaced)
-    table = kind.tokens()
-    return Encoder(kind, spaced, lambda unit, ids: b"".join([table[i] for i in ids.tolist()]) == b" " + unit.encode())
+                yield (np.array([i]), *self._codes([s], k > 0))
+
+
+@lru_cache(maxsize=2)
+def encoder(paths: tuple[str, ...], spaced: bool = False, special_as_text: bool = False, checked: bool = False) -> Encoder:
+    """The encoder of a Python worker, which keeps what it has learned from task to task."""
+    return Encoder([open_kind(p, special_as_text) for p in paths], spaced, checked)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from ._text import chunks
 
 PIECE, HOT_PAIRS = 1 << 16, 1 << 18
 #: Entries that a task keeps before it sorts and counts them.
-HELD = 1 << 21
+HELD = 1 << 20
 PIECES = "part int, row long, id long, piece int, n_a long, n_b long, a binary, b binary, ends_a int, ends_b int, shift int"
 
 
@@ -74,6 +75,8 @@ class Vocabularies:
             width = len(names[-1])
             digits = np.frombuffer(b"".join(n.ljust(width) for n in names), np.uint8).reshape(-1, width)
             self.sides.append((np.array([len(t) for t in tokens], np.int64), digits, np.array([len(n) for n in names], np.int64)))
+        #: How ids are kept in the piece table: in two bytes where both vocabularies allow it.
+        self.kind = "<u2" if max(len(s[0]) for s in self.sides) <= 1 << 16 else "<u4"
         self.bits = tuple(int(len(s[0]) - 1).bit_length() for s in self.sides)
 
     def ends(self, ids_a: np.ndarray, ids_b: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -97,30 +100,35 @@ class Vocabularies:
         return cells[shown], np.concatenate([[0], np.cumsum(sizes + 1)])[np.append(begins, total)]
 
 
+@lru_cache(maxsize=2)
+def vocabularies(path_a: str, path_b: str) -> Vocabularies:
+    return Vocabularies(path_a, path_b)
+
+
 def token_pieces(docs: DataFrame, path_a: str, path_b: str, piece: int) -> DataFrame:
     """The merge pieces of (id, text). A piece has the ids of the tokens whose ends it consumes and of those open at its end; ``shift`` is by how much its
     first B token begins after its first A token. A text without tokens has one empty piece."""
 
     def run(batches):
-        words = Vocabularies(path_a, path_b)
-        one, two = _tokens.encoder(path_a, True, True), _tokens.encoder(path_b, True, True, True)
+        words = vocabularies(path_a, path_b)
+        both = _tokens.encoder((path_a, path_b), True, True, True)
         part, row = TaskContext.get().partitionId(), 0
         for chunk in chunks(batches):
             texts = [chunk.text(i).decode() for i in range(len(chunk))]
             out = []
-            for name, text, (a, _), (b, fine) in zip(chunk.batch.column(0).to_pylist(), texts, one.ids(texts), two.ids(texts)):
+            for name, text, (a, b, fine) in zip(chunk.batch.column(0).to_pylist(), texts, both.ids(texts)):
                 row += 1
                 if not text or not fine:
                     out.append((part, row, name, 0, 0, 0, b"", b"", 0, 0, 0))
                     continue
                 if len(a) + len(b) <= piece:
-                    out.append((part, row, name, 0, len(a), len(b), a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), len(a), len(b), 0))
+                    out.append((part, row, name, 0, len(a), len(b), a.astype(words.kind).tobytes(), b.astype(words.kind).tobytes(), len(a), len(b), 0))
                     continue
                 a_end, b_end = words.ends(a, b)
                 i, j = diagonal_cuts(a_end, b_end, piece)
                 for k, (i0, i1, j0, j1) in enumerate(zip(i, i[1:], j, j[1:])):
                     begin_a, begin_b = (int(e[n - 1]) if n else 0 for e, n in ((a_end, i0), (b_end, j0)))
-                    out.append((part, row, name, k, len(a), len(b), a[i0 : i1 + 1].astype("<u4").tobytes(), b[j0 : j1 + 1].astype("<u4").tobytes(), int(i1 - i0), int(j1 - j0), begin_b - begin_a))
+                    out.append((part, row, name, k, len(a), len(b), a[i0 : i1 + 1].astype(words.kind).tobytes(), b[j0 : j1 + 1].astype(words.kind).tobytes(), int(i1 - i0), int(j1 - j0), begin_b - begin_a))
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
@@ -133,7 +141,7 @@ class Merged:
     def __init__(self, batch: pa.RecordBatch, words: Vocabularies):
         get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         self.na, self.nb = (get[c].to_numpy().astype(np.int64) for c in ("ends_a", "ends_b"))
-        raw = [[np.frombuffer(x.as_buffer(), "<u4") for x in get[c]] for c in ("a", "b")]
+        raw = [[np.frombuffer(x.as_buffer(), words.kind) for x in get[c]] for c in ("a", "b")]
         shift = get["shift"].to_numpy()
         self.a, self.b, owner, keys, commons = [], [], [], [], []
         for r, (a, b, na, nb) in enumerate(zip(*raw, self.na, self.nb)):
@@ -181,7 +189,7 @@ def document_pairs(pieces: DataFrame, path_a: str, path_b: str, whole: bool) ->
     """(pair, n): in how many of the documents a pair is linked, summed in tasks; with ``whole`` False (part, row, pair) of pieces."""
 
     def run(batches):
-        words, keys, counts, held = Vocabularies(path_a, path_b), [], [], 0
+        words, keys, counts, held = vocabularies(path_a, path_b), [], [], 0
         for batch in batches:
             for some in _small(batch):
                 row, pair, _ = Merged(some, words).distinct()
@@ -209,7 +217,7 @@ def pair_counts(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
     spread = pieces.where(f"not ({alone})").repartition("part", "row", "piece")
     apart = document_pairs(spread, path_a, path_b, False).distinct().select("pair", F.lit(1).cast("long").alias("n"))
     counts = cut(document_pairs(pieces.where(alone), path_a, path_b, True).union(apart).groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    bits = Vocabularies(path_a, path_b).bits[1]
+    bits = vocabularies(path_a, path_b).bits[1]
     best = counts.groupBy(F.shiftright("pair", bits).alias("x")).agg(F.max("n").alias("m"))
     return cut(counts.join(F.broadcast(best), F.shiftright("pair", bits) == F.col("x")).select("pair", "n", (F.col("n") == F.col("m")).alias("best")), "pairs")
 
@@ -237,7 +245,7 @@ def scored_pieces(pieces: DataFrame, path_a: str, path_b: str, hot) -> DataFrame
         return ",".join(map(str, ids.tolist()))
 
     def run(batches):
-        words = Vocabularies(path_a, path_b)
+        words = vocabularies(path_a, path_b)
         keys, counts, best = hot.value
         for batch in batches:
             for some in _small(batch):

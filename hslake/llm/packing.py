@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int,
     """(id, piece, start, length, ids_crc32[, ids]) of (id, text)."""
 
     def run(batches):
-        encoder = _tokens.encoder(tokenizer)
+        encoder = _tokens.encoder((tokenizer,))
         for chunk in chunks(batches):
             names = chunk.batch.column(0).to_pylist()
             rows = []

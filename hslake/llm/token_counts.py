@@ -47,7 +47,7 @@ def encoded(texts: DataFrame, tokenizer: str) -> DataFrame:
     """(digest, n_tokens) of (digest, text)."""
 
     def run(batches):
-        encoder = _tokens.encoder(tokenizer)
+        encoder = _tokens.encoder((tokenizer,))
         for chunk in chunks(batches):
             counts = encoder.counts_of([chunk.text(i).decode() for i in range(len(chunk))])
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])

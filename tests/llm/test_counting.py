@@ -55,7 +55,7 @@ def test_units_give_the_ids_of_whole_texts(monkeypatch, path, spaced, limits):
         monkeypatch.setattr(_tokens, k, v)
     texts = odd_texts(1, 400) + ODD + [words_text(k, 40) for k in range(20)] 
     texts += ["".join(f"a{chr(c)}1{chr(c)} b{chr(c)}! {chr(c)}\n" for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 2048 if path == BYTES and not limits else 16384)]
-    encoder, own = _tokens.Encoder(_tokens.open_kind(path), spaced), library(path)
+    encoder, own = _tokens.Encoder([_tokens.open_kind(path)], spaced), library(path)
     lead = " " if spaced and path == BYTES else ""
     want = [own(lead + t) for t in texts]
     assert [list(map(int, i)) for i, _ in encoder.ids(texts)] == want
