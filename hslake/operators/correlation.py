@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hslake.functions import text as T
+from hslake.functions.intervals import covering
 from hslake.plans.registry import query
 
 TUPLE = ["source_address", "source_port", "destination_address", "destination_port"]
@@ -30,52 +32,116 @@ def unassociated_endpoints(j):
     return unassociated(j).select("id", "provider")
 
 
-def candidates(j) -> DataFrame:
-    """Reports with every connection of the same run, 4-tuple, protocol and process that their interval fits."""
-    c = j.connections.select("run_id", *TUPLE, "flow_id", F.col("first_us"), F.col("last_us"), "source_pid", "tls_name")
-    r = j.reports
-    fits = (c.first_us >= r.started_us - EARLY) & (c.first_us <= r.timestamp_us + LATE) & (c.last_us >= r.started_us - SLACK) & (c.source_pid == r.pid) & (c.tls_name == r.protocol)
-    same = [c[k] == r[k] for k in ("run_id", *TUPLE)]
-    on = fits
-    for s in same:
-        on = s & on
-    return r.join(c, on).select("report_id", "flow_id", "true_flow", r.timestamp_us)
+PROCESS_SLACK, PARTIAL_SLACK = 1_000, 2_000_000
+
+
+def parameters() -> Column:
+    """A report's protocol, transport and, where it names them, version, cipher and group are the connection's."""
+    raw = F.col("kind") == "raw"
+    protocol = F.col("protocol") == F.when(raw, "Unknown").when(F.col("transport") == "UDP", "DTLS").otherwise("TLS")
+    named = [F.coalesce(F.col(c) == value, F.lit(False)) | (F.col(r) == none) for r, none, c, value in (("version", 0, "tls_version", F.col("version")), ("cipher_name", "", "own_cipher", F.col("cipher_name")), ("group_id", -1, "own_group", F.col("group_id")))]
+    return (F.coalesce("own_transport", F.lit("TCP")) == F.col("transport")) & protocol & named[0] & named[1] & named[2]
+
+
+def observed(j) -> DataFrame:
+    c = j.identified.withColumn("own_transport", T.json_value("crypto_json", "transport")).withColumn("own_group", T.json_value("crypto_json", "selected_group_id").cast("long"))
+    return c.select("run_id", *TUPLE, "flow_id", "first_us", "last_us", "source_pid", "source_started_us", "destination_pid", "destination_started_us", "tls_version", F.col("cipher_name").alias("own_cipher"), "sni", "protocol", "own_transport", "own_group")
+
+
+def in_time() -> Column:
+    begins = (F.col("first_us") >= F.col("started_us") - EARLY) & (F.col("first_us") <= F.col("timestamp_us") + LATE)
+    return begins & (F.col("last_us") >= F.when(F.col("kind") == "partial", F.col("timestamp_us") - PARTIAL_SLACK).otherwise(F.col("started_us") - SLACK))
+
+
+def runs_as(side: str) -> Column:
+    """The report's process is the connection's on ``side``: its id, and its start to the millisecond."""
+    return F.coalesce((F.col(f"{side}_pid") == F.col("pid")) & (F.abs(F.col(f"{side}_started_us") - F.col("process_started_us")) <= PROCESS_SLACK), F.lit(False))
+
+
+FOUND = ["report_id", "flow_id", "timestamp_us"]
+#: The SQL's words for the same rules, with the plain alternatives of each.
+OWN_GROUP, OWN_TRANSPORT = (f"json_extract_string(case when json_valid(crypto_json) then crypto_json end, '$.{p}')" for p in ("selected_group_id", "transport"))
+SEEN = f"(select *, cipher_name as own_cipher, {OWN_TRANSPORT} as own_transport, cast({OWN_GROUP} as bigint) as own_group from identified)"
+AGREE = "coalesce(c.own_transport, 'TCP') = r.transport and c.protocol = case when r.kind = 'raw' then 'Unknown' when r.transport = 'UDP' then 'DTLS' else 'TLS' end and (r.version = 0 or c.tls_version = r.version) and (r.cipher_name = '' or c.own_cipher = r.cipher_name) and (r.group_id = -1 or c.own_group = r.group_id)"
+TIMELY = f"c.first_us between r.started_us - {EARLY} and r.timestamp_us + {LATE} and c.last_us >= case when r.kind = 'partial' then r.timestamp_us - {PARTIAL_SLACK} else r.started_us - {SLACK} end"
+IS_SOURCE, IS_DESTINATION = (f"coalesce(c.{s}_pid = r.pid and abs(c.{s}_started_us - r.process_started_us) <= {PROCESS_SLACK}, false)" for s in ("source", "destination"))
+LOCAL_IS_SOURCE = "c.source_address = r.local_address and c.source_port = r.local_port and c.destination_address = r.remote_address and c.destination_port = r.remote_port"
+LOCAL_IS_DESTINATION = "c.destination_address = r.local_address and c.destination_port = r.local_port and c.source_address = r.remote_address and c.source_port = r.remote_port"
+EXACT = f"(select r.report_id, c.flow_id, r.timestamp_us from endpoint_reports r join {SEEN} c on c.run_id = r.run_id and r.kind = 'exact' and case when r.client then {LOCAL_IS_SOURCE} and {IS_SOURCE} else {LOCAL_IS_DESTINATION} and {IS_DESTINATION} end and {TIMELY} and {AGREE})"
+RAW = f"(select r.report_id, c.flow_id, r.timestamp_us from endpoint_reports r join {SEEN} c on c.run_id = r.run_id and r.kind = 'raw' and (({LOCAL_IS_SOURCE} and {IS_SOURCE}) or ({LOCAL_IS_DESTINATION} and not ({LOCAL_IS_SOURCE}) and {IS_DESTINATION})) and {TIMELY} and {AGREE})"
+PEER = "coalesce(nullif(r.remote_address, ''), r.peer_name)"
+PARTIAL = f"""(select r.report_id, c.flow_id, r.timestamp_us from (select *, {PEER} as peer from endpoint_reports r where kind = 'partial') r join {SEEN} c on c.run_id = r.run_id and length(r.peer) > 0 and
+  (((r.remote_port = 0 or c.destination_port = r.remote_port) and (c.destination_address = r.peer or lower(c.sni) = lower(r.peer))) or ((r.remote_port = 0 or c.source_port = r.remote_port) and (c.source_address = r.peer or lower(c.sni) = lower(r.peer))))
+  and {IS_SOURCE} <> {IS_DESTINATION} and (not r.role_known or r.client = {IS_SOURCE}) and {TIMELY} and {AGREE})"""
+CANDIDATES = f"(select * from {EXACT} e union all select * from {RAW} w union all select * from {PARTIAL} p)"
+
+
+def exact_candidates(reports: DataFrame, connections: DataFrame) -> DataFrame:
+    """Reports of a whole socket with the connections that it fits, the reporting side known."""
+    sides = {s: [F.when(F.col("client") == (s == "source"), F.col(f"local_{k}")).otherwise(F.col(f"remote_{k}")).alias(f"{s}_{k}") for k in ("address", "port")] for s in ("source", "destination")}
+    r = reports.where("kind = 'exact'").select("*", *sides["source"], *sides["destination"])
+    hit = r.join(connections, ["run_id", *TUPLE]).where(in_time() & parameters())
+    return hit.where(F.when(F.col("client"), runs_as("source")).otherwise(runs_as("destination"))).select(FOUND)
+
+
+def raw_candidates(reports: DataFrame, connections: DataFrame) -> DataFrame:
+    """Raw reports don't know who opened the socket: both directions meet at the ordered pair of its ends."""
+    ends = {"local": F.struct(F.col("local_address").alias("a"), F.col("local_port").cast("long").alias("p")), "remote": F.struct(F.col("remote_address").alias("a"), F.col("remote_port").cast("long").alias("p"))}
+    own = {s: F.struct(F.col(f"{s}_address").alias("a"), F.col(f"{s}_port").cast("long").alias("p")) for s in ("source", "destination")}
+    r = reports.where("kind = 'raw'").select("*", F.least(*ends.values()).alias("low"), F.greatest(*ends.values()).alias("high"))
+    c = connections.select("*", F.least(*own.values()).alias("low"), F.greatest(*own.values()).alias("high"))
+    hit = r.join(c, ["run_id", "low", "high"]).where(in_time() & parameters())
+    here = (F.col("source_address") == F.col("local_address")) & (F.col("source_port") == F.col("local_port"))
+    return hit.where(F.when(here, runs_as("source")).otherwise(runs_as("destination"))).select(FOUND)
 
 
-FITS = f"c.run_id = r.run_id and c.source_address = r.source_address and c.source_port = r.source_port and c.destination_address = r.destination_address and c.destination_port = r.destination_port and c.first_us between r.started_us - {EARLY} and r.timestamp_us + {LATE} and c.last_us >= r.started_us - {SLACK} and c.source_pid = r.pid and c.tls_name = r.protocol"
-CANDIDATES = f"(select r.report_id, c.flow_id, r.true_flow, r.timestamp_us from reports r join connections c on {FITS})"
+def partial_candidates(reports: DataFrame, connections: DataFrame) -> DataFrame:
+    """Reports that know only a peer: its address or, in any case, its name, on either side, with the port if there is one.
 
+    Each alternative is an equality: connections stand once for each end's address and for their name, and once for each side's process; reports for their peer as an
+    address and as a name. They meet by run, word, process and the time bins of the report, so neither a common name nor a busy process makes all pairs. One of
+    the two sides, not both, must run as the report's process, and be the side that the report knows itself to be.
+    """
+    peer = F.coalesce(F.nullif("remote_address", F.lit("")), "peer_name")
+    words = F.explode(F.array(F.struct(F.lit("address").alias("sort"), F.col("peer").alias("word")), F.struct(F.lit("name").alias("sort"), F.lower("peer").alias("word"))))
+    r = reports.where("kind = 'partial'").withColumn("peer", peer).where("length(peer) > 0").withColumn("w", words).select("*", "w.*", (F.col("started_us") - EARLY).alias("open_us"), (F.col("timestamp_us") + LATE + 1).alias("close_us")).drop("w")
+    at = [F.struct(F.lit(sort).alias("sort"), word.alias("word"), F.col(f"{side}_port").alias("own_port")) for side in ("source", "destination") for sort, word in (("address", F.col(f"{side}_address")), ("name", F.lower("sni")))]
+    as_ = [F.struct(F.col(f"{side}_pid").alias("pid"), F.lit(side).alias("side")) for side in ("source", "destination")]
+    c = connections.withColumn("at", F.explode(F.array(*at))).withColumn("as", F.explode(F.array(*as_))).select("*", "at.*", "as.*").where("pid is not null and word <> ''").drop("at", "as")
+    hit = covering(c, r, ["run_id", "sort", "word", "pid"], "first_us", "open_us", "close_us").where((F.col("remote_port") == 0) | (F.col("own_port") == F.col("remote_port")))
+    one = runs_as("source") != runs_as("destination")
+    role = ~F.col("role_known") | (F.col("client") == runs_as("source"))
+    return hit.where(in_time() & parameters() & one & role).select(FOUND).distinct()
 
-@query("correlate_exact", f"select report_id, flow_id from {CANDIDATES} x")
+
+def candidates(j) -> DataFrame:
+    """Each report with every connection that it fits: exact, raw and partial ones."""
+    r, c = j.endpoint_reports, observed(j)
+    return exact_candidates(r, c).union(raw_candidates(r, c)).union(partial_candidates(r, c))
+
+
+@query("correlate_exact", f"select report_id, flow_id from {EXACT} x")
 def correlate_exact(j):
-    return candidates(j).select("report_id", "flow_id")
+    return exact_candidates(j.endpoint_reports, observed(j)).select("report_id", "flow_id")
 
 
-@query("correlate_bidirectional", "select r.report_id, c.flow_id from reports r join connections c on c.run_id = r.run_id and least(concat(c.source_address, ':', c.source_port), concat(c.destination_address, ':', c.destination_port)) = least(concat(r.source_address, ':', r.source_port), concat(r.destination_address, ':', r.destination_port)) and greatest(concat(c.source_address, ':', c.source_port), concat(c.destination_address, ':', c.destination_port)) = greatest(concat(r.source_address, ':', r.source_port), concat(r.destination_address, ':', r.destination_port)) where c.first_us between r.started_us - 250000 and r.timestamp_us + 100000")
+@query("correlate_bidirectional", f"select report_id, flow_id from {RAW} x")
 def correlate_bidirectional(j):
-    def keyed(df: DataFrame) -> DataFrame:
-        a, b = F.concat("source_address", F.lit(":"), "source_port"), F.concat("destination_address", F.lit(":"), "destination_port")
-        return df.withColumn("low", F.least(a, b)).withColumn("high", F.greatest(a, b))
+    return raw_candidates(j.endpoint_reports, observed(j)).select("report_id", "flow_id")
 
-    c = keyed(j.connections).select("run_id", "low", "high", "flow_id", "first_us")
-    r = keyed(j.reports).select("run_id", "low", "high", "report_id", "started_us", "timestamp_us")
-    return r.join(c, ["run_id", "low", "high"]).where(F.col("first_us").between(F.col("started_us") - EARLY, F.col("timestamp_us") + LATE)).select("report_id", "flow_id")
 
-
-@query("correlate_partial", "select distinct e.id, c.flow_id from endpoint_events e join connections c on c.run_id = e.run_id and c.sni = e.peer and c.source_pid = e.pid where c.sni <> '' and c.destination_port = e.port")
+@query("correlate_partial", f"select report_id, flow_id from {PARTIAL} x")
 def correlate_partial(j):
-    e = j.endpoint_events.select("id", "run_id", F.lower("peer").alias("peer"), "pid", "port")
-    c = j.connections.where("sni <> ''").select("run_id", F.lower("sni").alias("peer"), F.col("source_pid").alias("pid"), F.col("destination_port").alias("port"), "flow_id")
-    return e.join(c, ["run_id", "peer", "pid", "port"]).select("id", "flow_id").distinct()
+    return partial_candidates(j.endpoint_reports, observed(j)).select("report_id", "flow_id")
 
 
-UNIQUE = f"(select r.report_id, count(x.flow_id) as n, min(x.flow_id) as flow_id from reports r left join {CANDIDATES} x on x.report_id = r.report_id group by 1)"
+UNIQUE = f"(select r.report_id, count(x.flow_id) as n, min(x.flow_id) as flow_id from endpoint_reports r left join {CANDIDATES} x on x.report_id = r.report_id group by 1)"
 
 
 def unique_matches(j) -> DataFrame:
     """Each report's number of candidates, its connection if there is exactly one, and a status."""
     found = candidates(j).groupBy("report_id").agg(F.count("*").alias("n"), F.min("flow_id").alias("flow_id"))
-    out = j.reports.select("report_id").join(found, "report_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = j.endpoint_reports.select("report_id").join(found, "report_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     status = F.when(F.col("n") == 1, "Matched").when(F.col("n") == 0, "Unmatched").otherwise("Ambiguous")
     return out.select("report_id", F.when(F.col("n") == 1, F.col("flow_id")).alias("flow_id"), status.alias("status"))
 
@@ -97,23 +163,6 @@ def attach_confirmations(j):
     return listed.select("flow_id", F.slice("l.report_id", 1, 16).alias("confirmations"))
 
 
-OWNERS = "(select c.flow_id, count(*) as n, min(t.start_us) as start_us from connections c join lifetimes t on t.pid = c.source_pid and t.start_us <= c.first_us and (t.end_us is null or t.end_us >= c.last_us) group by 1)"
-
-
-@query("process_lifetime", f"select c.flow_id, case when n = 1 then start_us end as start_us, coalesce(n, 0) as candidates from connections c left join {OWNERS} o on o.flow_id = c.flow_id where c.source_pid is not null")
-def process_lifetime(j):
-    c = j.connections.where("source_pid is not null").select("flow_id", F.col("source_pid").alias("pid"), "first_us", "last_us")
-    t = j.lifetimes
-    hit = c.join(t, "pid").where((F.col("start_us") <= F.col("first_us")) & (F.col("end_us").isNull() | (F.col("end_us") >= F.col("last_us"))))
-    one = hit.groupBy("flow_id").agg(F.count("*").alias("n"), F.min("start_us").alias("s"))
-    return c.select("flow_id").join(one, "flow_id", "left").select("flow_id", F.when(F.col("n") == 1, F.col("s")).alias("start_us"), F.coalesce("n", F.lit(0)).alias("candidates"))
-
-
-@query("lifetime_supersession", "select pid, start_us, lead(start_us) over (partition by pid order by start_us) as superseded_us from lifetimes")
-def lifetime_supersession(j):
-    return j.lifetimes.select("pid", "start_us", F.lead("start_us").over(Window.partitionBy("pid").orderBy("start_us")).alias("superseded_us"))
-
-
 PAIRED = "(select source_address, source_port, pid, at_us as open_us, lead(case when kind = 'close' then at_us end) over (partition by source_address, source_port, pid order by at_us, kind desc) as close_us, kind from socket_events)"
 
 
@@ -129,14 +178,6 @@ def socket_pairing(j):
     return pairs(j)
 
 
-@query("socket_owner", f"select c.flow_id, count(distinct p.pid) as owners, case when count(distinct p.pid) = 1 then min(p.pid) end as pid from connections c join {PAIRED} p on p.source_address = c.source_address and p.source_port = c.source_port where p.kind = 'open' and p.open_us <= c.first_us and (p.close_us is null or p.close_us >= c.last_us) group by 1")
-def socket_owner(j):
-    c = j.connections.select("flow_id", "source_address", "source_port", "first_us", "last_us")
-    hit = c.join(pairs(j), ["source_address", "source_port"]).where((F.col("open_us") <= F.col("first_us")) & (F.col("close_us").isNull() | (F.col("close_us") >= F.col("last_us"))))
-    n = F.count_distinct("pid")
-    return hit.groupBy("flow_id").agg(n.alias("owners"), F.when(n == 1, F.min("pid")).alias("pid"))
-
-
 @query("udp_owner", f"select c.flow_id, case when count(distinct (p.pid, p.open_us)) = 1 then min(p.pid) end as pid from connections c join {PAIRED} p on p.source_port = c.source_port and (p.source_address = c.source_address or p.source_address = '0.0.0.0') where p.kind = 'open' and c.first_us >= p.open_us and c.first_us <= coalesce(p.close_us, 253402300799999999) group by 1")
 def udp_owner(j):
     c = j.connections.select("flow_id", F.col("source_address").alias("local"), "source_port", "first_us")
@@ -153,11 +194,15 @@ def owner_recheck(j):
     return c.join(changed, ["source_address", "source_port"]).where("pid <> source_pid and at_us <= last_us").select("id").distinct()
 
 
-@query("http_to_connection", "select x.id, c.flow_id from exchanges x join connections c on c.source_port = x.client_port and c.destination_port = x.server_port and c.source_address = x.client_address where c.first_us <= x.started_us + 1000000")
+FLOW_EARLY, FLOW_LATE = 5_000_000, 1_000_000
+
+
+@query("http_to_connection", f"select x.id, c.flow_id from http_flows x join connections c on c.source_address = x.client_address and c.source_port = x.client_port and c.destination_address = x.server_address and c.destination_port = x.server_port and c.first_us >= greatest(0, x.flow_started_us - {FLOW_EARLY}) and c.first_us <= x.started_us + {FLOW_LATE}")
 def http_to_connection(j):
-    x = j.exchanges.select("id", F.col("client_address").alias("source_address"), F.col("client_port").alias("source_port"), F.col("server_port").alias("destination_port"), "started_us")
-    c = j.connections.select("source_address", "source_port", "destination_port", "flow_id", "first_us")
-    return x.join(c, ["source_address", "source_port", "destination_port"]).where(F.col("first_us") <= F.col("started_us") + 1_000_000).select("id", "flow_id")
+    """An exchange's connections: the whole 4-tuple, from five seconds before its flow began until a second after it."""
+    names = dict(zip(["client_address", "client_port", "server_address", "server_port"], TUPLE))
+    x = j.http_flows.withColumnsRenamed(names).select("id", *TUPLE, F.greatest(F.lit(0), F.col("flow_started_us") - FLOW_EARLY).alias("from_us"), (F.col("started_us") + FLOW_LATE + 1).alias("until_us"))
+    return covering(j.connections.select(*TUPLE, "flow_id", "first_us"), x, TUPLE, "first_us", "from_us", "until_us").select("id", "flow_id")
 
 
 @query("confirmation_summary", f"""with r as (select flow_id, unnest(cast(json_extract(case when json_valid(crypto_json) then crypto_json end, '$.endpoint_confirmations[*].success') as json[])) as s from connections),

@@ -125,14 +125,6 @@ def event_envelope(j):
     return feed(j).select(ident.alias("id"), F.when(F.octet_length(full) <= 16384, full).otherwise(small).alias("body"))
 
 
-@query("health_throttle", f"""with h as (select computer_name, time_us, severity, revision, lag(severity) over w as before, lag(time_us) over w as last from {FEED} f where kind <> 'endpoint' window w as (partition by computer_name order by time_us, kind, key))
- select computer_name, revision, time_us, severity from h where before is null or before <> severity or time_us - last > 3600000000""")
-def health_throttle(j):
-    w = Window.partitionBy("computer_name").orderBy("time_us", "kind", "key")
-    seen = feed(j).where("kind <> 'endpoint'").withColumn("before", F.lag("severity").over(w)).withColumn("last", F.lag("time_us").over(w))
-    return seen.where("before is null or before <> severity or time_us - last > 3600000000").select("computer_name", "revision", "time_us", "severity")
-
-
 @query("safe_revision", "select coalesce(min(acknowledged), 0) as revision from consumers")
 def safe_revision(j):
     return j.consumers.agg(F.coalesce(F.min("acknowledged"), F.lit(0)).alias("revision"))

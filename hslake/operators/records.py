@@ -100,19 +100,6 @@ def window_expiry(j):
     return counted(j.base("events").withColumn("at", F.col("ts").cast("timestamp")), "at", "3 hours", "1 hour")
 
 
-@query("correlate_stream", "select report_id, case when started_us <= timestamp_us then timestamp_us + 120000000 end as expires_us from reports")
-def correlate_stream(j):
-    """When each pending report stops waiting for its connection; the stream-stream form joins within these bounds."""
-    return j.reports.select("report_id", F.when(F.col("started_us") <= F.col("timestamp_us"), F.col("timestamp_us") + 120_000_000).alias("expires_us"))
-
-
-@query("replicate", "select source, key, max(change_revision) as revision, count(*) as versions from (select concat('site-', flow_id % 3) as source, cast(flow_id as varchar) as key, change_revision from changes) x group by 1, 2")
-def replicate(j):
-    """Several sources merged by natural key: the newest revision of each key and how many versions arrived."""
-    rows = j.changes.select(F.concat(F.lit("site-"), (F.col("flow_id") % 3).cast("string")).alias("source"), F.col("flow_id").cast("string").alias("key"), "change_revision")
-    return rows.groupBy("source", "key").agg(F.max("change_revision").alias("revision"), F.count("*").alias("versions"))
-
-
 @query("consumer_ack", "select c.name, c.acknowledged, max(r.change_revision) - c.acknowledged as behind from consumers c cross join connections r group by 1, 2")
 def consumer_ack(j):
     top = j.connections.agg(F.max("change_revision").alias("top"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hslake.sources.shared import kept, shared_folder, stamp
+
 NOW_US = 996624000000000
 BASELINE_US = 893980800000000
 
@@ -155,9 +157,36 @@ from (select distinct source_pid as pid, @IDIV(first_us,86400000000)@ as day fro
 select flow_id, source_address, source_port, source_pid as pid, 'open' as kind, first_us-1000 as at_us from connections where source_pid is not null
 union all select flow_id, source_address, source_port, source_pid as pid, 'close' as kind, last_us+1000 as at_us from connections where source_pid is not null and flow_id%13<>0
 union all select flow_id, source_address, source_port, source_pid+7 as pid, 'open' as kind, first_us-500 as at_us from connections where source_pid is not null and flow_id%17=0""",
+    "identified": """
+select c.*, case when source_pid is not null then cast(700000000000000 as bigint)+source_pid*1000000+flow_id%2*400 end as source_started_us,
+  case when destination_pid%9=0 then null else cast(700000000000000 as bigint)+destination_pid*1000000 end as destination_started_us, case when case_id in (17,18) then 'Unknown' else 'TLS' end as protocol
+from connections c""",
+    "endpoint_reports": """
+select concat('er-',@STR(flow_id)@) as report_id, run_id, case flow_id%4 when 0 then 'exact' when 1 then case when case_id in (17,18) then 'raw' else 'exact' end else 'partial' end as kind, client, flow_id%7<>0 as role_known,
+  local_address, local_port, case when flow_id%8 in (3,6) then '' else remote_address end as remote_address, case when flow_id%4>1 and flow_id%10=3 then 0 else remote_port end as remote_port, upper(sni) as peer_name,
+  pid, cast(700000000000000 as bigint)+pid*1000000+case when flow_id%11=0 then 5000 else 0 end as process_started_us,
+  case when flow_id%31=0 then last_us+300000 else first_us+flow_id%5*40000 end as started_us, case when flow_id%31=0 then last_us+400000 else last_us+flow_id%3*900000 end as timestamp_us,
+  case when flow_id%13=0 then 'QUIC' when case_id in (17,18) then 'UDP' else 'TCP' end as transport, case when flow_id%6=0 then 0 else coalesce(tls_version,0) end as version, case when flow_id%8=0 then '' else cipher_name end as cipher_name,
+  case when flow_id%17=0 then 23 when case_id=0 then 29 when case_id in (1,2,6,7) then 4588 else -1 end as group_id
+from (select *, flow_id%3<>0 or destination_pid is null as client, case when flow_id%3<>0 or destination_pid is null then source_pid else destination_pid end as pid,
+  case when flow_id%3<>0 or destination_pid is null then source_address else destination_address end as local_address, case when flow_id%3<>0 or destination_pid is null then source_port else destination_port end as local_port,
+  case when flow_id%3<>0 or destination_pid is null then destination_address else source_address end as remote_address, case when flow_id%3<>0 or destination_pid is null then destination_port else source_port end as remote_port
+  from connections where source_pid is not null and flow_id%5<=3) c""",
+    "http_flows": """
+select flow_id*4+k as id, source_address as client_address, source_port as client_port, destination_address as server_address, destination_port as server_port, first_us-k*2000000 as flow_started_us, first_us+k*4000000-5000000 as started_us
+from connections cross join (select 0 as k union all select 1 as k union all select 3 as k) n where case_id in (0,14)""",
+    "lifespans": """
+select pid, start_us, case when pid%5=0 and start_us%7=0 then null else coalesce(end_us, start_us+cast(86400000000 as bigint)*400) end as ended_us, start_us+cast(86400000000 as bigint)*3 as verified_us from lifetimes
+union all select pid, start_us+cast(21600000000 as bigint) as start_us, start_us+cast(25200000000 as bigint) as ended_us, start_us+cast(25200000000 as bigint) as verified_us from lifetimes where pid%11=0""",
+    "socket_history": """
+select source_address, source_port, pid, kind, at_us, case when flow_id%4=0 then 0 else flow_id end as socket_id, flow_id*8+case when kind='close' then 1 when pid%2=0 then 2 else 3 end as seq from socket_events
+union all select source_address, source_port, source_pid as pid, 'close' as kind, first_us-2000000 as at_us, 1 as socket_id, flow_id*8+4 as seq from connections where source_pid is not null and flow_id%23=0
+union all select source_address, source_port, source_pid as pid, 'open' as kind, first_us+100 as at_us, 2 as socket_id, flow_id*8+5 as seq from connections where source_pid is not null and flow_id%29=0""",
     "changes": """
 select l_orderkey*8+l_linenumber as flow_id, l_orderkey, l_linenumber, rn, @US(l_shipdate)@ as at_us, l_suppkey as supplier, case when l_linestatus='F' then @US(l_shipdate)@ end as ended_us,
   case when l_linestatus='F' then 'FIN' else '' end as close_reason, @IDIV(l_orderkey,256)@+1 as change_revision from lines""",
+    "health": """
+select concat('run-',@STR(user_id%25)@) as run_id, @US(ts)@ as time_us, case when event_type='error' or event_id%97<4 then 'failed: source' else 'running' end as status, cast(case when event_id%41<8 then event_id%3 else 0 end as bigint) as losses, event_id as id from #events#""",
     "consumers": """
 select concat('consumer-',@STR(r_regionkey)@) as name, cast(40+r_regionkey*3 as bigint) as acknowledged from #region#""",
 }
@@ -196,9 +225,17 @@ def oracle(body: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + body
 
 
+#: Derived tables that are written once for a folder, and the tables that each comes from.
+WRITTEN = {"connections": ["orders", "lineitem", "customer"]}
+
+
 @dataclass
 class Journal:
-    """The journal tables of one folder; each is read when first asked for."""
+    """The journal tables of one folder; each is read when first asked for.
+
+    ``connections``, from which most others derive, is written once in the shared folder and found again by the stamp of its input files, so that queries read the
+    columns they need and filters reach the files.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -206,13 +243,25 @@ class Journal:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def written(self, name: str) -> DataFrame:
+        mark = stamp(self.spark, [f"{self.sf_dir}/{b}.parquet" for b in WRITTEN[name]])
+        return kept(self.spark, shared_folder(self.spark), name, mark, lambda: self.derived(name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
+        return self.written(name) if name in WRITTEN else self.derived(name)
+
+    def derived(self, name: str) -> DataFrame:
         mark = f"{zlib.crc32(self.sf_dir.encode()):08x}"
-        need = _needs(TABLES[name], [k for k in TABLES if list(TABLES).index(k) < list(TABLES).index(name)]) | {name}
+        order = list(TABLES)
+        need = {name} | self._needs_of(name)
         text = ""
-        for n in (k for k in TABLES if k in need):
+        for n in (k for k in order if k in need):
+            if n in WRITTEN and n != name:
+                self.written(n).createOrReplaceTempView(f"{n}_{mark}")
+                text += ("," if text else "") + f"{n} as (select * from {n}_{mark})"
+                continue
             body = TABLES[n]
             for b in re.findall(r"#(\w+)#", body):
                 self.base(b).createOrReplaceTempView(f"{b}_{mark}")
@@ -222,6 +271,15 @@ class Journal:
             text += ("," if text else "") + f"{n} as ({_render(body, _SPARK)})"
         raise AttributeError(name)
 
+    def _needs_of(self, name: str) -> set[str]:
+        """The tables that ``name`` is derived from, those behind a written one left out."""
+        order, found = list(TABLES), set()
+        words = set(re.findall(r"\b\w+\b", TABLES[name]))
+        for n in order[: order.index(name)]:
+            if n in words:
+                found |= {n} | (set() if n in WRITTEN else self._needs_of(n))
+        return found
+
 
 def load_journal(spark: SparkSession, sf_dir: str) -> Journal:
     return Journal(spark, sf_dir)
