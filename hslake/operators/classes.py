@@ -173,15 +173,3 @@ def name_list_parse(j):
 def properties_long(j):
     shown = {"Protocol": "tls_name", "Cipher": "cipher_name", "Server name": "sni", "Process": "source_process"}
     return j.connections.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("caption"), F.col(c).alias("value")) for k, c in shown.items()])).alias("p")).select("id", "p.*")
-
-
-@query("nested_evidence_rows", f"select id, k as component, json_extract_string(doc, '$.ssh_selection.' || k) as value from (select id, doc, unnest(json_keys(doc, '$.ssh_selection')) as k from (select id, {SAFE} as doc from connections) x where json_exists(doc, '$.ssh_selection')) y")
-def nested_evidence_rows(j):
-    members = F.from_json(T.json_value("crypto_json", "ssh_selection"), "map<string,string>")
-    return j.connections.select("id", F.explode(members).alias("component", "value"))
-
-
-@query("endpoint_event_row", "select id, unnest(['provider', 'kind', 'result', 'peer']) as property, unnest([provider, kind, result, peer]) as value from endpoint_events")
-def endpoint_event_row(j):
-    names = ["provider", "kind", "result", "peer"]
-    return j.endpoint_events.select("id", F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("property", "value"))

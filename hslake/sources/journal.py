@@ -185,6 +185,17 @@ union all select source_address, source_port, source_pid as pid, 'open' as kind,
     "changes": """
 select l_orderkey*8+l_linenumber as flow_id, l_orderkey, l_linenumber, rn, @US(l_shipdate)@ as at_us, l_suppkey as supplier, case when l_linestatus='F' then @US(l_shipdate)@ end as ended_us,
   case when l_linestatus='F' then 'FIN' else '' end as close_reason, @IDIV(l_orderkey,256)@+1 as change_revision from lines""",
+    "raw_bodies": """
+select flow_id, source_pid, destination_port, case when flow_id%8=6 then '[1]' else concat('{"schema":"lab.raw/1","provider":"lab","pid":',case when flow_id%8=2 then concat('"',@STR(source_pid)@,'"') else @STR(source_pid)@ end,
+  ',"process_started_us":5,"operation_started_us":',@STR(first_us)@,',"timestamp_us":',@STR(last_us)@,',"local":{"address":"',case when flow_id%8=5 then 'localhost' else source_address end,'","port":',@STR(source_port)@,'},"remote":{"address":"',destination_address,
+  '","port":',@STR(destination_port)@,'},"role":"client","transport":"',case when flow_id%8=4 then 'QUIC' else 'TCP' end,'","success":true,"algorithm":"AES","mode":"GCM","key_bits":',case when flow_id%8=3 then '0' else '256' end,case when flow_id%8=1 then ',"secret":1' else '' end,'}') end as body
+from connections where source_pid is not null""",
+    "recorded": """
+select id, pid, peer, timestamp_us, iso, bad, concat('{"pid":',@STR(pid)@,',"process_started_us":',case when bad=1 then '-1' else '7' end,',"recording":{"events":[{"type":"jdk.TLSHandshake","values":{"startTime":"',iso,'.123456789+02:00","peerHost":"',peer,'","peerPort":443}},{"type":"jdk.GC","values":{}},{"type":"jdk.X509Validation","values":{"startTime":"',iso,'Z","peerPort":443}}]}}') as body
+from (select id, pid, peer, timestamp_us, concat(substr(@STR(ts)@,1,10),'T',substr(@STR(ts)@,12,8)) as iso, case when event_id%9=0 then 1 else 0 end as bad from endpoint_events join #events# on concat('ev-',@STR(event_id)@)=id) e""",
+    "endpoint_details": """
+select concat('ev-',@STR(event_id)@) as id, event_id as n, case when event_id%9=4 then 1 else 0 end as bad,
+  case when event_id%9=4 then '{"tls_version":' else concat('{"tls_version":772,"alpn":["h2","h3"],"xml":"<Event><System>7</System><EventData><Data Name=''User''>u',@STR(event_id)@,'</Data><Channel>A&amp;B</Channel><Empty></Empty></EventData></Event>","last_member":{"a":1}}') end as detail_json from #events#""",
     "health": """
 select concat('run-',@STR(user_id%25)@) as run_id, @US(ts)@ as time_us, case when event_type='error' or event_id%97<4 then 'failed: source' else 'running' end as status, cast(case when event_id%41<8 then event_id%3 else 0 end as bigint) as losses, event_id as id from #events#""",
     "consumers": """
