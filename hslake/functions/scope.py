@@ -67,11 +67,32 @@ def hide_loopback() -> Column:
     return ~(T.any_of([loop("source_address"), loop("destination_address"), F.col("source_address") == F.col("destination_address")]))
 
 
+#: The columns that one term searches, beside the accounts with their domains, four members of the record and the HTTP hosts.
+SEARCHED = [
+    "sni", "source_address", "destination_address", "source_process", "destination_process", "computer_name", "source_account", "source_account_domain", "source_account_sid", "destination_account",
+    "destination_account_domain", "destination_account_sid", "group_name", "cipher_name", "tls_name", "key_exchange", "authentication", "psk_mode", "encryption", "alert", "certificate_sha256", "state",
+]
+
+
+def account(side: str) -> Column:
+    """A side's account with its domain."""
+    return F.concat(f"{side}_account_domain", F.lit("\\"), f"{side}_account")
+
+
 def search_connections(term: str) -> Column:
-    """One term over the text columns, four JSON fields and the HTTP hosts."""
-    columns = ["computer_name", "source_address", "destination_address", "source_process", "source_path", "destination_process", "sni", "tls_name", "cipher_name", "group_name", "state", "alert", "close_reason", "certificate_sha256"]
-    paths = ["transport", "http_host", "group_class", "handshake_signature"]
-    return T.any_of([*[T.contains(F.col(c), term) for c in columns], *[T.contains(T.json_value("crypto_json", p), term) for p in paths], any_http_host(term)])
+    """One term over all text columns, the accounts with their domains, four members of the record and the HTTP hosts."""
+    members = [F.coalesce(T.json_value("crypto_json", "transport"), F.lit("TCP")), *[T.json_value("crypto_json", p) for p in ("handshake_confirmation", "group_class", "http_host")]]
+    return T.any_of([*[T.contains(F.col(c), term) for c in SEARCHED], *[T.contains(account(s), term) for s in ("source", "destination")], *[T.contains(m, term) for m in members], any_http_host(term)])
+
+
+#: The columns of an event that one term searches, and the members of its metadata.
+SEARCHED_EVENTS = ["peer", "provider", "kind", "result", "cipher", "protocol", "computer_name"]
+SEARCHED_ASSESSMENT = ["process", "path", "server_name", "group_name", "crypto.group_class", "crypto.transport", "key_exchange", "authentication"]
+
+
+def search_endpoints(term: str) -> Column:
+    """One term over an event's text columns and its assessment."""
+    return T.any_of([*[T.contains(F.col(c), term) for c in SEARCHED_EVENTS], *[T.contains(T.json_value("detail_json", f"assessment.{p}"), term) for p in SEARCHED_ASSESSMENT]])
 
 
 def any_http_host(term: str, operator: str = "contains") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hslake.functions import text as T
+from hslake.functions.scope import account
 from hslake.operators.investigation import FLOWS, flows, js
 from hslake.plans.registry import query
 from hslake.sources.journal import NOW_US
@@ -22,9 +23,12 @@ DIMENSIONS: dict[str, tuple] = {
     "client_process": (lambda: F.col("source_process"), "source_process"),
     "server_process": (lambda: F.col("destination_process"), "destination_process"),
     "collector_computer": (lambda: F.col("computer_name"), "computer_name"),
-    "client_owner": (lambda: F.when(F.col("source_process") == "", "").otherwise(F.concat(F.lit("LAB\\"), F.col("source_process"))), "case when source_process = '' then '' else concat('LAB', chr(92), source_process) end"),
-    "server_owner": (lambda: F.when(F.col("destination_process") == "", "").otherwise(F.concat(F.lit("LAB\\"), F.col("destination_process"))), "case when destination_process = '' then '' else concat('LAB', chr(92), destination_process) end"),
-    "psk_selection": (lambda: T.json_value("crypto_json", "selected_psk_index"), js("selected_psk_index")),
+    **{f"{n}_owner": (lambda s=s: F.when(F.col(f"{s}_account") == "", "").otherwise(account(s)), f"case when {s}_account = '' then '' else concat({s}_account_domain, chr(92), {s}_account) end") for n, s in (("client", "source"), ("server", "destination"))},
+    "endpoint_confirmation": (lambda: T.json_value("crypto_json", "handshake_confirmation"), js("handshake_confirmation")),
+    "key_exchange": (lambda: F.col("key_exchange"), "key_exchange"),
+    "authentication": (lambda: F.col("authentication"), "authentication"),
+    "encryption": (lambda: F.col("encryption"), "encryption"),
+    "psk_selection": (lambda: F.col("psk_mode"), "psk_mode"),
     "plaintext_alert": (lambda: F.col("alert"), "alert"),
     "certificate_fingerprint": (lambda: F.col("certificate_sha256"), "certificate_sha256"),
     "observation_state": (lambda: F.col("state"), "state"),
@@ -142,9 +146,13 @@ def heartbeat_upsert(j):
     return j.sessions.groupBy("computer_name").agg(F.max("updated_us").alias("updated_us"), F.max_by("packets", "updated_us").alias("packets"))
 
 
-@query("http_capture_summary", "select state, count(*) as n, sum(strlen(response_body)) as bytes from exchanges group by state")
+@query("http_capture_summary", "select s.id as run_id, s.computer_name, count(x.id) as exchanges, count(*) filter (where x.state = 'complete') as complete, count(*) filter (where x.state = 'partial') as partial, count(*) filter (where x.state = 'encrypted') as encrypted, coalesce(sum(strlen(x.response_body)), 0) as bytes from (select * from sessions order by started_us desc, id desc limit 1) s left join exchanges x on x.run_id = s.id group by 1, 2")
 def http_capture_summary(j):
-    return j.exchanges.groupBy("state").agg(F.count("*").alias("n"), F.sum(F.octet_length("response_body").cast("long")).alias("bytes"))
+    """The latest session's exchanges by state; zeros if it has none."""
+    latest = F.broadcast(j.sessions.select(F.struct("started_us", F.col("id").alias("run_id"), "computer_name").alias("s")).agg(F.max("s").alias("s")).select("s.run_id", "s.computer_name"))
+    of = lambda state: F.count_if(F.col("state") == state).alias(state)
+    sums = j.exchanges.join(F.broadcast(latest.select("run_id")), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("exchanges"), of("complete"), of("partial"), of("encrypted"), F.sum(F.octet_length("response_body").cast("long")).alias("bytes"))
+    return latest.join(sums, "run_id", "left").fillna(0, ["exchanges", "complete", "partial", "encrypted", "bytes"])
 
 
 @query("recover_sessions", f"select id, case when status = 'running' and {NOW_US + 10**9} - updated_us > 30000000 then 'interrupted' else status end as status, case when status = 'running' and {NOW_US + 10**9} - updated_us > 30000000 then updated_us else stopped_us end as stopped_us from sessions")

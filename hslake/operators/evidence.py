@@ -53,7 +53,7 @@ def decoded(j: Journal) -> DataFrame:
     mine = F.filter(facts, lambda f: F.startswith(f, F.lit("server|")))
     part = lambda i: F.transform(mine, lambda f: F.split(f, r"\|")[i])
     out = rows.select(
-        "id", "run_id", "flow_id", "computer_name", "source_process", "destination_process", "destination_address", "sni", "first_us", "last_us", "tls_version", "tls_name", "ech_offered", "error", "crypto_json",
+        "id", "run_id", "flow_id", "computer_name", "source_process", "destination_process", "destination_address", "destination_port", "source_path", "sni", "first_us", "last_us", "tls_version", "tls_name", "ech_offered", "error", "crypto_json",
         F.coalesce(T.nonempty(text("transport")), F.lit("TCP")).alias("transport"), F.coalesce("p.selected_group_id", F.lit(-1)).alias("group_id"), text("group_standardization").alias("group_status"),
         F.coalesce(T.nonempty(text("classification_rule_version")), F.lit("Not recorded")).alias("rule_version"), F.coalesce(T.nonempty(text("evidence_source")), F.lit("Packet")).alias("evidence_source"), key_class.alias("key_class"),
         F.when((F.size(server) == 0) & ~text("selected_psk_index").isin("", "-1", "null"), "PSK selected").otherwise(classify(server)).alias("server_auth"), classify(_role_classes("Client", "Server")).alias("client_auth"),
@@ -81,7 +81,7 @@ DECODED = f"""(with r as (select flow_id, {_R} as r from connections), x as (sel
  f as (select run_id, flow_id, list_distinct(list(public_key_class)) as ks, list_distinct(list(certificate_signature_class)) as ss from connection_certificates l join certificates c on c.sha256 = l.sha256 group by 1, 2),
  b as (select c.*, coalesce(json_extract_string({SAFE}, '$.group_class'), '') as gc, coalesce(json_extract_string({SAFE}, '$.selected_psk_index'), '') as psk, coalesce(json_extract_string({SAFE}, '$.handshake_signature'), '') as hsn from {FLOWS} c),
  g as (select b.*, a.ok, a.bad, v1, v0, vall, list_distinct(coalesce(server, []) || case when tls_version < 772 and hsn <> '' then ['Classical'] else [] end) as server, coalesce(client, []) as client, coalesce(ks, []) as ks, coalesce(ss, []) as ss from b left join a on a.flow_id = b.flow_id left join f on f.run_id = b.run_id and f.flow_id = b.flow_id),
- d as (select id, run_id, flow_id, computer_name, source_process, destination_process, destination_address, sni, first_us, last_us, tls_version, tls_name, ech_offered, crypto_json, case when json_valid(crypto_json) then '' else 'Cryptographic evidence is unavailable' end as error, coalesce(list_last(regexp_extract_all({SAFE}, '"transport":"([^"]*)"', 1)), 'TCP') as transport,
+ d as (select id, run_id, flow_id, computer_name, source_process, destination_process, destination_address, destination_port, source_path, sni, first_us, last_us, tls_version, tls_name, ech_offered, crypto_json, case when json_valid(crypto_json) then '' else 'Cryptographic evidence is unavailable' end as error, coalesce(list_last(regexp_extract_all({SAFE}, '"transport":"([^"]*)"', 1)), 'TCP') as transport,
   coalesce(cast(json_extract_string({SAFE}, '$.selected_group_id') as int), -1) as group_id, coalesce(json_extract_string({SAFE}, '$.group_standardization'), '') as group_status, coalesce(json_extract_string({SAFE}, '$.classification_rule_version'), 'Not recorded') as rule_version,
   coalesce(json_extract_string({SAFE}, '$.evidence_source'), 'Packet') as evidence_source, case when gc not in ('', 'Not observed') then gc when psk <> '' then 'PSK only' else 'Not observed' end as key_class,
   case when len(server) = 0 and psk not in ('', '-1') then 'PSK selected' else @CL(server)@ end as server_auth, @CL(client)@ as client_auth,
@@ -180,15 +180,40 @@ def cohort_sql(where: str = "true") -> str:
 TLS = "(tls_name like 'TLS%' or tls_name = '')"
 
 
-@query("readiness_cohorts", f"select * from {cohort_sql(TLS)} c")
-def readiness_cohorts(j):
-    return cohorts(decoded(j).where(TLS))
+CLIENT, SERVER_APP = "coalesce(nullif(source_path, ''), source_process)", "destination_process"
+PEER = "concat(coalesce(nullif(sni, ''), destination_address), case when destination_port > 0 then concat(':', cast(destination_port as @TEXT@)) else '' end)"
+#: Each dimension's application and peer, and what attributes an observation to a process.
+COHORT_BY = {"client_application": (CLIENT, PEER, CLIENT), "server_application": (SERVER_APP, PEER, SERVER_APP), "collector_computer": ("''", "''", f"concat({CLIENT}, {SERVER_APP})"), "server_name": ("''", PEER, f"concat({CLIENT}, {SERVER_APP})")}
+COHORT_KEY = ["computer", "application", "peer", "transport"]
 
 
-@query("readiness_histogram", f"select lower(computer_name) as computer, k.category as category, k.value as value, count(*) as n from {KEYS} x where {TLS} group by 1, 2, 3")
-def readiness_histogram(j):
-    rows = decoded(j).where(TLS).select(F.lower("computer_name").alias("computer"), F.explode(count_keys()).alias("k"))
-    return rows.groupBy("computer", "k.category", "k.value").agg(F.count("*").alias("n"))
+def _cohort_columns(dimension: str, text: str) -> dict[str, str]:
+    application, peer, attributed = (e.replace("@TEXT@", text) for e in COHORT_BY[dimension])
+    named = f"case when {application} = '' then 'unattributed' else lower({application}) end" if dimension.endswith("application") else "''"
+    return {"computer": "lower(computer_name)", "application": named, "peer": f"lower({peer})", "transport": "transport", "attribution": f"case when {attributed} <> '' then 'Attributed' else 'Unattributed' end"}
+
+
+def in_cohorts(df: DataFrame, dimension: str) -> DataFrame:
+    """Decoded rows with their cohort's key by a dimension, in lower case, and whether a process is known."""
+    return df.withColumns({"computer" if n == "computer" else n: F.expr(e) for n, e in _cohort_columns(dimension, "string").items()})
+
+
+def _keyed_sql(dimension: str, rows: str) -> str:
+    return f"(select x.* exclude (transport), {', '.join(f'{e} as {n}' for n, e in _cohort_columns(dimension, 'varchar').items())} from {rows} x where {TLS})"
+
+
+def _cohort_query(dimension: str) -> None:
+    sums = ", ".join(f"count(*) filter (where {e}) as {n}" for n, e in MEASURES.items())
+    name = "readiness_cohorts" if dimension == "client_application" else f"readiness_cohorts_{dimension}"
+
+    @query(name, f"select {', '.join(COHORT_KEY)}, count(*) as total, min(first_us) as first_us, max(last_us) as last_us, count(*) filter (where attribution = 'Attributed') as attributed, {sums} from {_keyed_sql(dimension, DECODED)} c group by all")
+    def readiness(j):
+        keyed = in_cohorts(decoded(j).where(TLS), dimension)
+        return keyed.groupBy(*COHORT_KEY).agg(F.count("*").alias("total"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.count_if(F.col("attribution") == "Attributed").alias("attributed"), *[F.count_if(F.expr(e)).alias(n) for n, e in MEASURES.items()])
+
+
+for _dimension in COHORT_BY:
+    _cohort_query(_dimension)
 
 
 PERCENTS = ["pq_keys", "classical_keys", "unknown_keys", "pq_auth", "classical_auth", "unknown_auth", "complete", "failures"]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hslake.functions import text as T
 from hslake.functions.labels import STATE_LABELS
-from hslake.functions.scope import HTTP_NAMES, PARTIAL_STATES, Scope, any_http_host, search_connections, server_name
+from hslake.functions.scope import HTTP_NAMES, PARTIAL_STATES, SEARCHED, SEARCHED_ASSESSMENT, SEARCHED_EVENTS, Scope, account, any_http_host, search_connections, search_endpoints, server_name
 from hslake.plans.registry import query
 from hslake.sources.journal import NOW_US, Journal
 
@@ -78,9 +78,13 @@ def filter_any_http_host(j):
     return j.connections.where(any_http_host("Api")).select("id")
 
 
-@query("search_connections", f"select id from {FLOWS} f where contains(lower(computer_name), 'svc-3') or contains(source_address, 'svc-3') or contains(lower(source_process), 'svc-3') or contains(lower(source_path), 'svc-3') or contains(lower(destination_process), 'svc-3') or contains(lower(sni), 'svc-3')")
-def search(j):
-    return flows(j).where(search_connections("SVC-3")).select("id")
+def _search_sql(term: str) -> str:
+    names = [*SEARCHED, *(f"concat({s}_account_domain, chr(92), {s}_account)" for s in ("source", "destination")), f"coalesce({js('transport')}, 'TCP')", *(js(p) for p in ("handshake_confirmation", "group_class", "http_host")), f"array_to_string(cast(json_extract({SAFE}, '$.http_hosts') as varchar[]), chr(10))"]
+    return " or ".join(f"coalesce(contains(lower({n}), '{term}'), false)" for n in names)
+
+
+for _name, _term in (("search_connections", "svc-3"), ("search_accounts", "lab\\user2"), ("search_record", "hybrid")):
+    query(_name, f"select id from {FLOWS} f where {_search_sql(_term)}")(lambda j, t=_term: flows(j).where(search_connections(t.upper())).select("id"))
 
 
 @query("filter_fields_endpoints", f"select id from {EVENTS} e where lower(provider) = 'schannel' and starts_with(computer_name, 'HOST-') and local_role = 'Client' and cast(pid as varchar) like '%1%'")
@@ -88,10 +92,17 @@ def filter_fields_endpoints(j):
     return events(j).where(scoped(("Provider", "equals", "schannel"), ("Computer", "starts_with", "host-"), ("ClientProcess", "contains", "1"), endpoints=True)).select("id")
 
 
-@query("search_endpoints", f"select id from {EVENTS} e where contains(lower(concat_ws('|', id, provider, kind, result, peer, protocol, computer_name)), 'svc-4')")
-def search_endpoints(j):
-    columns = ["id", "provider", "kind", "result", "peer", "protocol", "computer_name"]
-    return events(j).where(T.any_of([T.contains(F.col(c), "SVC-4") for c in columns])).select("id")
+ASSESSED = f"(select e.*, a.cipher, a.detail_json from {EVENTS} e join endpoint_assessments a on a.id = e.id)"
+_members = [f"json_extract_string(case when json_valid(detail_json) then detail_json end, '$.assessment.{p}')" for p in SEARCHED_ASSESSMENT]
+
+
+def _search_events(name: str, term: str) -> None:
+    sql = " or ".join(f"coalesce(contains(lower({n}), '{term}'), false)" for n in [*SEARCHED_EVENTS, *_members])
+    query(name, f"select id from {ASSESSED} e where {sql}")(lambda j: events(j).join(j.endpoint_assessments, "id").where(search_endpoints(term.upper())).select("id"))
+
+
+for _name, _term in (("search_endpoints", "svc-4"), ("search_assessments", "quic-1")):
+    _search_events(_name, _term)
 
 
 @query("filter_endpoint_time", "select id, coalesce(operation_us, timestamp_us) as at_us from endpoint_events where coalesce(operation_us, timestamp_us) between 1704067200000000 and 1705000000000000")
@@ -194,10 +205,10 @@ def connection_page_row(j):
     return page_rows(j.connections)
 
 
-@query("hello_latency", "select id, case when first_us > 0 and last_us >= first_us then last_us - first_us end as latency_us from connections")
+@query("hello_latency", "select id, case when hello_latency_us >= 0 then hello_latency_us end as latency_us from connections")
 def hello_latency(j):
-    ok = (F.col("first_us") > 0) & (F.col("last_us") >= F.col("first_us"))
-    return j.connections.select("id", F.when(ok, F.col("last_us") - F.col("first_us")).alias("latency_us"))
+    """From the client's hello to the server's; null where one of them wasn't seen."""
+    return j.connections.select("id", F.when(F.col("hello_latency_us") >= 0, F.col("hello_latency_us")).alias("latency_us"))
 
 
 @query("sni_or_address", f"select id, {SERVER} as server from connections")
@@ -340,7 +351,7 @@ def requested_values(j):
     return wanted.join(j.certificates, "supplier", "left").select("role", "sha256", "subject")
 
 
-@query("account_text", "select id, case when source_process = '' then '' else concat('LAB', chr(92), replace(source_process, '.exe', '')) end as account from connections")
+@query("account_text", "select id, case when source_account = '' then '' when source_account_domain = '' then source_account else concat(source_account_domain, chr(92), source_account) end as client, case when destination_account = '' then '' when destination_account_domain = '' then destination_account else concat(destination_account_domain, chr(92), destination_account) end as server from connections")
 def account_text(j):
-    domain, name = F.lit("LAB"), F.replace("source_process", F.lit(".exe"), F.lit(""))
-    return j.connections.select("id", F.when(name == "", "").otherwise(F.concat(domain, F.lit("\\"), name)).alias("account"))
+    text = lambda s: F.when(F.col(f"{s}_account") == "", "").when(F.col(f"{s}_account_domain") == "", F.col(f"{s}_account")).otherwise(account(s))
+    return j.connections.select("id", text("source").alias("client"), text("destination").alias("server"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hslake.functions import text as T
 from hslake.functions.scope import Scope
 from hslake.operators.investigation import FLOWS, SAFE, flows, js
+from hslake.operators.analytics import DIMENSIONS
 from hslake.plans.registry import query
 
 
@@ -71,11 +72,11 @@ def negotiation_stages(j):
     return j.connections.select("id", F.posexplode(listed).alias("position", "offer")).withColumn("position", F.col("position").cast("long"))
 
 
-@query("dimensions", f"select dimension, count(distinct value) as n_values from (select 'protocol' as dimension, tls_name as value from {FLOWS} f union all select 'state', state from {FLOWS} f union all select 'computer', computer_name from {FLOWS} f union all select 'group', group_name from {FLOWS} f) x group by 1")
+@query("dimensions", "select dimension, count(distinct value) as n_values from (" + " union all ".join(f"select '{n}' as dimension, coalesce({sql}, '') as value from {FLOWS} f" for n, (_, sql) in DIMENSIONS.items()) + ") x group by 1")
 def dimensions(j):
-    names = {"protocol": "tls_name", "state": "state", "computer": "computer_name", "group": "group_name"}
-    rows = flows(j).select(F.explode(F.create_map(*[x for n, c in names.items() for x in (F.lit(n), F.col(c))])).alias("dimension", "value"))
-    return rows.groupBy("dimension").agg(F.count_distinct("value").alias("n_values"))
+    """How many values each dimension has, unobserved ones counted as one; a connection's values are exploded and repeated ones dropped before the shuffle."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(c(), F.lit("")).alias("value")) for n, (c, _) in DIMENSIONS.items()])).alias("p")
+    return flows(j).select(pairs).select("p.*").distinct().groupBy("dimension").agg(F.count("*").alias("n_values"))
 
 
 @query("dedupe_reports", "select flow_id, min(at_us) as first_us, count(*) as copies from changes group by flow_id")

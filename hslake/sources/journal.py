@@ -102,6 +102,13 @@ select {_id} as id, concat('run-',@STR(c_nationkey)@) as run_id, {_id} as flow_i
   case when l_linestatus='F' then @US(l_shipdate)@ end as ended_us, case when l_linestatus='F' then 'FIN' else '' end as close_reason,
   case when {_case}=0 then 'X25519' when {_case}=8 then 'secp256r1' when {_case}<=7 and {_case}<>5 then 'X25519MLKEM768' else '' end as group_name,
   case when {_case}=9 then 1 else 0 end as ech_offered, @SHA(concat('cert-',@STR(l_suppkey)@))@ as certificate_sha256, l_suppkey as supplier,
+  case when o_custkey%6=0 or o_custkey%7=0 then '' else concat('user',@STR(o_custkey%30)@) end as source_account, case when o_custkey%6=0 or o_custkey%7=0 then '' else 'LAB' end as source_account_domain,
+  case when o_custkey%6=0 or o_custkey%7=0 then '' else concat('S-1-5-21-',@STR(o_custkey%30)@) end as source_account_sid,
+  case when l_suppkey%3=0 or l_suppkey%4=0 then '' else concat('service',@STR(l_suppkey%9)@) end as destination_account, case when l_suppkey%3=0 or l_suppkey%4=0 then '' else 'SRV' end as destination_account_domain,
+  case when l_suppkey%3=0 or l_suppkey%4=0 then '' else concat('S-1-5-22-',@STR(l_suppkey%9)@) end as destination_account_sid,
+  case when {_case}=8 then 'ECDHE' when {_case}<=7 and {_case}<>5 then '(EC)DHE' when {_case} in (10,11) then 'SSH exchange' else '' end as key_exchange,
+  case when {_case}=8 then 'RSA certificate' when {_case}=5 then 'PSK' when {_case}=10 then 'ssh-ed25519' when {_case}=11 then 'ssh-rsa' else '' end as authentication, case when {_case}=5 then 'psk_dhe_ke' else '' end as psk_mode,
+  case when {_case}<=8 then case when l_suppkey%2=0 then 'AES-256-GCM' else 'ChaCha20-Poly1305' end when {_case}=15 then 'aes-gcm-16' when {_case}=17 then 'chacha20-poly1305' else '' end as encryption,
   @IDIV(l_orderkey,256)@+1 as change_revision, {_case} as case_id, {_crypto} as crypto_json
 from lines join #orders# on o_orderkey=l_orderkey join #customer# on c_custkey=o_custkey where rn=1""",
     "certificates": """
@@ -196,6 +203,9 @@ from (select id, pid, peer, timestamp_us, concat(substr(@STR(ts)@,1,10),'T',subs
     "endpoint_details": """
 select concat('ev-',@STR(event_id)@) as id, event_id as n, case when event_id%9=4 then 1 else 0 end as bad,
   case when event_id%9=4 then '{"tls_version":' else concat('{"tls_version":772,"alpn":["h2","h3"],"xml":"<Event><System>7</System><EventData><Data Name=''User''>u',@STR(event_id)@,'</Data><Channel>A&amp;B</Channel><Empty></Empty></EventData></Event>","last_member":{"a":1}}') end as detail_json from #events#""",
+    "endpoint_assessments": """
+select concat('ev-',@STR(event_id)@) as id, case when event_id%3=0 then 'TLS_AES_128_GCM_SHA256' else '' end as cipher,
+  case when event_id%6=5 then '{"assessment":' else concat('{"assessment":{"process":"tool-',@STR(event_id%8)@,'.exe","path":"D:/tools","server_name":"Api-',@STR(event_id%40)@,'.test","group_name":"',case when event_id%2=0 then 'X25519' else 'secp384r1' end,'","key_exchange":"ECDHE","authentication":"ECDSA-',@STR(event_id%13)@,'","crypto":{"group_class":"Classical","transport":"QUIC-',@STR(event_id%17)@,'"}}}') end as detail_json from #events#""",
     "health": """
 select concat('run-',@STR(user_id%25)@) as run_id, @US(ts)@ as time_us, case when event_type='error' or event_id%97<4 then 'failed: source' else 'running' end as status, cast(case when event_id%41<8 then event_id%3 else 0 end as bigint) as losses, event_id as id from #events#""",
     "consumers": """
