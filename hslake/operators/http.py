@@ -118,8 +118,9 @@ def decode_bodies(df: DataFrame) -> DataFrame:
 
 @query("body_inventory", "select text, count(*) as n, sum(b) as bytes from (select not contains(substr(response_body, 1, 4096), chr(0)) as text, strlen(response_body) as b from exchanges) x group by 1")
 def body_inventory(j):
-    rows = decode_bodies(j.exchanges.select("id", F.lit("identity").alias("encoding"), F.encode("response_body", "UTF-8").alias("body")))
-    return rows.groupBy("text").agg(F.count("*").alias("n"), F.sum("decoded_bytes").alias("bytes"))
+    """Bodies that hold text and others, with their bytes; recorded ones are plain, so nothing is decoded."""
+    plain = F.instr(F.substring("response_body", 1, 4096), "\0") == 0
+    return j.exchanges.groupBy(plain.alias("text")).agg(F.count("*").alias("n"), F.sum(F.octet_length("response_body").cast("long")).alias("bytes"))
 
 
 def payload_entropy(df: DataFrame, least: int = 4096) -> DataFrame:
@@ -141,7 +142,7 @@ def payload_entropy(df: DataFrame, least: int = 4096) -> DataFrame:
     return df.select("id", "body").mapInArrow(run, "id long, entropy double, possible_encryption boolean")
 
 
-@query("payload_entropy")
+@query("payload_entropy", "select id, entropy, coalesce(entropy >= 7.8, false) as possible_encryption from (select id, case when strlen(response_body) >= 4096 then round(list_aggregate(regexp_extract_all(hex(encode(response_body)), '..'), 'entropy'), 6) end as entropy from exchanges) x")
 def payload_entropy_query(j):
     return payload_entropy(j.exchanges.select("id", F.encode("response_body", "UTF-8").alias("body"))).withColumn("entropy", F.round("entropy", 6))
 

@@ -13,6 +13,7 @@ from hslake.functions.labels import STATE_LABELS
 from hslake.functions.scope import HTTP_NAMES, PARTIAL_STATES, SEARCHED, SEARCHED_ASSESSMENT, SEARCHED_EVENTS, Scope, account, any_http_host, search_connections, search_endpoints, server_name
 from hslake.plans.registry import query
 from hslake.sources.journal import NOW_US, Journal
+from hslake.sources.shared import stored
 
 SAFE = "case when json_valid(crypto_json) then crypto_json end"
 
@@ -298,18 +299,15 @@ def page_certificates(j):
 
 
 def numbered(df: DataFrame, time: str, rows_a_range: int = 1 << 18) -> DataFrame:
-    """Every row with its place ``n`` in ascending (time, id): a count for each range, then row numbers within the ranges.
+    """``df`` (with ``id``) in order of (time, id), each row with its number from 1: ranges are sorted apart and written once, rows before each range counted from what was written.
 
-    The ranges are cut at hash-chosen rows, one of ``rows_a_range``; the cuts only decide how even they are.
+    Only the sizes of the ranges, one number for 2^18 rows, meet in one task.
     """
-    key = F.struct(F.col(time).alias("t"), F.col("id").alias("i"))
-    cuts = df.where(F.pmod(F.xxhash64("id"), F.lit(rows_a_range)) == 0).select(key.alias("k")).collect()
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    bounds = F.array(*[F.struct(F.lit(r.k.t).cast(kind["t"].dataType).alias("t"), F.lit(r.k.i).cast(kind["i"].dataType).alias("i")) for r in cuts])
-    rows = df.withColumn("range", F.size(F.filter(bounds, lambda b: b <= key)) if cuts else F.lit(0))
-    sizes = rows.groupBy("range").agg(F.count("*").alias("c"))
+    ranges = max(1, -(-df.count() // rows_a_range))
+    dealt = stored(df.repartitionByRange(ranges, time, "id").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("c"))
     sizes = sizes.select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = rows.join(F.broadcast(sizes), "range").withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(time, "id")))
+    rows = dealt.join(sizes, "range").withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy(time, "id")))
     return rows.drop("range", "base")
 
 
@@ -332,7 +330,7 @@ def export_csv(j):
     return rows.select("id", F.concat_ws(",", *[csv_quote(F.col(c)) for c in ("id", "source", "destination", "protocol", "server_name", "process")]).alias("line"))
 
 
-@query("export_jsonl")
+@query("export_jsonl", f"select id, cast(to_json(p) as varchar) as line from (select {PAGE} from connections) p")
 def export_jsonl(j):
     rows = page_rows(j.connections)
     return rows.select("id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
