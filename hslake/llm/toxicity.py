@@ -8,7 +8,8 @@ are so many; the thresholds are then shifted to the share of toxic rows among al
 likeliest grade, P(grade >= 1), and whether that is at least one half.
 
 Null or wordless text: severity by the thresholds alone; if only one class is labelled, no model can be fitted and every score is 0.
-Documents with several labels are toxic if one says so. Null ids stay; repeated rows are each scored.
+Documents with several labels are toxic if one says so. Null ids stay; repeated rows are each scored. Very long texts are scored whole: a feature counts
+once however often it occurs. Of equally likely grades the lowest counts. An empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
