@@ -7,8 +7,10 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _folders: dict[str, str] = {}
 
@@ -129,6 +131,17 @@ def kept(spark: SparkSession, folder: str, name: str, mark: str, build: Callable
     return spark.read.parquet(path)
 
 
+def refreshed(old: DataFrame, rows: DataFrame, key: list[str], since: int, aggregate: Callable[[DataFrame], DataFrame], revision: str = "change_revision") -> DataFrame:
+    """``old``, the aggregate of ``rows`` by ``key`` as of revision ``since``, brought up to date: cohorts with a newer row are aggregated anew, the others kept as they are.
+
+    A cohort counts as changed by its newer rows only, so rows that are removed need a newer one of their cohort. Nulls in the key are cohorts like others.
+    """
+    changed = stored(rows.where(F.col(revision) > since).select(*[F.col(k).alias(f"_{k}") for k in key]).distinct(), "changed")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    fresh = aggregate(rows.join(changed, same, "left_semi"))
+    return old.join(changed, same, "left_anti").unionByName(fresh)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once in the shared folder: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
