@@ -77,13 +77,27 @@ def merge_lifecycle(j):
     return out.select("flow_id", F.coalesce("e", "ended_us").alias("ended_us"), F.coalesce(F.nullif("r", F.lit("")), "close_reason").alias("close_reason"))
 
 
-@query("merge_owners", "select c.flow_id, case when s.n is null then c.source_pid when s.n = 1 then s.pid end as source_pid, case when coalesce(s.n, 1) <> 1 then '' else c.source_process end as source_process from connections c left join (select source_address, source_port, count(distinct pid) as n, min(pid) as pid from socket_events where kind = 'open' group by 1, 2) s on s.source_address = c.source_address and s.source_port = c.source_port")
+OWNED = ["pid", "process", "account"]
+
+
+def _owner_sql(side: str) -> str:
+    held = {"pid": f"c.{side}_pid", "process": f"c.{side}_process", "account": f"c.{side}_account"}
+    revoked = {"pid": "null", "process": "''", "account": "''"}
+    newest = lambda e: f"arg_max({e}, u.last_us * 2 + u.seq) filter (where u.{side}_given)"
+    return ", ".join(f"case when bool_or(coalesce(u.{side}_given, false)) then case when {newest(f'u.{side}_ambiguous')} then {revoked[n]} else {newest(f'u.{side}_{n}')} end else {held[n]} end as {side}_{n}" for n in OWNED)
+
+
+@query("merge_owners", f"select c.flow_id, {_owner_sql('source')}, {_owner_sql('destination')} from connections c left join owner_updates u on u.flow_id = c.flow_id and u.last_us >= c.last_us group by c.flow_id, " + ", ".join(f"c.{s}_{n}" for s in ("source", "destination") for n in OWNED))
 def merge_owners(j):
-    """Socket evidence replaces the recorded owner; if it is ambiguous the owner is revoked."""
-    n = F.count_distinct("pid")
-    s = j.socket_events.where("kind = 'open'").groupBy("source_address", "source_port").agg(n.alias("n"), F.min("pid").alias("pid"))
-    out = j.connections.select("flow_id", "source_address", "source_port", "source_pid", "source_process").join(s, ["source_address", "source_port"], "left")
-    return out.select("flow_id", F.when(F.col("n").isNull(), F.col("source_pid")).when(F.col("n") == 1, F.col("pid")).alias("source_pid"), F.when(F.coalesce("n", F.lit(1)) != 1, "").otherwise(F.col("source_process")).alias("source_process"))
+    """Each side's owner after the updates that saw the whole connection: the newest one that tells of that side counts, an ambiguous one revokes the owner, older ones change nothing."""
+    sides = ("source", "destination")
+    c = j.connections.select("flow_id", F.col("last_us").alias("seen_us"), *[F.col(f"{s}_{n}").alias(f"held_{s}_{n}") for s in sides for n in OWNED])
+    u = j.owner_updates.join(c.select("flow_id", "seen_us"), "flow_id").where("last_us >= seen_us")
+    newest = [F.max(F.when(F.col(f"{s}_given"), F.struct("last_us", "seq", f"{s}_ambiguous", *[f"{s}_{n}" for n in OWNED]))).alias(s) for s in sides]
+    merged = c.join(u.groupBy("flow_id").agg(*newest), "flow_id", "left")
+    empty = {"pid": F.lit(None), "process": F.lit(""), "account": F.lit("")}
+    out = [F.when(F.col(s).isNull(), F.col(f"held_{s}_{n}")).when(F.col(f"{s}.{s}_ambiguous"), empty[n]).otherwise(F.col(f"{s}.{s}_{n}")).alias(f"{s}_{n}") for s in sides for n in OWNED]
+    return merged.select("flow_id", *out)
 
 
 FEED = f"""(select change_revision as revision, 'connection' as kind, cast(id as varchar) as key, first_us as time_us, computer_name, case when alert <> '' then 4 else 6 end as severity from {FLOWS} f

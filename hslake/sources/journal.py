@@ -206,6 +206,10 @@ select concat('ev-',@STR(event_id)@) as id, event_id as n, case when event_id%9=
     "endpoint_assessments": """
 select concat('ev-',@STR(event_id)@) as id, case when event_id%3=0 then 'TLS_AES_128_GCM_SHA256' else '' end as cipher,
   case when event_id%6=5 then '{"assessment":' else concat('{"assessment":{"process":"tool-',@STR(event_id%8)@,'.exe","path":"D:/tools","server_name":"Api-',@STR(event_id%40)@,'.test","group_name":"',case when event_id%2=0 then 'X25519' else 'secp384r1' end,'","key_exchange":"ECDHE","authentication":"ECDSA-',@STR(event_id%13)@,'","crypto":{"group_class":"Classical","transport":"QUIC-',@STR(event_id%17)@,'"}}}') end as detail_json from #events#""",
+    "owner_updates": """
+select flow_id, k as seq, last_us + case when flow_id%5=0 then -1 else k*10 end as last_us, flow_id%3<>1 as source_given, flow_id%7=2 and k=1 as source_ambiguous, 3000+flow_id%90+k as source_pid, concat('new-',@STR(flow_id%9)@,'.exe') as source_process, concat('fresh',@STR(flow_id%4)@) as source_account,
+  flow_id%4=k as destination_given, flow_id%8=0 as destination_ambiguous, 4000+flow_id%50 as destination_pid, concat('srv-',@STR(flow_id%6)@,'.exe') as destination_process, '' as destination_account
+from connections cross join (select 0 as k union all select 1 as k) n where flow_id%6<>5""",
     "health": """
 select concat('run-',@STR(user_id%25)@) as run_id, @US(ts)@ as time_us, case when event_type='error' or event_id%97<4 then 'failed: source' else 'running' end as status, cast(case when event_id%41<8 then event_id%3 else 0 end as bigint) as losses, event_id as id from #events#""",
     "consumers": """
