@@ -14,14 +14,17 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 
-#: How many units a task remembers, and how many ids they may have together, before it begins anew.
-UNITS, POOL, SLICE, JOINED = 300_000, 1 << 22, 1 << 20, 4000
+#: How many units (by tokenizer) a worker remembers, and how many ids they may have together, before it begins anew.
+UNITS, POOL, SLICE, JOINED = 600_000, 1 << 22, 1 << 20, 4000
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s\s|^\s|\s\Z")
+RARE = re.compile(r"[^\S \n]")
+#: Marks a unit that no space comes before; no text holds it.
+BARE = "\ud800"
 #: The pre-tokenizer of byte-level files whose tokens hold white space only in front, and the bytes that stand for themselves in their vocabulary.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -29,7 +32,8 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 def units_at_spaces(text: str) -> list[str]:
     """The units that single spaces part; with those spaces between them they are the text."""
-    return SAFE.split(text) if ODD.search(text) else text.split(" ")
+    beside = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or RARE.search(text)
+    return SAFE.split(text) if beside else text.split(" ")
 
 
 def units_of_pieces(text: str) -> list[str]:
@@ -197,20 +201,19 @@ class Encoder:
         self.units = self.kinds[-1].units
         self.drops_white = self.kinds[-1].drops_white
         self.table = self.kinds[-1].tokens() if self.checked else []
-        self.known: tuple[dict, dict] = ({}, {})
+        self.known: dict = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known[0].clear()
-        self.known[1].clear()
+        self.known.clear()
         n = len(self.kinds)
         self.pools, self.starts, self.counts = ([np.zeros(0, t) for _ in range(n)] for t in (np.uint32, np.int64, np.int64))
         self.fine = np.zeros(0, bool)
 
     def _learn(self, first: list, later: list) -> None:
         at = len(self.fine)
-        self.known[0].update(zip(first, range(at, at + len(first))))
-        self.known[1].update(zip(later, range(at + len(first), at + len(first) + len(later))))
+        self.known.update(zip((BARE + u for u in first), range(at, at + len(first))))
+        self.known.update(zip(later, range(at + len(first), at + len(first) + len(later))))
         for k, kind in enumerate(self.kinds):
             found = [asked_alone(first, kind.ask), kind.ask_after(later)]
             ids, sizes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
@@ -227,21 +230,17 @@ class Encoder:
 
     def _codes(self, texts: list[str], after_space: bool) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all units, and how many each text has; ``after_space``: a space comes before the texts."""
-        if len(self.fine) > UNITS or max(map(len, self.pools)) > POOL:
+        if len(self.fine) * len(self.kinds) > UNITS or max(map(len, self.pools)) > POOL:
             self._clear()
         units = [self.units(t) if self.units else [t] for t in texts]
-        bare, after = self.known
-        if self.spaced or self.drops_white or after_space:
-            later = list(dict.fromkeys(u for us in units for u in us if u not in after))
-            if later:
-                self._learn([], later)
-            codes = [i for us in units for i in map(after.__getitem__, us)]
-        else:
-            first, later = list(dict.fromkeys(us[0] for us in units if us[0] not in bare)), list(dict.fromkeys(u for us in units for u in us[1:] if u not in after))
-            if first or later:
-                self._learn(first, later)
-            codes = [i for us in units for i in (bare[us[0]], *map(after.__getitem__, us[1:]))]
-        return np.array(codes, np.int64), np.array([len(us) for us in units], np.int64)
+        if not (self.spaced or self.drops_white or after_space):
+            for us in units:
+                us[0] = BARE + us[0]
+        fresh = set(chain.from_iterable(units)).difference(self.known)
+        if fresh:
+            first = [u[1:] for u in fresh if not self.drops_white and u[:1] == BARE]
+            self._learn(first, [u for u in fresh if u[:1] != BARE] if first else list(fresh))
+        return np.array(list(map(self.known.__getitem__, chain.from_iterable(units))), np.int64), np.array([len(us) for us in units], np.int64)
 
     def counts_of(self, texts: list[str]) -> np.ndarray:
         """How many ids each text has by the first tokenizer."""
