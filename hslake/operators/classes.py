@@ -167,9 +167,3 @@ def findings(j):
 @query("name_list_parse", f"select id, list_sort(list_distinct(list_transform(string_split(lower(concat(tls_name, ',', group_name)), ','), lambda x: trim(x)))) as names from connections")
 def name_list_parse(j):
     return j.connections.select("id", F.sort_array(F.array_distinct(F.transform(F.split(F.lower(F.concat("tls_name", F.lit(","), "group_name")), ","), lambda x: F.trim(x)))).alias("names"))
-
-
-@query("properties_long", "select id, unnest(['Protocol', 'Cipher', 'Server name', 'Process']) as caption, unnest([tls_name, cipher_name, sni, source_process]) as value from connections")
-def properties_long(j):
-    shown = {"Protocol": "tls_name", "Cipher": "cipher_name", "Server name": "sni", "Process": "source_process"}
-    return j.connections.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("caption"), F.col(c).alias("value")) for k, c in shown.items()])).alias("p")).select("id", "p.*")

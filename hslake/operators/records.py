@@ -17,17 +17,6 @@ def json_scalar_bigint(j):
     return j.connections.select("id", T.json_scalar_bigint("crypto_json", "ssh_host_key_bits", 0, 65535).alias("bits"))
 
 
-TRI = "case when {c} is null then 'Not observed' when {c} = 0 then 'Not present' else 'Observed' end"
-
-
-@query("connection_detail", f"select id, computer_name, tls_name, cipher_name, group_name, sni, source_process, source_pid, destination_process, destination_pid, first_us, last_us, last_us - first_us as duration_us, {js('transport')} as transport, {js('group_class')} as group_class, {js('evidence_source')} as evidence_source, {js('handshake_signature')} as signature, {js('ssh_selection.key_exchange')} as ssh_key_exchange, {js('smb_selected_dialect')} as smb_dialect, {TRI.format(c='ech_offered')} as ech, {TRI.format(c='ended_us')} as ended, certificate_sha256 from {FLOWS} f")
-def connection_detail(j):
-    tri = lambda c: F.when(F.col(c).isNull(), "Not observed").when(F.col(c) == 0, "Not present").otherwise("Observed")
-    paths = {"transport": "transport", "group_class": "group_class", "evidence_source": "evidence_source", "signature": "handshake_signature", "ssh_key_exchange": "ssh_selection.key_exchange", "smb_dialect": "smb_selected_dialect"}
-    kept = ["id", "computer_name", "tls_name", "cipher_name", "group_name", "sni", "source_process", "source_pid", "destination_process", "destination_pid", "first_us", "last_us"]
-    return flows(j).select(*kept, F.expr("last_us - first_us").alias("duration_us"), *[T.json_value("crypto_json", p).alias(n) for n, p in paths.items()], tri("ech_offered").alias("ech"), tri("ended_us").alias("ended"), "certificate_sha256")
-
-
 def report_reasons() -> Column:
     """Why a report is refused; an empty list accepts it."""
     rules = [(F.col("pid").isNull() | ~F.col("pid").between(1, 4294967295), "pid is out of range"), (F.col("started_us") > F.col("timestamp_us"), "operation ends before it starts"), (~F.col("protocol").isin("TLS 1.2", "TLS 1.3"), "protocol is not supported"), (F.col("source_port") > 65535, "port is out of range")]
@@ -65,13 +54,6 @@ def oid_list_parse(j):
     return text.select("issuer", F.sort_array(F.array_distinct(valid)).alias("oids"))
 
 
-@query("negotiation_stages", f"select id, p as position, json_extract_string(k, '$') as offer from (select id, unnest(ks) as k, unnest(range(len(ks))) as p from (select id, cast(json_extract({SAFE}, '$.http_hosts') as json[]) as ks from connections) x where len(ks) > 0) y")
-def negotiation_stages(j):
-    """Rows of a recorded list in wire order."""
-    listed = F.from_json(T.json_value("crypto_json", "http_hosts"), "array<string>")
-    return j.connections.select("id", F.posexplode(listed).alias("position", "offer")).withColumn("position", F.col("position").cast("long"))
-
-
 @query("dimensions", "select dimension, count(distinct value) as n_values from (" + " union all ".join(f"select '{n}' as dimension, coalesce({sql}, '') as value from {FLOWS} f" for n, (_, sql) in DIMENSIONS.items()) + ") x group by 1")
 def dimensions(j):
     """How many values each dimension has, unobserved ones counted as one; a connection's values are exploded and repeated ones dropped before the shuffle."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from hslake.sources.journal import Journal, load_journal, oracle
 
-MODULES = ["investigation", "analytics", "certificates", "correlation", "ownership", "incremental", "evidence", "policy", "http", "classes", "records", "flowing", "taking"]
+MODULES = ["investigation", "analytics", "certificates", "correlation", "ownership", "incremental", "evidence", "policy", "http", "classes", "records", "details", "flowing", "taking"]
 
 FOUND: dict[str, tuple[Callable[[Journal], DataFrame], str | None]] = {}
 

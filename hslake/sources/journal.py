@@ -65,6 +65,25 @@ def _json(doc: dict) -> str:
     return json.dumps(doc, separators=(",", ":"))
 
 
+_HELLO = {"type": "ClientHello", "ordinal": 0, "timestamp_us": "FIRST", "handshake_bytes": 517, "legacy_version": 771, "extension_ids": [0, 43, 51, 65281], "sni": "hello.test", "ech_offered": True, "alpn": ["h2", "http/1.1"], "offered_version_ids": [772, 771], "cipher_ids": [4865, 4866, 460929], "group_ids": [4588, 29], "signature_ids": [2308, 1027], "key_shares": [{"group_id": 4588, "bytes": 1216}, {"group_id": 29, "bytes": 32}]}
+_RETRY = {"type": "HelloRetryRequest", "ordinal": 1, "timestamp_us": "FIRST", "handshake_bytes": 88, "legacy_version": 771, "extension_ids": [43, 51], "selected_version": 772, "cipher_id": 4866, "selected_group_id": 4588}
+_SECOND = _HELLO | {"ordinal": 2, "sni": "", "ech_offered": False, "alpn": [], "key_shares": []}
+_REPLY = {"type": "ServerHello", "ordinal": 3, "handshake_bytes": 122, "legacy_version": 771, "extension_ids": [], "selected_version": 772, "cipher_id": 4866, "selected_group_id": 4588, "key_shares": [{"group_id": 4588, "bytes": 1120}]}
+_OFFERS = {"offered_groups": ["X25519MLKEM768", "X25519"], "offered_key_shares": ["X25519MLKEM768"], "offered_signatures": ["mldsa65", "ecdsa_secp256r1_sha256"], "offered_ciphers": ["TLS_AES_128_GCM_SHA256"], "offered_versions": ["TLS 1.3", "TLS 1.2"], "offered_alpn": ["h2"], "client_extensions": [0, 43], "client_hello_us": "FIRST", "server_hello_us": "LAST", "early_data_offered": 0, "ems_offered": 1, "session_ticket_offered": 1, "psk_offers": 1, "client_hello_visibility": "Complete", "key_bits": 256, "hash_name": "SHA384", "record_mac": "AEAD"}
+#: What a case's document holds beside the evidence: hellos in wire order, offers, and the members of QUIC, DTLS, SSH, HTTP and unclassified traffic.
+DETAILS: dict[int, dict] = {k: _OFFERS for k in range(9)} | {
+    0: _OFFERS | {"negotiation_stages": [_HELLO, _RETRY, _SECOND, _REPLY], "negotiation_stages_dropped": 0, "negotiation_history_truncated": False, "retry_seen": 1, "retry_us": "FIRST", "retry_group": "X25519MLKEM768"},
+    1: _OFFERS | {"negotiation_stages": [_HELLO, _REPLY], "negotiation_history_truncated": True, "group_components": ["ML-KEM-768", "X25519"], "group_reference": "RFC 10024", "hkdf_hash": "SHA384"},
+    5: _OFFERS | {"offered_psk_modes": ["psk_dhe_ke", "psk_ke"], "resumption": "PSK selected", "early_data_accepted": "Not visible", "early_data_offered": 1, "negotiation_stages": []},
+    7: _OFFERS | {"quic_version": 1, "quic_original_dcid": "8394C8F03E515708", "quic_client_scid": "", "quic_server_scid": "F067A5502A4262B5", "quic_retry": True, "quic_paths_dropped": 0},
+    8: _OFFERS | {"ems_selected": 0, "secure_renegotiation": 1, "compression_method": 0, "prf_hash": "SHA256", "selected_alpn": "h2", "alert_level": 2, "alert_sender": "Server", "alert_us": "LAST", "dh_parameter_bits": 1024, "client_authentication": "Requested"},
+    9: {"protocol": "DTLS", "dtls_cookie_exchange": True, "dtls_visibility": "Fragments joined", "ech_offered": True, "client_hello_us": 253402300800000000, "alert_level": 1},
+    10: {"protocol": "SSH", "ssh_selection_evidence": "Both key-exchange messages", "ssh_visibility": "Complete"}, 11: {"protocol": "SSH"}, 12: {"protocol": "SMB"}, 13: {"protocol": "SMB"}, 14: {"protocol": "HTTP"}, 15: {"protocol": "IKEv2"}, 16: {"protocol": "LDAP", "detail": "first packets missing"},
+    17: {"protocol": "Unknown", "classification": "High entropy", "sample_bytes": 4096, "sample_entropy": 7.9375, "sample_direction": "Client", "endpoint_confirmations": [{"provider": "lab", "algorithm": "AES", "mode": "GCM", "key_bits": 256}, {"provider": "lab", "algorithm": "AES", "mode": "CTR", "peer_verified": 0}]},
+    18: {"protocol": "OpenVPN"},
+}
+
+
 _crypto = "case when l_orderkey%997=0 then '" + DAMAGED + "' when l_orderkey%991=0 then '" + DUPLICATED + "' else case (l_partkey+l_linenumber)%19 " + " ".join(f"when {k} then '{_json(v)}'" for k, v in EVIDENCE.items()) + " end end"
 _case = "(l_partkey+l_linenumber)%19"
 _id = "(l_orderkey*8+l_linenumber)"
@@ -111,6 +130,7 @@ select {_id} as id, concat('run-',@STR(c_nationkey)@) as run_id, {_id} as flow_i
   case when {_case}<=8 then case when l_suppkey%2=0 then 'AES-256-GCM' else 'ChaCha20-Poly1305' end when {_case}=15 then 'aes-gcm-16' when {_case}=17 then 'chacha20-poly1305' else '' end as encryption,
   @IDIV(l_orderkey,256)@+1 as change_revision, {_case} as case_id, {_crypto} as crypto_json
 from lines join #orders# on o_orderkey=l_orderkey join #customer# on c_custkey=o_custkey where rn=1""",
+    "detailed": "select c.*, case when flow_id%997=0 or flow_id%991=0 then '" + DAMAGED + "' else replace(replace(case case_id " + " ".join(f"when {k} then '{_json(v | DETAILS[k])}'" for k, v in EVIDENCE.items()) + """ end,'"FIRST"',@STR(first_us)@),'"LAST"',@STR(last_us)@) end as detail_json from connections c""",
     "certificates": """
 select @SHA(concat('cert-',@STR(s_suppkey)@))@ as sha256, s_suppkey as supplier, concat('CN=svc-',@STR(s_suppkey)@) as subject, concat('CN=CA-',@STR(s_suppkey%5)@) as issuer,
   case when s_suppkey%4=0 then 'Post-quantum' when s_suppkey%4=3 then 'Unknown' else 'Classical' end as public_key_class,
