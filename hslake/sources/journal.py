@@ -98,6 +98,9 @@ select concat('run-',@STR(n_nationkey)@) as id, concat('HOST-',n_name) as comput
   cast(n_nationkey%4 as bigint) as process_events_lost, cast(0 as bigint) as telemetry_lost, cast(n_nationkey%6 as bigint) as truncated, cast(n_nationkey%2 as bigint) as flow_limit,
   cast(n_nationkey%3 as bigint) as reassembly_limit, cast(n_nationkey+1 as bigint) as change_revision
 from #nation#""",
+    "past_sessions": """
+select id, started_us, stopped_us, change_revision from sessions
+union all select concat('idle-',@STR(r_regionkey)@), 788918400000000 + r_regionkey*cast(34560000000000 as bigint), case when r_regionkey=3 then null else 788918403600000 + r_regionkey*cast(34560000000000 as bigint) end, cast(r_regionkey*12+1 as bigint) from #region#""",
     "lines": """
 select l.*, row_number() over (partition by l_orderkey,l_linenumber order by l_shipdate desc,l_partkey desc,l_suppkey desc,l_extendedprice desc,l_quantity desc) as rn from #lineitem# l""",
     "connections": f"""
