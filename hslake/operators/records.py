@@ -61,28 +61,6 @@ def dimensions(j):
     return flows(j).select(pairs).select("p.*").distinct().groupBy("dimension").agg(F.count("*").alias("n_values"))
 
 
-@query("dedupe_reports", "select flow_id, min(at_us) as first_us, count(*) as copies from changes group by flow_id")
-def dedupe_reports(j):
-    """One row for each report key; the streaming form drops repeats within the watermark."""
-    return j.changes.groupBy("flow_id").agg(F.min("at_us").alias("first_us"), F.count("*").alias("copies"))
-
-
-def counted(df: DataFrame, at: str, width: str, slide: str | None = None) -> DataFrame:
-    window = F.window(at, width, slide) if slide else F.window(at, width)
-    return df.groupBy(window.alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), "n")
-
-
-@query("live_tumbling_counts", "select epoch_us(ts) // 3600000000 * 3600000000 as start_us, count(*) as n from events group by 1")
-def live_tumbling_counts(j):
-    return counted(j.base("events").withColumn("at", F.col("ts").cast("timestamp")), "at", "1 hour")
-
-
-@query("window_expiry", "select (epoch_us(ts) // 3600000000 - k) * 3600000000 as start_us, count(*) as n from events, (values (0), (1), (2)) v(k) group by 1")
-def window_expiry(j):
-    """Counts of the last three hours, renewed each hour."""
-    return counted(j.base("events").withColumn("at", F.col("ts").cast("timestamp")), "at", "3 hours", "1 hour")
-
-
 @query("consumer_ack", "select c.name, c.acknowledged, max(r.change_revision) - c.acknowledged as behind from consumers c cross join connections r group by 1, 2")
 def consumer_ack(j):
     top = j.connections.agg(F.max("change_revision").alias("top"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hslake.sources.shared import shared_folder
+
 REPORT_SCHEMA = "id string, provider string, pid long, timestamp_us long, role string, success boolean, protocol string"
 REPORT_BYTES = 2 << 20
+#: How far the rows that end a replay lie ahead.
+AHEAD_US = 30 * 86_400_000_000
 
 
 def report_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +31,32 @@ def deduplicated(reports: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return reports.withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def windows(rows: DataFrame, at: str, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """(start_us, n) of each window once the watermark has passed it; with ``slide``, windows overlap and a row leaves them one by one."""
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    return rows.withWatermark(at, delay).groupBy(window.alias("w")).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), "n")
+
+
+def replayed(spark: SparkSession, rows: DataFrame, at_us: str, job, schema: str, slices: int = 2) -> DataFrame:
+    """What a streaming ``job`` appends when ``rows`` arrive in slices of time, the query stopped and started again from its checkpoint after each of them.
+
+    ``job`` gets the stream with ``at``, the time of ``at_us`` (microseconds). Rows far ahead of all others, with nulls beside their time, end the replay so that every window closes; what they
+    lead to lies in the future and is left out by the caller's bound. An empty table gives no row. Slices are written by as many tasks as the table has.
+    """
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    last = rows.agg(F.max(at_us)).first()[0]
+    if last is None:
+        return spark.createDataFrame([], schema)
+    cuts = [int(c) for c in rows.approxQuantile(at_us, [k / slices for k in range(1, slices)], 0.01)]
+    parts = [rows.where((F.lit(True) if low is None else F.col(at_us) >= low) & (F.lit(True) if high is None else F.col(at_us) < high)) for low, high in zip([None, *cuts], [*cuts, None])]
+    ends = [spark.createDataFrame([(last + AHEAD_US + k,)], f"{at_us} long").select(*[F.col(at_us) if f.name == at_us else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]) for k in range(2)]
+    for part in parts + ends:
+        part.write.mode("append").parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/rows").withColumn("at", F.timestamp_micros(at_us))
+        job(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
 def live_counts(rows: DataFrame, at: str = "at", width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     return rows.withWatermark(at, delay).groupBy(F.window(at, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 

@@ -41,3 +41,11 @@ def test_merge_versions(spark, tmp_path):
     for _ in range(2):
         merge(spark.createDataFrame([(1, "c", 2), (3, "d", 2)], "k int, v string, rev int"), 1)
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()) == [(1, "c"), (2, "b"), (3, "d")]
+
+
+def test_replay_restarts_and_closes_windows(spark):
+    rows = spark.createDataFrame([(k, k * 60_000_000) for k in range(40)], "k long, at_us long")
+    job = lambda stream: jobs.windows(stream, "at", "10 minutes", delay="1 minute")
+    out = jobs.replayed(spark, rows, "at_us", job, "start_us long, n long", slices=3).where("start_us < 2400000000")
+    assert sorted(map(tuple, out.collect())) == [(k * 600_000_000, 10) for k in range(4)]
+    assert jobs.replayed(spark, rows.where("k < 0"), "at_us", job, "start_us long, n long").count() == 0
