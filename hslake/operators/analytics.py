@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hslake.functions import text as T
 from hslake.functions.scope import account
@@ -114,14 +115,27 @@ def topn_tiebreak(j):
     return scope(j).groupBy("destination_port").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "destination_port").limit(1)
 
 
-@query("export_analytics_csv", f"""select concat('"Protocol","', coalesce(nullif(tls_name, ''), 'Not observed'), '","', count(*), '","', (select count(*) from {SCOPE} s), '","', coalesce(max(hello_latency_us), 0), '"') as line from {SCOPE} s group by coalesce(nullif(tls_name, ''), 'Not observed')""")
+_GUARDED = r"replace(case when regexp_matches(value, '^\s*[=+@\-\t\r]') then concat(chr(39), value) else value end, chr(34), chr(34) || chr(34))"
+_MS = "coalesce(cast(cast(round({e}, 3) as decimal(18, 3)) as varchar), '')"
+_TOPS = " union all ".join(f"select * from (select '{n}' as dimension, coalesce(nullif({sql}, ''), 'Not observed') as value, count(*) as n, avg(hello_latency_us) / 1000 as mean_ms, max(hello_latency_us) / 1000 as max_ms from {SCOPE} s group by 2 order by n desc, value limit 20)" for n, (_, sql) in DIMENSIONS.items())
+
+
+@query("export_analytics_csv", f"select dimension, value, concat(chr(34), dimension, chr(34), ',', chr(34), {_GUARDED}, chr(34), ',', n, ',', (select count(*) from {SCOPE} s), ',', {_MS.format(e='mean_ms')}, ',', {_MS.format(e='max_ms')}) as line from ({_TOPS}) t")
 def export_analytics_csv(j):
+    """Dimension, value, observations, scope total, mean and maximum hello in milliseconds (empty if none was measured) of the twenty commonest values of every dimension."""
+    return analytics_csv(scope(j), 20)
+
+
+def analytics_csv(rows: DataFrame, k: int) -> DataFrame:
+    """One pass for all dimensions: each row's values are exploded and summed in the tasks before they travel, and the tops are cut off before the sort."""
     from hslake.operators.investigation import csv_quote
 
-    rows = scope(j)
-    total = rows.agg(F.count("*").alias("total"))
-    top = topk(rows, F.col("tls_name"), 100).crossJoin(F.broadcast(total))
-    return top.select(F.concat_ws(",", *[csv_quote(c) for c in (F.lit("Protocol"), F.col("value"), F.col("observations"), F.col("total"), F.coalesce("max_us", F.lit(0)))]).alias("line"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(T.nonempty(c()), F.lit("Not observed")).alias("value")) for n, (c, _) in DIMENSIONS.items()])).alias("p")
+    sums = rows.select("hello_latency_us", pairs).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"), F.avg("hello_latency_us").alias("mean"), F.max("hello_latency_us").alias("max"))
+    top = sums.withColumn("place", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))).where(F.col("place") <= k)
+    ms = lambda c: F.coalesce(F.round(F.col(c) / 1000, 3).cast("decimal(18,3)").cast("string"), F.lit(""))
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))
+    return top.crossJoin(total).select("dimension", "value", F.concat_ws(",", csv_quote(F.col("dimension")), csv_quote(F.col("value")), "n", "total", ms("mean"), ms("max")).alias("line"))
 
 
 LOSSES = "capture_lost + queue_lost + storage_lost + process_events_lost + telemetry_lost"

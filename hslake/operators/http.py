@@ -147,12 +147,16 @@ def payload_entropy_query(j):
     return payload_entropy(j.exchanges.select("id", F.encode("response_body", "UTF-8").alias("body"))).withColumn("entropy", F.round("entropy", 6))
 
 
-@query("export_har")
+_HAR = """to_json({'startedDateTime': concat(strftime(make_timestamp(started_us), '%Y-%m-%dT%H:%M:%S.%g'), 'Z'), 'request': {'method': method, 'url': concat(scheme, '://', host, target)},
+ 'response': {'status': status, 'headers': list_transform(string_split(response_headers, chr(10)), lambda h: {'name': split_part(h, ':', 1), 'value': trim(split_part(h, ':', 2))}), 'content': {'size': strlen(response_body), 'text': response_body}}})"""
+
+
+@query("export_har", f"select id, started_us, cast({_HAR} as varchar) as entry from exchanges where state <> 'encrypted'")
 def export_har(j):
     """HAR 1.2 entries of what was decoded, oldest first by ``started_us``."""
     rows = j.exchanges.where("state <> 'encrypted'")
     headers = F.transform(F.split("response_headers", "\n"), lambda h: F.struct(F.split_part(h, F.lit(":"), F.lit(1)).alias("name"), F.trim(F.split_part(h, F.lit(":"), F.lit(2))).alias("value")))
-    entry = F.struct(F.date_format(F.timestamp_micros("started_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("startedDateTime"), F.struct("method", F.concat("scheme", F.lit("://"), "host", "target").alias("url")).alias("request"), F.struct("status", headers.alias("headers"), F.struct(F.octet_length("response_body").alias("size"), F.col("response_body").alias("text")).alias("content")).alias("response"))
+    entry = F.struct(F.date_format(F.to_utc_timestamp(F.timestamp_micros("started_us"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("startedDateTime"), F.struct("method", F.concat("scheme", F.lit("://"), "host", "target").alias("url")).alias("request"), F.struct("status", headers.alias("headers"), F.struct(F.octet_length("response_body").alias("size"), F.col("response_body").alias("text")).alias("content")).alias("response"))
     return rows.select("id", "started_us", F.to_json(entry).alias("entry"))
 
 

@@ -74,16 +74,44 @@ def cursor_guard(j):
     return j.consumers.crossJoin(F.broadcast(top)).select("name", (F.col("acknowledged") <= F.col("top")).alias("valid"))
 
 
-@query("html_form_fields", "select id, len(regexp_extract_all(response_body, '<a href=\"([^\"]*)\"', 1)) as links from exchanges")
+INPUT = r"""(?i)(<input\b[^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*>)"""
+ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))"""
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _said(name: str) -> str:
+    one = f"list_filter(attrs, lambda a: lower(trim(split_part(a, '=', 1))) = '{name}')[-1]"
+    e = f"""regexp_replace(trim(substr({one}, strpos({one}, '=') + 1)), '^["'']|["'']$', '', 'g')"""
+    for k, v in ENTITIES.items():
+        e = f"replace({e}, '{k}', {_quoted(v)})"
+    return e
+
+
+@query("html_form_fields", f"select id, name, value from (select id, position, {_said('name')} as name, {_said('value')} as value from (select id, position, regexp_extract_all(tag, {_quoted(ATTRIBUTE)}, 1) as attrs from (select id, unnest(tags) as tag, unnest(range(len(tags))) as position from (select id, regexp_extract_all(body, {_quoted(INPUT)}, 1) as tags from markup) a) b) c) d where name is not null and value is not null")
 def html_form_fields(j):
-    """Attribute values taken from markup; here the link targets, since the pages hold no inputs."""
-    return j.exchanges.select("id", F.size(F.regexp_extract_all("response_body", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
+    return form_fields(j.markup.select("id", F.col("body").alias("html")))
 
 
 def form_fields(df: DataFrame) -> DataFrame:
-    """(id, name, value) of the hidden inputs in each (id, html)."""
-    tags = F.explode(F.regexp_extract_all("html", F.lit(r'(<input\b[^>]*type="hidden"[^>]*>)'), F.lit(1))).alias("tag")
-    return df.select("id", tags).select("id", F.regexp_extract("tag", r'\bname="([^"]*)"', 1).alias("name"), F.regexp_extract("tag", r'\bvalue="([^"]*)"', 1).alias("value"))
+    """(id, name, value) of the inputs in each (id, html) that have both.
+
+    Attributes may come in any order and with either quotes or none; text in quotes isn't read as attributes or as a tag's end; of repeated attributes the last counts, and character references are decoded.
+    """
+    tags = df.select("id", F.explode(F.regexp_extract_all("html", F.lit(INPUT), F.lit(1))).alias("tag"))
+    rows = tags.select("id", F.regexp_extract_all("tag", F.lit(ATTRIBUTE), F.lit(1)).alias("attrs"))
+
+    def said(name: str) -> Column:
+        one = F.try_element_at(F.filter("attrs", lambda a: F.lower(F.trim(F.split_part(a, F.lit("="), F.lit(1)))) == name), F.lit(-1))
+        out = F.regexp_replace(F.trim(F.substr(one, F.instr(one, "=") + 1)), r"""^["']|["']\z""", "")
+        for k, v in ENTITIES.items():
+            out = F.replace(out, F.lit(k), F.lit(v))
+        return out
+
+    return rows.select("id", said("name").alias("name"), said("value").alias("value")).where("name is not null and value is not null")
 
 
 SAVED = Scope(protocol="TLS 1.3", conditions=(("ServerPort", "equals", "8443"), ("Process", "observed", "")), include_loopback=False)

@@ -165,6 +165,9 @@ select page_id as id, concat('run-',@STR(page_id%25)@) as run_id, page_id*8+1 as
   concat('Content-Type: text/html', chr(10), 'Server: s', @STR(page_id%4)@, chr(10), 'X-Id: ', @STR(page_id)@) as response_headers,
   html as response_body, case when page_id%9=0 then 'encrypted' when page_id%8=0 then 'partial' else 'complete' end as state
 from #pages#""",
+    "markup": """
+select page_id as id, case when page_id%3=0 then html else concat('<form><input type="hidden" name="token" value="',@STR(page_id)@,'"><INPUT value=''a&amp;b &lt;',@STR(page_id%9)@,''' name=''next''><input name=query><input data-name="x" value="name=no > yes" id=i name="odd">',
+  case when page_id%4=0 then '<input name=raw value=7 name=last/>' else '' end,'</form>',html) end as body from #pages#""",
     "authorizations": """
 select page_id as id, case when page_id%4=3 then '' else concat('Authorization: Bearer ',jwt,chr(10),'Cookie: sid=',jwt) end as text,
   case when page_id%5=0 then null else concat('RelayState=x&SAMLResponse=',replace(replace(replace(@B64(xml)@,'+','%2B'),'/','%2F'),'=','%3D')) end as form
