@@ -3,6 +3,9 @@
 A unit ends where no token can cross: for byte-level splits and sentence pieces at a single space between two characters that aren't white space, for
 tokenizers that drop white space at every run of ASCII white space. The ids of a text are those of its units one after the other; tests hold them
 against the library's ids of whole texts. Files of another kind have one unit, the text. A long text is split in slices of ``SLICE`` characters.
+
+Counts alone need less: a file that splits units into runs of letters, digits and other signs (``RUNS``) is asked for the lowered runs, of
+which there are fewer than units. The texts are cut to them in bulk, and only a chunk's distinct ones are looked up.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+
+from ._text import WORD_BREAKS
 
 #: How many units (by tokenizer) a worker remembers, and how many ids they may have together, before it begins anew.
 UNITS, POOL, SLICE, JOINED = 600_000, 1 << 22, 1 << 20, 4000
@@ -28,6 +34,18 @@ BARE = "\ud800"
 #: The pre-tokenizer of byte-level files whose tokens hold white space only in front, and the bytes that stand for themselves in their vocabulary.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: A fixed value too: a split into runs of letters, single digits and runs of other signs, which all end in tokens of one suffix.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Of each byte of a piece: white, letter, digit, other sign, first byte of U+00C0 to U+00FF; the rest, and apostrophes, belong to whole units only.
+WHITE, LETTER, DIGIT, SIGN, LATIN, WHOLE = range(6)
+BYTE_KINDS = np.full(256, WHOLE, np.uint8)
+BYTE_KINDS[33:127] = SIGN
+BYTE_KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+BYTE_KINDS[48:58] = DIGIT
+BYTE_KINDS[0xC3], BYTE_KINDS[39] = LATIN, WHOLE
+BYTE_KINDS[WORD_BREAKS] = WHITE
+#: How many pieces are asked for together.
+PIECES = 200
 
 
 def units_at_spaces(text: str) -> list[str]:
@@ -48,13 +66,15 @@ def units_at_white(text: str) -> list[bytes]:
 @dataclass
 class Kind:
     """How a tokenizer file is run: ``ask`` gives the ids of strings, ``ask_after`` those of units that a space comes before (white space
-    that is dropped counts as one), ``units`` splits a text (None: never), ``tokens`` gives the bytes of every id."""
+    that is dropped counts as one), ``units`` splits a text (None: never), ``tokens`` gives the bytes of every id, ``ask_pieces`` how many ids
+    each of some pieces has (None: units aren't split further)."""
 
     ask: Callable[[list], list]
     ask_after: Callable[[list], tuple]
     units: Callable[[str], list] | None
     drops_white: bool
     tokens: Callable[[], list[bytes]]
+    ask_pieces: Callable[[list[bytes]], list[int]] | None = None
 
 
 def asked_together(units: list, begins: np.ndarray, ask: Callable[[list], list], lead: str, alone: str) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +121,55 @@ def _drops_white(spec: dict) -> bool:
     return bool(joined and kept and not re.search(r"(?<!\^)\\s| ", splits[0]["pattern"].get("Regex", " ")))
 
 
+def _in_runs(spec: dict) -> bool:
+    """The normaliser lowers, the split is ``RUNS``, and the last token of each run, only that, ends with a suffix."""
+    steps, first = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"][0]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and first["pattern"] == {"Regex": RUNS} and spec["model"].get("end_of_word_suffix") == "</w>" and all(a.startswith("<|") for a in added)
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple[int, bytes]]]:
+    """The pieces, with A-Z and U+00C0 to U+00DE lowered, the row of each, and (row, unit) of the units that are asked for whole.
+
+    A unit is whole if it holds another character than ASCII's printed ones and the letters among U+00C0 to U+00FF, an apostrophe (contractions) or
+    the begin of an added token.
+    """
+    kind = BYTE_KINDS[data]
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    latin = np.flatnonzero(kind == LATIN)
+    if len(latin):
+        after = data[latin + 1]
+        letter = (after != 0x97) & (after != 0xB7)
+        kind[latin] = kind[latin + 1] = np.where(letter, LETTER, WHOLE)
+        upper = latin[letter & (after <= 0x9E)] + 1
+        low[upper] += 32
+    if len(data) > 1:
+        kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = WHOLE
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    inside, whole = kind != WHITE, []
+    if (kind == WHOLE).any():
+        begin = inside & first[:-1]
+        begin[1:] |= inside[1:] & ~inside[:-1]
+        starts = np.flatnonzero(begin)
+        stop = inside & first[1:]
+        stop[:-1] |= inside[:-1] & ~inside[1:]
+        ends = np.flatnonzero(stop) + 1
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind == WHOLE), "right") - 1)
+        rows = np.searchsorted(offsets, starts[odd], "right") - 1
+        for row, a, b in zip(rows.tolist(), starts[odd].tolist(), ends[odd].tolist()):
+            whole.append((row, data[a:b].tobytes()))
+            inside[a:b] = False
+            kind[a:b] = WHITE
+    begin = inside & (first[:-1] | (kind == DIGIT))
+    begin[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+    starts, packed = np.flatnonzero(begin), low[inside]
+    at = np.append(np.cumsum(inside)[starts] - 1, len(packed)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(packed)])
+    return pieces, np.searchsorted(offsets, starts, "right") - 1, whole
+
+
 def byte_level_tokens(vocab: dict[str, int]) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary."""
     hidden = [b for b in range(256) if b not in set(PRINTED)]
@@ -161,8 +230,20 @@ def open_kind(path: str, special_as_text: bool = False) -> Kind:
     def tokens() -> list[bytes]:
         return byte_level_tokens(own.get_vocab())
 
+    last = np.zeros(own.get_vocab_size(), bool)
+
+    def run_pieces(pieces: list[bytes]) -> list[int]:
+        if not last.any():
+            last[[i for t, i in own.get_vocab().items() if t.endswith("</w>")]] = True
+        groups = [pieces[k : k + PIECES] for k in range(0, len(pieces), PIECES)]
+        counts = []
+        for some, ids in zip(groups, run([b" ".join(g) for g in groups])):
+            ends = np.flatnonzero(last[ids])
+            counts += np.diff(ends, prepend=-1).tolist() if len(ends) == len(some) else map(len, run(some))
+        return counts
+
     if white:
-        return Kind(run, run_white, units_at_white, True, tokens)
+        return Kind(run, run_white, units_at_white, True, tokens, run_pieces if _in_runs(spec) else None)
     if not spaces:
         return Kind(run, lambda units: asked_alone([" " + u for u in units], run), None, False, tokens)
     begins = np.array([t.startswith(b" ") for t in tokens()])
@@ -202,6 +283,7 @@ class Encoder:
         self.drops_white = self.kinds[-1].drops_white
         self.table = self.kinds[-1].tokens() if self.checked else []
         self.known: dict = {}
+        self.pieces: dict[bytes, int] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -251,6 +333,25 @@ class Encoder:
             np.add.at(out, which, sums[ends] - sums[ends - sizes])
         return out
 
+    def counts_in(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many ids each of the texts that lie next to each other in ``data`` has by the first tokenizer; by pieces if it has them."""
+        ask = self.kinds[0].ask_pieces
+        n = len(offsets) - 1
+        if not ask:
+            return self.counts_of([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
+        pieces, rows, whole = pieces_of(data, offsets)
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.pieces) > UNITS:
+            self.pieces.clear()
+        fresh = [w for w in words if w not in self.pieces]
+        self.pieces.update(zip(fresh, ask(fresh)))
+        counts = np.array(list(map(self.pieces.__getitem__, words)), np.int64)
+        out = np.bincount(rows, weights=counts[coded.indices.to_numpy()], minlength=n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
+        if whole:
+            np.add.at(out, [row for row, _ in whole], self.counts_of([unit.decode() for _, unit in whole]))
+        return out
+
     def ids(self, texts: list[str]) -> list[tuple]:
         """The ids of each text by each tokenizer, and whether it holds."""
         parts: list[list[list[np.ndarray]]] = [[[] for _ in self.kinds] for _ in texts]

@@ -27,6 +27,8 @@ from ._text import chunks
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 HOT_SHARE = 1000
+#: Bytes of text whose distinct pieces are looked up together.
+CHUNK = 1 << 22
 
 
 def normalised(text, drops_white: bool):
@@ -48,8 +50,8 @@ def encoded(texts: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = _tokens.encoder((tokenizer,))
-        for chunk in chunks(batches):
-            counts = encoder.counts_of([chunk.text(i).decode() for i in range(len(chunk))])
+        for chunk in chunks(batches, most=CHUNK):
+            counts = encoder.counts_in(chunk.data, chunk.offsets)
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")

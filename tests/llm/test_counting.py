@@ -62,6 +62,32 @@ def test_units_give_the_ids_of_whole_texts(monkeypatch, path, spaced, limits):
     assert encoder.counts_of(texts).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("limits", [{}, {"UNITS": 30, "PIECES": 7}])
+def test_counts_by_pieces_are_those_of_whole_texts(monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(_tokens, k, v)
+    latin = random.Random(4)
+    texts = odd_texts(1, 400) + ODD + ["<", "|x", "é" * 3000, "J\u030c j\u030c", "a\x00b \x7f"] + ["".join(latin.choices("aZéÉÀÞßÿ×÷µ09.,<|'\n ", k=40)) for _ in range(400)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)} B{chr(c)}! {chr(c)}\n" for c in range(a, a + 256)) for a in range(0, 0x3000, 256)]
+    body = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+    for path in (WORDS, BYTES):
+        encoder, own = _tokens.Encoder([_tokens.open_kind(path)]), library(path)
+        for _ in range(2):
+            assert encoder.counts_in(data, offsets).tolist() == [len(own(t)) for t in texts]
+    assert encoder.counts_in(data[:0], offsets[:1]).tolist() == []
+
+
+def test_words_that_differ_by_case_and_signs_are_encoded_once():
+    asked = []
+    kind = _tokens.open_kind(WORDS)
+    ask, kind.ask_pieces = kind.ask_pieces, lambda pieces: asked.extend(pieces) or ask(pieces)
+    body = "nation Nation, NATION. (nation) nation! 12 nation\u00c9 nation\u00e9".encode()
+    got = _tokens.Encoder([kind]).counts_in(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    assert got.tolist() == [len(library(WORDS)(body.decode()))]
+    assert sorted(asked) == sorted([b"nation", b",", b".", b"(", b")", b"!", b"1", b"2", "nation\u00e9".encode()])
+
+
 @pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, " \n\t" * 350_000])
 def test_packing_takes_long_white_space(spark, run):
     rows = [(1, run), (2, "a" + run + "b c"), (3, "short")]
