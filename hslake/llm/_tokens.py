@@ -4,6 +4,9 @@ A unit ends where no token can cross: for byte-level splits and sentence pieces
 tokenizers that drop white space at every run of ASCII white space. The ids of a text are those of its units one after the other; tests hold them
 against the library's ids of whole texts. Files of another kind have one unit, the text. A long text is split in slices of ``SLICE`` characters.
 
+Byte-level files are asked for less: their split is cut in bulk on the bytes (``tiles_of``), and only a chunk's distinct tiles are looked up, of which there are
+fewer than units.
+
 Counts alone need less: a file that splits units into runs of letters, digits and other signs (``RUNS``) is asked for the lowered runs, of
 which there are fewer than units. The texts are cut to them in bulk, and only a chunk's distinct ones are looked up.
 """
@@ -46,6 +49,8 @@ BYTE_KINDS[0xC3], BYTE_KINDS[39] = LATIN, WHOLE
 BYTE_KINDS[WORD_BREAKS] = WHITE
 #: How many pieces are asked for together.
 PIECES = 200
+#: A text that holds one of these isn't cut into tiles: control characters, white space beyond ASCII, what libraries disagree on, the begin of an added token.
+UNTILED = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f\\u180e\\u200b\\ufeff]|[^\\S\\t-\\r ]|<\\|")
 
 
 def units_at_spaces(text: str) -> list[str]:
@@ -67,7 +72,7 @@ def units_at_white(text: str) -> list[bytes]:
 class Kind:
     """How a tokenizer file is run: ``ask`` gives the ids of strings, ``ask_after`` those of units that a space comes before (white space
     that is dropped counts as one), ``units`` splits a text (None: never), ``tokens`` gives the bytes of every id, ``ask_pieces`` how many ids
-    each of some pieces has (None: units aren't split further)."""
+    each of some pieces has (None: units aren't split further); ``tiled``: the split is that of ``tiles_of``."""
 
     ask: Callable[[list], list]
     ask_after: Callable[[list], tuple]
@@ -75,6 +80,7 @@ class Kind:
     drops_white: bool
     tokens: Callable[[], list[bytes]]
     ask_pieces: Callable[[list[bytes]], list[int]] | None = None
+    tiled: bool = False
 
 
 def asked_together(units: list, begins: np.ndarray, ask: Callable[[list], list], lead: str, alone: str) -> tuple[np.ndarray, np.ndarray]:
@@ -128,35 +134,74 @@ def _in_runs(spec: dict) -> bool:
     return [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and first["pattern"] == {"Regex": RUNS} and spec["model"].get("end_of_word_suffix") == "</w>" and all(a.startswith("<|") for a in added)
 
 
-def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple[int, bytes]]]:
-    """The pieces, with A-Z and U+00C0 to U+00DE lowered, the row of each, and (row, unit) of the units that are asked for whole.
-
-    A unit is whole if it holds another character than ASCII's printed ones and the letters among U+00C0 to U+00FF, an apostrophe (contractions) or
-    the begin of an added token.
-    """
+def kinds_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, never ``LATIN``, and the first bytes of the letters among U+00C0 to U+00FF."""
     kind = BYTE_KINDS[data]
-    low = data.copy()
-    low[(data >= 65) & (data <= 90)] += 32
     latin = np.flatnonzero(kind == LATIN)
     if len(latin):
         after = data[latin + 1]
         letter = (after != 0x97) & (after != 0xB7)
         kind[latin] = kind[latin + 1] = np.where(letter, LETTER, WHOLE)
-        upper = latin[letter & (after <= 0x9E)] + 1
-        low[upper] += 32
+        latin = latin[letter]
     if len(data) > 1:
         kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = WHOLE
+    return kind, latin
+
+
+def whole_units(kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without white space, none across a byte of ``first``, and the numbers of those that hold a ``WHOLE`` byte."""
+    inside = kind != WHITE
+    begin = inside & first[:-1]
+    begin[1:] |= inside[1:] & ~inside[:-1]
+    starts = np.flatnonzero(begin)
+    stop = inside & first[1:]
+    stop[:-1] |= inside[:-1] & ~inside[1:]
+    return starts, np.flatnonzero(stop) + 1, np.unique(np.searchsorted(starts, np.flatnonzero(kind == WHOLE), "right") - 1)
+
+
+def tiles_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tiles begin that a byte-level split (``BYTE_LEVEL``) cuts the texts into, and which texts must be split by the library.
+
+    A tile is a run of letters, digits or other signs with the space before it, or white space: all of it at the end of a text, else its last
+    character, unless that is such a space, and what stands before it. A run without white space that holds another character than ASCII's printed ones and
+    the letters among U+00C0 to U+00FF, or an apostrophe (contractions), is one tile.
+    """
+    kind, _ = kinds_of(data)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    untiled = np.zeros(len(offsets) - 1, bool)
+    odd = kind == WHOLE
+    if odd.any():
+        for row in np.unique(np.searchsorted(offsets, np.flatnonzero(odd & (data != 39)), "right") - 1).tolist():
+            untiled[row] = bool(UNTILED.search(data[offsets[row] : offsets[row + 1]].tobytes().decode()))
+        starts, ends, held = whole_units(kind, first)
+        flag = np.zeros(len(starts), bool)
+        flag[held] = True
+        inside = kind != WHITE
+        kind[inside] = np.where(np.repeat(flag, ends - starts), WHOLE, kind[inside])
+    white = kind == WHITE
+    begin = first[:-1].copy()
+    begin[1:] |= (kind[1:] != kind[:-1]) & (data[:-1] != 32)
+    begin[1:] |= white[1:] & ~white[:-1]
+    begin[:-1] |= white[:-1] & ~white[1:] & ~first[1:-1]
+    return np.flatnonzero(begin), untiled
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, list[tuple[int, bytes]]]:
+    """The pieces, with A-Z and U+00C0 to U+00DE lowered, the row of each, and (row, unit) of the units that are asked for whole.
+
+    A unit is whole if it holds another character than ASCII's printed ones and the letters among U+00C0 to U+00FF, an apostrophe (contractions) or
+    the begin of an added token.
+    """
+    kind, latin = kinds_of(data)
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    low[latin[data[latin + 1] <= 0x9E] + 1] += 32
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     inside, whole = kind != WHITE, []
     if (kind == WHOLE).any():
-        begin = inside & first[:-1]
-        begin[1:] |= inside[1:] & ~inside[:-1]
-        starts = np.flatnonzero(begin)
-        stop = inside & first[1:]
-        stop[:-1] |= inside[:-1] & ~inside[1:]
-        ends = np.flatnonzero(stop) + 1
-        odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind == WHOLE), "right") - 1)
+        starts, ends, odd = whole_units(kind, first)
         rows = np.searchsorted(offsets, starts[odd], "right") - 1
         for row, a, b in zip(rows.tolist(), starts[odd].tolist(), ends[odd].tolist()):
             whole.append((row, data[a:b].tobytes()))
@@ -248,7 +293,8 @@ def open_kind(path: str, special_as_text: bool = False) -> Kind:
         return Kind(run, lambda units: asked_alone([" " + u for u in units], run), None, False, tokens)
     begins = np.array([t.startswith(b" ") for t in tokens()])
     added = "".join(re.escape(t["content"][0]) for t in spec.get("added_tokens", []) if not special_as_text)
-    return Kind(run, lambda units: asked_together(units, begins, run, " ", added), units_at_spaces, False, tokens)
+    tiled = all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    return Kind(run, lambda units: asked_together(units, begins, run, " ", added), units_at_spaces, False, tokens, tiled=tiled)
 
 
 def version(path: str) -> str:
@@ -292,10 +338,20 @@ class Encoder:
         self.pools, self.starts, self.counts = ([np.zeros(0, t) for _ in range(n)] for t in (np.uint32, np.int64, np.int64))
         self.fine = np.zeros(0, bool)
 
-    def _learn(self, first: list, later: list) -> None:
+    def _forget(self) -> None:
+        if len(self.fine) * len(self.kinds) > UNITS or max(map(len, self.pools)) > POOL:
+            self._clear()
+
+    def _flat(self, k: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of coded units by tokenizer ``k``, one after the other, and where each unit's end."""
+        n = self.counts[k][codes]
+        at = np.cumsum(n)
+        return self.pools[k][np.repeat(self.starts[k][codes] - at + n, n) + np.arange(at[-1] if len(at) else 0)], at
+
+    def _learn(self, first: list, later: list, names: list[bytes] | None = None) -> None:
+        """Ids of units without and with a space before them; they are known by ``names``, or by themselves."""
         at = len(self.fine)
-        self.known.update(zip((BARE + u for u in first), range(at, at + len(first))))
-        self.known.update(zip(later, range(at + len(first), at + len(first) + len(later))))
+        self.known.update(zip(names or [*(BARE + u for u in first), *later], range(at, at + len(first) + len(later))))
         for k, kind in enumerate(self.kinds):
             found = [asked_alone(first, kind.ask), kind.ask_after(later)]
             ids, sizes = (np.concatenate([f[i] for f in found]) for i in (0, 1))
@@ -312,8 +368,7 @@ class Encoder:
 
     def _codes(self, texts: list[str], after_space: bool) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all units, and how many each text has; ``after_space``: a space comes before the texts."""
-        if len(self.fine) * len(self.kinds) > UNITS or max(map(len, self.pools)) > POOL:
-            self._clear()
+        self._forget()
         units = [self.units(t) if self.units else [t] for t in texts]
         if not (self.spaced or self.drops_white or after_space):
             for us in units:
@@ -361,14 +416,46 @@ class Encoder:
             bad = np.concatenate([[0], np.cumsum(~self.fine[codes])])
             fine[which] &= bad[ends] == bad[ends - sizes]
             for k in range(len(self.kinds)):
-                n = self.counts[k][codes]
-                at = np.cumsum(n)
-                flat = self.pools[k][np.repeat(self.starts[k][codes] - at + n, n) + np.arange(at[-1] if len(at) else 0)]
+                flat, at = self._flat(k, codes)
                 cuts = np.concatenate([[0], at])[ends].tolist()
                 for w, a, b in zip(which.tolist(), [0, *cuts[:-1]], cuts):
                     parts[w][k].append(flat[a:b])
         return [(*(p[0] if len(p) == 1 else np.concatenate(p) for p in own), bool(f)) for own, f in zip(parts, fine)]
 
+    def ids_in(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each of the texts that lie next to each other in ``data`` by the first tokenizer; by tiles if it has them."""
+        text = lambda i: data[offsets[i] : offsets[i + 1]].tobytes().decode()
+        n = len(offsets) - 1
+        if not self.kinds[0].tiled or self.spaced or not len(data):
+            return [found[0] for found in self.ids([text(i) for i in range(n)])]
+        if n == 1 and len(data) > SLICE and len(some := slices(text(0))) > 1:
+            cut = [np.frombuffer((" " * (k > 0) + s).encode(), np.uint8) for k, s in enumerate(some)]
+            return [np.concatenate([self.ids_in(d, np.array([0, len(d)]))[0] for d in cut])]
+        begins, untiled = tiles_of(data, offsets)
+        if untiled.any():
+            size, good = np.diff(offsets), np.flatnonzero(~untiled)
+            some = self.ids_in(data[np.repeat(~untiled, size)], np.concatenate([[0], np.cumsum(size[good])]))
+            bad = np.flatnonzero(untiled)
+            out = dict(zip(bad.tolist(), (found[0] for found in self.ids([text(i) for i in bad])))) | dict(zip(good.tolist(), some))
+            return [out[i] for i in range(n)]
+        at = np.append(begins, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        _, edges, body = coded.dictionary.buffers()
+        edges, body = np.frombuffer(edges, np.int32)[: len(coded.dictionary) + 1].tolist(), body.to_pybytes()
+        tiles = [body[a:b] for a, b in zip(edges, edges[1:])]
+        self._forget()
+        found = list(map(self.known.get, tiles))
+        fresh = [t for t, code in zip(tiles, found) if code is None]
+        if fresh:
+            spaced = [t for t in fresh if t[0] == 32 and len(t) > 1 and not WORD_BREAKS[t[1]]]
+            bare = [t for t in fresh if t[0] != 32 or len(t) == 1 or WORD_BREAKS[t[1]]]
+            self._learn([t.decode() for t in bare], [t[1:].decode() for t in spaced], bare + spaced)
+            found = [self.known[t] if code is None else code for t, code in zip(tiles, found)]
+        codes = np.array(found, np.int64)[coded.indices.to_numpy()]
+        flat, ends = self._flat(0, codes)
+        cuts = np.concatenate([[0], ends])[np.searchsorted(begins, offsets)].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _parts(self, texts: list[str]):
         """(text numbers, codes, units each) of groups of whole short texts, or of the slices of a long one."""
         short = [i for i, t in enumerate(texts) if len(t) <= SLICE or not self.units]

@@ -26,7 +26,7 @@ from . import _tokens
 from ._spark import cut
 from ._text import chunks
 
-RANK_ROWS, LEAST_PARTS = 50_000, 32
+RANK_ROWS, LEAST_PARTS, CHUNK_BYTES = 50_000, 32, 2 << 20
 
 
 def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -34,10 +34,9 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int,
 
     def run(batches):
         encoder = _tokens.encoder((tokenizer,))
-        for chunk in chunks(batches):
-            names = chunk.batch.column(0).to_pylist()
+        for chunk in chunks(batches, most=CHUNK_BYTES):
             rows = []
-            for name, (ids, _) in zip(names, encoder.ids([chunk.text(i).decode() for i in range(len(names))])):
+            for name, ids in zip(chunk.batch.column(0).to_pylist(), encoder.ids_in(chunk.data, chunk.offsets)):
                 own = np.append(ids, end_id).astype("<u4")
                 edges = [0, *range((len(own) - 1) % capacity + 1, len(own) + 1, capacity)]
                 rows += [(name, p, a, b - a, zlib.crc32(own[a:b].tobytes()), *([own[a:b]] * with_ids)) for p, (a, b) in enumerate(zip(edges, edges[1:]))]

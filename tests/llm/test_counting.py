@@ -62,6 +62,32 @@ def test_units_give_the_ids_of_whole_texts(monkeypatch, path, spaced, limits):
     assert encoder.counts_of(texts).tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("limits", [{}, {"SLICE": 40, "UNITS": 30, "JOINED": 7}])
+def test_ids_by_tiles_are_those_of_whole_texts(monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(_tokens, k, v)
+    rng = random.Random(5)
+    texts = odd_texts(1, 400) + ODD + ["<", "|x", "é" * 3000, "a\x00b \x7f", "  <|endoftext|>", "<|endoftext|>  b\n", "’tis  “it’s”\n\n“ a", "中文 \n\n中 文", "x\u00a0  y", " \n" * 50]
+    texts += ["".join(rng.choices("aZéÉÀÞßÿ×÷µ09.,<|'’中stl\n\t    ", k=60)) for _ in range(1500)] + [words_text(k, 60) for k in range(20)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)} B{chr(c)}! {chr(c)}\n\n{chr(c)}  {chr(c)}" for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in [*range(0, 0x3100, 64), 0xD7C0, 0xFEC0, 0x1F600]]
+    body = [t.encode() for t in texts]
+    for path in (BYTES, WORDS):
+        encoder, own = _tokens.Encoder([_tokens.open_kind(path)]), library(path)
+        want = [own(t) for t in texts]
+        data, offsets = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+        assert [i.tolist() for i in encoder.ids_in(data, offsets)] == want
+        assert [encoder.ids_in(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0].tolist() for b in body] == want
+    assert encoder.ids_in(data[:0], offsets[:1]) == []
+
+
+def test_packing_asks_the_library_for_tiles_not_units():
+    rng = random.Random(6)
+    text = "".join(f"{'ab'[i % 2]}{rng.randrange(40)}{rng.choice([' ', ', ', '. ', '\n', '-'])}" for i in range(4000)).encode()
+    encoder = _tokens.Encoder([_tokens.open_kind(BYTES)])
+    assert encoder.ids_in(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist() == library(BYTES)(text.decode())
+    assert len(encoder.known) < 60 < len(set(text.split(b" "))) / 10
+
+
 @pytest.mark.parametrize("limits", [{}, {"UNITS": 30, "PIECES": 7}])
 def test_counts_by_pieces_are_those_of_whole_texts(monkeypatch, limits):
     for k, v in limits.items():
