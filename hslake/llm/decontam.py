@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
 
-1. Terms are the words of the benchmark items (lower case, punctuation dropped). Document frequencies are counted over every passage
-   of every document.
+1. Terms are the words of the benchmark items (lower case, punctuation dropped). The texts are split once; later passes read the stored
+   numbers of their words. Document frequencies are counted over every passage of every document.
 2. The TF-IDF passages of a bounded, hash-chosen sample (``fit_passages``) and the items give the latent space by a distributed
    randomised SVD: one pass sums A'(A W) for a random W, a second one the Gram matrix of A Q, whose eigenvectors turn the basis Q.
 3. Every window of every document is projected: sums over steps of words, then over the steps of a window. One pass over the documents takes its
    cosine with all items, in blocks of ``block_items``; those at or over ``cosine`` are candidates. ``recall`` of this search is measured in the tests.
+   Candidates whose term signatures show that no common subsequence can be long enough are dropped at once (an exact bound).
 4. A candidate leaks if the longest common subsequence of item and window, computed for all candidates at once in machine words, has
    at least ``verbatim`` of the item's words, or at least ``paraphrase`` of them and ``answer`` of the item's last sentence. An item
    of few words fills less of its window, so the least cosine falls with the root of its length (``FULL``).
@@ -23,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from ._text import chunks, words
 TERM_BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_SPACED = np.where(TERM_BREAKS, np.uint8(32), _LOWER).tobytes()
 STEP, SLICE = 16, 8192
 #: The items count so many times as passages when the basis is fitted.
 OWN_WEIGHT = 50.0
@@ -40,6 +43,10 @@ OWN_WEIGHT = 50.0
 WINDOWS = ((24, 3, 1), (64, 6, 2))
 #: Items of fewer words are held against a lower cosine.
 FULL = 24
+#: So many of the commonest terms are multiplied as dense columns, the others by their places.
+COMMON = 256
+#: Words of 64 bits in a signature: the commonest terms have a bit each in the first half, the others share those of the second.
+SIGN = 4
 _SENTENCE = re.compile(rb"[.!?\n]+|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 
 
@@ -126,14 +133,32 @@ class Items:
         return columns, table
 
     def numbers(self, chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Term number (the vocabulary's size if none) and row of every word of a chunk."""
+        """Term number (the vocabulary's size if none) of every word of a chunk, and where each row's words begin, with the end."""
         data, offsets = spaced_out(chunk.data, chunk.offsets)
-        starts, ends, rows = words(data, offsets, TERM_BREAKS)
-        low = _LOWER[data].tobytes()
-        none, get = len(self.vocabulary), self.vocabulary.get
-        spaced = np.where(TERM_BREAKS[data], np.uint8(32), np.frombuffer(low, np.uint8))
-        spaced = np.insert(spaced, offsets[1:-1], 32) if len(chunk) > 1 else spaced
-        return np.fromiter((get(w, none) for w in spaced.tobytes().split()), np.int64, len(starts)), rows
+        none = len(self.vocabulary)
+        spaced = pa.LargeStringArray.from_buffers(len(chunk), pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data.tobytes().translate(_SPACED)))
+        split = pc.ascii_split_whitespace(spaced)
+        names = pa.array([*self.vocabulary, b""], pa.large_binary()).view(pa.large_string())
+        found = pc.fill_null(pc.index_in(split.values, value_set=names), none + 1).to_numpy()
+        word = found != none
+        ends = np.concatenate(([0], np.cumsum(word)))
+        return np.minimum(found[word], none), ends[split.offsets.to_numpy()]
+
+    def kind(self) -> str:
+        """What stored term numbers are: two bytes if they fit."""
+        return "<u2" if len(self.vocabulary) < 1 << 16 else "<i4"
+
+    def signatures(self, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of every term (none for the last row), of every item, and of how many of its words an item's bits say nothing."""
+        rank = np.argsort(np.argsort(-df, kind="stable"))
+        half = SIGN * 32
+        bit = np.where(rank < half, rank, half + rank % half)
+        signs = np.zeros((len(self.vocabulary) + 1, SIGN), np.uint64)
+        signs[np.arange(len(bit)), bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+        item, term = np.divmod(self.keys, len(self.vocabulary) + 1)
+        own = np.zeros((len(self.ids), SIGN), np.uint64)
+        np.bitwise_or.at(own, item, signs[term])
+        return signs, own, self.length - np.bitwise_count(own).sum(1, dtype=np.int64)
 
 
 def common_subsequence(masks: np.ndarray, full: np.ndarray, row: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -145,27 +170,43 @@ def common_subsequence(masks: np.ndarray, full: np.ndarray, row: np.ndarray, win
     return ~v & full
 
 
-def _passages(items: Items, chunk, length: int):
+def numbered(docs: DataFrame, items: Items) -> DataFrame:
+    """(id, numbers): the term numbers of all words of every row, as ``Items.kind``, split from the text once for all passes."""
+    kind = items.kind()
+
+    def run(batches):
+        for chunk in chunks(batches, most=1 << 21):
+            ids, at = items.numbers(chunk)
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk), [None, pa.py_buffer((at * np.dtype(kind).itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([chunk.batch.column(0), body.cast(pa.binary())], names=["id", "numbers"])
+
+    return cut(docs.mapInArrow(run, "id long, numbers binary"), "numbers")
+
+
+def _numbers(batches, kind: str, most: int = 1 << 18):
+    """Chunks of ``numbered`` rows, the term number of every word and where each row's words begin, with the end."""
+    for chunk in chunks(batches, "numbers", most):
+        yield chunk, np.frombuffer(chunk.data.tobytes(), kind).astype(np.int64), chunk.offsets // np.dtype(kind).itemsize
+
+
+def _passages(items: Items, ids: np.ndarray, at: np.ndarray, length: int):
     """Numbers of the words that are terms, and the passage each lies in (disjoint runs of ``length`` words in a row)."""
-    ids, rows = items.numbers(chunk)
-    if not len(ids):
-        return ids, ids, 0
-    first = np.searchsorted(rows, rows)
-    inner = (np.arange(len(rows)) - first) // length
-    new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (inner[1:] != inner[:-1])))
-    passage = np.cumsum(new) - 1
+    n = np.diff(at)
+    runs = -(-n // length)
+    first = np.cumsum(runs) - runs
+    passage = (np.arange(len(ids)) - np.repeat(at[:-1], n)) // length + np.repeat(first, n)
     known = ids < len(items.vocabulary)
-    return ids[known], passage[known], int(passage[-1]) + 1
+    return ids[known], passage[known], int(runs.sum())
 
 
 def document_frequencies(docs: DataFrame, items: Items, length: int) -> tuple[np.ndarray, int]:
-    """In how many passages each term occurs, over all documents, and the number of passages."""
-    size = len(items.vocabulary)
+    """In how many passages each term occurs, over all ``numbered`` documents, and the number of passages."""
+    size, kind = len(items.vocabulary), items.kind()
 
     def run(batches):
         df, n = np.zeros(size + 1, np.int64), 0
-        for chunk in chunks(batches):
-            ids, passage, k = _passages(items, chunk, length)
+        for _, ids, at in _numbers(batches, kind):
+            ids, passage, k = _passages(items, ids, at, length)
             df[:size] += np.bincount(np.unique(passage * size + ids) % size, minlength=size) if len(ids) else 0
             n += k
         if n:
@@ -174,7 +215,7 @@ def document_frequencies(docs: DataFrame, items: Items, length: int) -> tuple[np
             yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(df[hit])], names=["term", "n"])
 
     df = np.zeros(size + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("numbers").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r.term] = r.n
     return df[:size], int(df[size])
 
@@ -193,9 +234,9 @@ def _add(out: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray,
 
 def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, fraction: float, length: int, rank: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors (terms by rank) of the sampled TF-IDF passages and the items, by a two-pass randomised SVD."""
-    size = len(items.vocabulary)
+    size, kind = len(items.vocabulary), items.kind()
     width = min(size, rank + 8)
-    sample = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < int(fraction * 1_000_000)) if fraction < 1 else docs
+    sample = docs.where(F.pmod(F.xxhash64("id", "numbers"), F.lit(1_000_000)) < int(fraction * 1_000_000)) if fraction < 1 else docs
     own = items.weights(idf)
 
     def summed(right: np.ndarray, gram: bool) -> np.ndarray:
@@ -203,8 +244,8 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, fraction: float
 
         def run(batches):
             out, any_row = np.zeros(shape, np.float32), False
-            for chunk in chunks(batches, most=1 << 18):
-                ids, passage, k = _passages(items, chunk, length)
+            for _, ids, at in _numbers(batches, kind):
+                ids, passage, k = _passages(items, ids, at, length)
                 key, n = np.unique(passage * size + ids, return_counts=True)
                 passage, term = np.divmod(key, max(1, size))
                 value = n * idf[term]
@@ -222,7 +263,7 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, fraction: float
             return pdf.head(1)[["part"]].assign(sums=[total.astype(np.float32).tobytes()])
 
         total = np.zeros(shape)
-        for r in sample.select("text").mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect():
+        for r in sample.select("numbers").mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect():
             total[r.part : r.part + 256] = np.frombuffer(r.sums, np.float32).reshape(-1, shape[1])
         mine = np.zeros(shape)
         _add(mine, *own, right, gram)
@@ -234,6 +275,23 @@ def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, fraction: float
     return (q @ turn[:, np.argsort(-values)[: min(rank, size)]]).astype(np.float32)
 
 
+def _step_sums(step: np.ndarray, term: np.ndarray, steps: int, project: np.ndarray, common: np.ndarray, place: np.ndarray, bits_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the projected terms and union of the term bits, by step; ``step`` is sorted."""
+    column = place[term]
+    often = column >= 0
+    counts = np.bincount(step[often] * len(common) + column[often], minlength=steps * len(common)).reshape(steps, len(common))
+    sums = counts.astype(np.float32) @ project[common]
+    signed = np.zeros((steps, bits_of.shape[1]), np.uint64)
+    if len(step):
+        begin = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
+        signed[step[begin]] = np.bitwise_or.reduceat(bits_of[term], begin, axis=0)
+    step, term = step[~often], term[~often]
+    if len(step):
+        begin = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
+        sums[step[begin]] += np.add.reduceat(project[term], begin, axis=0)
+    return sums, signed
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 96, fit_passages: int = 40_000, cosine: float = 0.4, verbatim: float = 0.75, paraphrase: float = 0.6, answer: float = 0.75, min_words: int = 8, block_items: int = 256) -> DataFrame:
     """(id, item_id, cosine, lcs_ratio, answer_ratio, kind): one row per document and item that leaks into it."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -249,7 +307,8 @@ _SCHEMA = "id long, item_id long, cosine double, lcs_ratio double, answer_ratio
 
 
 def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine: float, verbatim: float, paraphrase: float, answer: float, block_items: int) -> DataFrame:
-    length = STEP * 2
+    length, kind = STEP * 2, items.kind()
+    texts = numbered(texts, items)
     df, n = document_frequencies(texts, items, length)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
     basis = latent_basis(texts, items, idf, min(1.0, fit_passages / max(1, n)), length, rank)
@@ -260,18 +319,22 @@ def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine
     asked /= np.maximum(1e-9, np.linalg.norm(asked, axis=1, keepdims=True))
     item_ids = np.array(items.ids)
     gate = (cosine * np.sqrt(np.minimum(1, items.length / FULL))).astype(np.float32)
+    signs = items.signatures(df)
+    common = np.argsort(-df, kind="stable")[:COMMON]
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast((items, project, asked))
+    shared = context.broadcast((items, project, asked, signs, common))
 
     def run(batches):
-        items, project, asked = shared.value
+        items, project, asked, (bits_of, item_bits, unsaid), common = shared.value
         none = len(items.vocabulary)
+        place = np.full(none + 1, -1)
+        place[common] = np.arange(len(common))
+        least_words = np.minimum(verbatim, paraphrase) * items.length
         held: dict[tuple[int, int], tuple] = {}
-        for chunk in chunks(batches, most=1 << 19):
-            ids, rows = items.numbers(chunk)
+        for chunk, ids, at in _numbers(batches, kind):
             if not len(ids):
                 continue
-            at = np.searchsorted(rows, np.arange(len(chunk) + 1))
+            rows = np.repeat(np.arange(len(chunk)), np.diff(at))
             steps = -(-np.diff(at) // STEP)
             first = np.concatenate(([0], np.cumsum(steps)))
             slot = np.arange(len(ids)) - at[rows] + first[rows] * STEP
@@ -285,10 +348,7 @@ def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine
             for low in range(0, int(first[-1]), SLICE):
                 high = min(low + SLICE, int(first[-1]))
                 i, j = np.searchsorted(where, (low, high + WINDOWS[-1][1]))
-                sums = np.zeros((high + WINDOWS[-1][1] - low, project.shape[1]), np.float32)
-                if i < j:
-                    begin = np.flatnonzero(np.concatenate(([True], where[i + 1 : j] != where[i : j - 1])))
-                    sums[where[i:j][begin] - low] = np.add.reduceat(project[known_ids[i:j]], begin, axis=0)
+                sums, signed = _step_sums(where[i:j] - low, known_ids[i:j], high + WINDOWS[-1][1] - low, project, common, place, bits_of)
                 least = 0
                 for most, reach, stride in WINDOWS:
                     sizes = np.flatnonzero((items.length > least) & (items.length <= most))
@@ -297,14 +357,20 @@ def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine
                         continue
                     begins = low + np.flatnonzero((np.arange(low, high) - first[row_of[low:high]]) % stride == 0)
                     vectors = np.zeros((len(begins), project.shape[1]), np.float32)
+                    seen = np.zeros((len(begins), SIGN), np.uint64)
                     for k in range(reach):
                         inside = (begins + k) < first[row_of[begins] + 1]
                         vectors[inside] += sums[begins[inside] + k - low]
+                        seen[inside] |= signed[begins[inside] + k - low]
                     vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
                     for b in range(0, len(sizes), block_items):
                         mine = sizes[b : b + block_items]
                         near = vectors @ asked[mine].T
-                        w, item = np.nonzero(near >= gate[mine])
+                        w, item = np.divmod(np.flatnonzero(near >= gate[mine]), len(mine))
+                        # No subsequence is longer than the item's words whose bits the window has, and those of which the bits say nothing.
+                        most_words = sum(np.bitwise_count(seen[w, k] & item_bits[mine[item], k]).astype(np.int64) for k in range(SIGN)) + unsaid[mine[item]]
+                        able = most_words >= least_words[mine[item]]
+                        w, item = w[able], item[able]
                         if not len(w):
                             continue
                         if (most, b) not in held:

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checking import assert_same
 from pyspark.sql import functions as F
@@ -500,3 +501,31 @@ def test_decontamination_asks_very_short_items_and_scripts_without_spaces(spark)
     rows = [(1, "a purple, xylophone plays"), (2, "purple and xylophone"), (3, "purple"), (4, "xylophone"), (5, "他说" + chinese.replace("。", "，").replace("地", "田") + "是诗"), (6, "春眠不觉晓处处闻啼鸟"), (7, "เขาไม่มีเงิน"), (8, None)]
     got = {(r.id, r.item_id, r.kind) for r in decontam.leaks(documents(spark, rows), bench).collect()}
     assert got == {(1, 1, "verbatim"), (5, 2, "verbatim"), (7, 3, "verbatim")}
+
+
+def test_decontamination_signatures_bound_every_subsequence():
+    rng = random.Random(3)
+    vocab = [f"w{int(rng.paretovariate(0.15)) % 900}" for _ in range(3000)]
+    items = decontam.Items([(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 64)))) for i in range(60)], 8)
+    odd = ["", "  ", " W1, w2;w3\t", "other\x1cw4", None, "词w5é W6é.", "w7"]
+    texts = odd + [" ".join(rng.choice(vocab + ["other"]) for _ in range(48)) for _ in range(200)]
+    chunk = next(decontam.chunks([pa.RecordBatch.from_pydict({"text": texts})]))
+    ids, at = items.numbers(chunk)
+    number = {w: i for w, i in items.vocabulary.items()}
+    assert [list(ids[a:b]) for a, b in zip(at, at[1:])] == [[number.get(w, len(number)) for w in decontam.terms(t)] for t in texts]
+    bits, own, unsaid = items.signatures(np.bincount(ids, minlength=len(number) + 1)[: len(number)])
+    named = {i: w for w, i in number.items()}
+    item, term = np.divmod(items.keys, len(number) + 1)
+    passed = 0
+    for a, b in zip(at[len(odd) :], at[len(odd) + 1 :]):
+        seen = np.bitwise_or.reduce(bits[ids[a:b]], axis=0)
+        most = np.bitwise_count(seen & own).sum(1) + unsaid
+        for k in range(len(items.ids)):
+            words = [None] * items.length[k]
+            for t, places in zip(term[item == k], items.bits[item == k]):
+                for p in range(len(words)):
+                    if int(places) >> p & 1:
+                        words[p] = named[t]
+            assert most[k] >= subsequence(words, [named.get(i) for i in ids[a:b]])
+        passed += (most >= 0.6 * items.length).sum()
+    assert passed < 0.5 * 200 * len(items.ids)
