@@ -2,8 +2,8 @@
 
 1. Terms are the words of the benchmark items (lower case, punctuation dropped). The texts are split once; later passes read the stored
    numbers of their words. Document frequencies are counted over every passage of every document.
-2. The TF-IDF passages of a bounded, hash-chosen sample (``fit_passages``) and the items give the latent space by a distributed
-   randomised SVD: one pass sums A'(A W) for a random W, a second one the Gram matrix of A Q, whose eigenvectors turn the basis Q.
+2. The TF-IDF passages of all documents and the items give the latent space by a distributed randomised SVD: one pass sums A'(A W) for a
+   random W, a second one the Gram matrix of A Q, whose eigenvectors turn the basis Q.
 3. Every window of every document is projected: sums over steps of words, then over the steps of a window. One pass over the documents takes its
    cosine with all items, in blocks of ``block_items``; those at or over ``cosine`` are candidates. ``recall`` of this search is measured in the tests.
    Candidates whose term signatures show that no common subsequence can be long enough are dropped at once (an exact bound).
@@ -37,8 +37,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACED = np.where(TERM_BREAKS, np.uint8(32), _LOWER).tobytes()
 STEP, SLICE = 16, 8192
-#: The items count so many times as passages when the basis is fitted.
-OWN_WEIGHT = 50.0
+#: When the basis is fitted, the items count so many times as passages, among so many passages; in proportion among more.
+OWN_WEIGHT, OWN_PASSAGES = 50.0, 40_000
 #: (items of up to so many words, steps in a window, steps between windows): an item lies whole in some window.
 WINDOWS = ((24, 3, 1), (64, 6, 2))
 #: Items of fewer words are held against a lower cosine.
@@ -220,54 +220,66 @@ def document_frequencies(docs: DataFrame, items: Items, length: int) -> tuple[np
     return df[:size], int(df[size])
 
 
-def _add(out: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray, right: np.ndarray, gram: bool) -> None:
-    """Add A'(A ``right``), or the Gram matrix of A ``right``, of a sparse A given by its sorted rows, terms and values."""
-    _, which = np.unique(row, return_inverse=True)
-    y = np.zeros((which[-1] + 1 if len(which) else 0, right.shape[1]), np.float32)
-    if len(which):
-        np.add.reduceat(value[:, None] * right[term], np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))), axis=0, out=y)
+def _add(out: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray, right: np.ndarray, gram: bool, common: np.ndarray) -> None:
+    """Add A'(A ``right``), or the Gram matrix of A ``right``, of a sparse A given by its sorted rows, terms and values (each cell once)."""
+    if not len(row):
+        return
+    place = np.full(len(right), -1)
+    place[common] = np.arange(len(common))
+    column = place[term]
+    often = column >= 0
+    dense = np.zeros((int(row[-1]) + 1, len(common)), np.float32)
+    dense[row[often], column[often]] = value[often]
+    y = dense @ right[common]
+    row, term, value = row[~often], term[~often], value[~often, None]
+    if len(row):
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        y[row[begin]] += np.add.reduceat(value * right[term], begin, axis=0)
     if gram:
         out += y.T @ y
-    else:
-        np.add.at(out, term, value[:, None] * y[which])
+        return
+    out[common] += dense.T @ y
+    if len(row):
+        order = np.argsort(term, kind="stable")
+        row, term, value = row[order], term[order], value[order]
+        begin = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        out[term[begin]] += np.add.reduceat(value * y[row], begin, axis=0)
 
 
-def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, fraction: float, length: int, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (terms by rank) of the sampled TF-IDF passages and the items, by a two-pass randomised SVD."""
+def latent_basis(docs: DataFrame, items: Items, idf: np.ndarray, n: int, common: np.ndarray, length: int, rank: int, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (terms by rank) of all ``n`` TF-IDF passages and the items, by a two-pass randomised SVD."""
     size, kind = len(items.vocabulary), items.kind()
     width = min(size, rank + 8)
-    sample = docs.where(F.pmod(F.xxhash64("id", "numbers"), F.lit(1_000_000)) < int(fraction * 1_000_000)) if fraction < 1 else docs
     own = items.weights(idf)
 
     def summed(right: np.ndarray, gram: bool) -> np.ndarray:
         shape = (width, width) if gram else (size, width)
 
         def run(batches):
-            out, any_row = np.zeros(shape, np.float32), False
+            out = np.zeros(shape, np.float32)
             for _, ids, at in _numbers(batches, kind):
                 ids, passage, k = _passages(items, ids, at, length)
                 key, n = np.unique(passage * size + ids, return_counts=True)
                 passage, term = np.divmod(key, max(1, size))
                 value = n * idf[term]
                 value /= np.maximum(1e-9, np.sqrt(np.bincount(passage, weights=value**2, minlength=k)))[passage]
-                for a in range(0, k, 512):
-                    i, j = np.searchsorted(passage, (a, a + 512))
-                    if i < j:
-                        _add(out, passage[i:j] - a, term[i:j], value[i:j].astype(np.float32), right, gram)
-                any_row = any_row or k > 0
-            if any_row:
-                yield pa.RecordBatch.from_arrays([pa.array(range(0, shape[0], 256), pa.int32()), pa.array([out[a : a + 256].tobytes() for a in range(0, shape[0], 256)])], names=["part", "sums"])
+                for a in range(0, k, 2048):
+                    i, j = np.searchsorted(passage, (a, a + 2048))
+                    _add(out, passage[i:j] - a, term[i:j], value[i:j].astype(np.float32), right, gram, common)
+            parts = [a for a in range(0, shape[0], 256) if out[a : a + 256].any()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([out[a : a + 256].tobytes() for a in parts])], names=["part", "sums"])
 
         def add(pdf):
             total = np.sum([np.frombuffer(b, np.float32) for b in pdf["sums"]], axis=0, dtype=np.float64)
             return pdf.head(1)[["part"]].assign(sums=[total.astype(np.float32).tobytes()])
 
         total = np.zeros(shape)
-        for r in sample.select("numbers").mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect():
+        for r in docs.select("numbers").mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect():
             total[r.part : r.part + 256] = np.frombuffer(r.sums, np.float32).reshape(-1, shape[1])
         mine = np.zeros(shape)
-        _add(mine, *own, right, gram)
-        return total + OWN_WEIGHT * mine
+        _add(mine, *own, right, gram, common)
+        return total + OWN_WEIGHT * max(1.0, n / OWN_PASSAGES) * mine
 
     w = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     q, _ = np.linalg.qr(summed(w, False))
@@ -292,7 +304,7 @@ def _step_sums(step: np.ndarray, term: np.ndarray, steps: int, project: np.ndarr
     return sums, signed
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 96, fit_passages: int = 40_000, cosine: float = 0.4, verbatim: float = 0.75, paraphrase: float = 0.6, answer: float = 0.75, min_words: int = 8, block_items: int = 256) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 96, cosine: float = 0.4, verbatim: float = 0.75, paraphrase: float = 0.6, answer: float = 0.75, min_words: int = 8, block_items: int = 256) -> DataFrame:
     """(id, item_id, cosine, lcs_ratio, answer_ratio, kind): one row per document and item that leaks into it."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = cut(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null"), "items")
@@ -300,18 +312,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     items = Items([(r.item, r.text) for r in rows], min_words)
     if not items.vocabulary:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    return _search(texts, items, rank, fit_passages, cosine, verbatim, paraphrase, answer, block_items)
+    return _search(texts, items, rank, cosine, verbatim, paraphrase, answer, block_items)
 
 
 _SCHEMA = "id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, kind string"
 
 
-def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine: float, verbatim: float, paraphrase: float, answer: float, block_items: int) -> DataFrame:
+def _search(texts: DataFrame, items: Items, rank: int, cosine: float, verbatim: float, paraphrase: float, answer: float, block_items: int) -> DataFrame:
     length, kind = STEP * 2, items.kind()
     texts = numbered(texts, items)
     df, n = document_frequencies(texts, items, length)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    basis = latent_basis(texts, items, idf, min(1.0, fit_passages / max(1, n)), length, rank)
+    common = np.argsort(-df, kind="stable")[:COMMON]
+    basis = latent_basis(texts, items, idf, n, common, length, rank)
     project = np.concatenate((basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)))
     item, term, value = items.weights(idf)
     asked = np.zeros((len(items.ids), basis.shape[1]), np.float32)
@@ -320,7 +333,6 @@ def _search(texts: DataFrame, items: Items, rank: int, fit_passages: int, cosine
     item_ids = np.array(items.ids)
     gate = (cosine * np.sqrt(np.minimum(1, items.length / FULL))).astype(np.float32)
     signs = items.signatures(df)
-    common = np.argsort(-df, kind="stable")[:COMMON]
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((items, project, asked, signs, common))
 

@@ -529,3 +529,31 @@ def test_decontamination_signatures_bound_every_subsequence():
             assert most[k] >= subsequence(words, [named.get(i) for i in ids[a:b]])
         passed += (most >= 0.6 * items.length).sum()
     assert passed < 0.5 * 200 * len(items.ids)
+
+
+def test_decontamination_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "OWN_PASSAGES", 100)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    items = decontam.Items([(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(30)], 8)
+    texts = [" ".join(vocab[int(rng.paretovariate(0.3)) % 400] for _ in range(rng.randint(0, 200))) for _ in range(120)] + [None, ""]
+    size, length, rank = len(items.vocabulary), 32, 12
+    passages = [p for t in texts for w in [decontam.terms(t)] for p in (w[k : k + length] for k in range(0, len(w), length))]
+    counts = np.zeros((len(passages), size))
+    for k, p in enumerate(passages):
+        for w in p:
+            if w in items.vocabulary:
+                counts[k, items.vocabulary[w]] += 1
+    rows = decontam.numbered(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), items)
+    df, n = decontam.document_frequencies(rows, items, length)
+    assert n == len(passages) > 200 and list(df) == list((counts > 0).sum(0))
+    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
+    own = np.zeros((len(items.ids), size))
+    item, term, value = items.weights(idf)
+    own[item, term] = value
+    tfidf = counts * idf / np.maximum(1e-9, np.linalg.norm(counts * idf, axis=1, keepdims=True))
+    gram = tfidf.T @ tfidf + decontam.OWN_WEIGHT * n / 100 * own.T @ own
+    got = decontam.latent_basis(rows, items, idf, n, np.argsort(-df, kind="stable")[:64], length, rank)
+    q, _ = np.linalg.qr(gram @ np.random.default_rng(7).standard_normal((size, rank + 8)))
+    values, turn = np.linalg.eigh(q.T @ gram @ q)
+    assert np.linalg.svd((q @ turn[:, np.argsort(-values)[:rank]]).T @ got)[1].min() > 0.999
