@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from checking import tables
 from test_operators import brute_components, brute_repeats
 
@@ -58,3 +59,34 @@ def test_null_and_repeated_ids_are_judged_by_row(spark):
     assert sorted(((r.doc_id, r.text) for r in good.collect()), key=key) == sorted((x for x in rows if x[1] != "too short"), key=key)
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, good, SF).collect()), key=key)
     assert got == sorted([(None, prose(1)), (7, prose(2)), (8, prose(3)), (3, prose(4)), (None, prose(3))], key=key)
+
+
+def test_decontamination_stage_fits_its_basis_on_every_passage(spark, tmp_path, monkeypatch):
+    rng, size, length, rank = np.random.default_rng(5), 200, 2 * decontam.STEP, 96
+    draw = lambda *shape: (rng.pareto(0.3, shape) % size).astype(int)
+    write = lambda ids: " ".join(f"w{i}" for i in ids)
+    spark.createDataFrame([(i, write(rng.permutation(size)[:20])) for i in range(40)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = draw(500, 100 * length)
+    docs = spark.createDataFrame([(i, write(ids)) for i, ids in enumerate(words)], "doc_id long, text string").repartition(3)
+    made, seen = decontam.latent_basis, []
+
+    def fit(docs, items, idf, *rest):
+        seen.append((items, idf, made(docs, items, idf, *rest)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(decontam, "latent_basis", fit)
+    corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    [(items, idf, got)] = seen
+    passages = words.reshape(-1, length)
+    n, terms = len(passages), [int(w[1:]) for w in items.vocabulary]
+    counts = np.bincount((np.arange(n)[:, None] * size + passages).ravel(), minlength=n * size).reshape(n, size)[:, terms]
+    assert n == 50_000 and np.allclose(idf, np.log((n + 1) / ((counts > 0).sum(0) + 1)) + 0.05, atol=1e-4)
+    tfidf = counts * idf
+    tfidf /= np.maximum(1e-9, np.linalg.norm(tfidf, axis=1, keepdims=True))
+    own = np.zeros((len(items.ids), len(terms)))
+    item, term, value = items.weights(idf)
+    own[item, term] = value
+    gram = tfidf.T @ tfidf + decontam.OWN_WEIGHT * n / 40_000 * own.T @ own
+    q, _ = np.linalg.qr(gram @ np.random.default_rng(7).standard_normal((len(terms), rank + 8)).astype(np.float32))
+    values, turn = np.linalg.eigh(q.T @ gram @ q)
+    assert np.linalg.svd((q @ turn[:, np.argsort(-values)[:rank]]).T @ got)[1].min() > 0.999
