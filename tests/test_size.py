@@ -5,9 +5,9 @@ from pathlib import Path
 
 from checking import shown, tables
 
-from hslake.operators import correlation
+from hslake.operators import correlation, ownership
 from hslake.sources.journal import load_journal, oracle
-from hslake.sources.shared import CLEANUP, stored
+from hslake.sources.shared import CLEANUP, shared_folder, stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +41,14 @@ def test_a_busy_process_makes_no_pairs_of_other_peers(spark):
         "upper(sni) peer_name", "7L pid", "0L process_started_us", "first_us started_us", "last_us timestamp_us", "'TCP' transport", "0 version", "'' cipher_name", "-1L group_id")
     for many in (10, 10**9):
         assert sorted((x.report_id, x.flow_id) for x in correlation.found(r, c, many).collect()) == sorted((f"p{i}", i) for i in range(n))
+
+
+def test_socket_rounds_find_the_same_owners_and_leave_only_them(spark):
+    j = load_journal(spark, SMALL)
+    c = j.connections.selectExpr("id", "source_address", "source_port", "first_us", "last_us")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    names = lambda: {x for x in folder.iterdir() if x.name.split("-")[0] in ("sockets", "stretches", "found")}
+    before = names()
+    one, many = (ownership.socket_owners(c, j.socket_history, j.lifespans, n) for n in (10**9, 2000))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 1000
+    assert len({f.rpartition("/")[0] for f in many.inputFiles()}) > 2 and names() == before
