@@ -3,9 +3,13 @@
 import os
 from pathlib import Path
 
-from checking import shown, tables
+import pytest
+from checking import assert_same, shown, tables
+from pyspark.sql import functions as F
 
-from hslake.operators import correlation, ownership
+import __spark_entry__
+from hslake.functions.nested import by_document
+from hslake.operators import correlation, details, ownership, taking
 from hslake.sources.journal import load_journal, oracle
 from hslake.sources.shared import CLEANUP, shared_folder, stored
 
@@ -52,3 +56,27 @@ def test_socket_rounds_find_the_same_owners_and_leave_only_them(spark):
     one, many = (ownership.socket_owners(c, j.socket_history, j.lifespans, n) for n in (10**9, 2000))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() > 1000
     assert len({f.rpartition("/")[0] for f in many.inputFiles()}) > 2 and names() == before
+
+
+def test_documents_are_read_once_where_they_are_few(spark):
+    docs = ['{"http_hosts":["a",{"b":1}],"krb_ticket":{"e":"x"}}', "{", None, '{"http_hosts":[]}', ""]
+    rows = spark.createDataFrame([(i, docs[i % 5]) for i in range(40)], "id long, crypto_json string")
+    seen = []
+    read = lambda df: (seen.append(df.count()), taking.components(df))[1]
+    few, many = (sorted((x.id, x.path, x.value) for x in by_document(rows, "crypto_json", read, n).collect()) for n in (10**6, 0))
+    assert few == many and len(few) == 8 * 3 + 8 and seen == [5, 40]
+
+
+def test_profile_counts_properties_where_they_stand(spark):
+    wide = details.details(details.detailed(load_journal(spark, SMALL)))
+    counts = details.properties(wide).groupBy("observed_protocol", "category", "caption").agg(F.count("*").alias("n"), F.count_if(F.col("value") != "Not observed").alias("observed"))
+    made = details.profile(wide)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, counts.collect()))
+    # Only counts become rows.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate", plan.index("Generate"))
+
+
+@pytest.mark.parametrize("name", ["policy_summary", "readiness_histogram", "nested_evidence_rows"])
+def test_queries_equal_their_sql(spark, name):
+    assert_same(spark, SMALL, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
